@@ -207,7 +207,7 @@ def chunked(
         .withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint")))
         .withColumn(OWN, F.coalesce(OWN, F.lit(True)))
         .withColumn(BASE, F.coalesce(BASE, F.lit(0).cast("bigint")))
-        .withColumn(END, F.coalesce(END, F.lit(ROWS_PER_CHUNK).cast("bigint")))
+        .withColumn(END, F.coalesce(END, F.lit(LAST)))
         .drop(CELL)
     )
     return Chunked(frame, spec, True)
