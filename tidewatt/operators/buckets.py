@@ -43,9 +43,9 @@ def resample_mean(df: DataFrame, spec: SeriesSpec, every: str) -> DataFrame:
     block = step * BUCKETS_PER_BLOCK
     blocks = span.withColumn("_from", F.explode(F.sequence("_lo", "_hi", block))).repartition(*keys, "_from")
     upto = F.least(F.col("_hi"), F.col("_from") + block - step)
-    grid = blocks.select(
+    grid = blocks.withColumn("_at", F.explode(F.sequence("_from", upto, step))).select(
         *keys,
-        from_micros(F.explode(F.sequence("_from", upto, step))).alias(spec.ts),
+        from_micros(F.col("_at")).alias(spec.ts),
         *[F.lit(None).cast("double").alias(s) for s in spec.signals],
     )
     return data.unionByName(grid).groupBy(*keys, spec.ts).agg(*[F.avg(s).alias(s) for s in spec.signals])

@@ -180,7 +180,7 @@ def clamped_running_balance(
             return pdf[groups].assign(_entry=entry)
 
         schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in groups], "_entry double"])
-        entries = maps.groupBy(*keys).applyInPandas(enter, schema) if keys else maps.groupBy(F.lit(0)).applyInPandas(enter, schema)
+        entries = maps.groupBy(*keys).applyInPandas(enter, schema)
         frame = same_keys(frame, F.broadcast(freeze(entries)), groups)
     else:
         frame = frame.withColumn("_entry", F.lit(None).cast("double"))
@@ -196,7 +196,7 @@ def clamped_running_balance(
 
     slim = frame.select(*groups, "_i", "_d", "_s0", "_entry")
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in groups], "_i bigint", "_value double"])
-    walked = slim.groupBy(*(groups or [F.lit(0)])).applyInPandas(walk, schema)
+    walked = slim.groupBy(*groups).applyInPandas(walk, schema)
     joined = same_keys(parts.frame, walked, [*groups, "_i"])
     return parts.trim(joined.withColumn(name, F.col("_value"))).drop("_i", "_value")
 
@@ -227,7 +227,6 @@ def fit_parameters(
     parts = chunked(slim, spec, rows_per_chunk=rows_per_chunk)
     frame = parts.frame.withColumn("_i", parts.position)
     groups = [c for c in parts.groups if isinstance(c, str)]
-    by = groups or [F.lit(0)]
     kinds = dict(frame.dtypes)
     head = [f"`{c}` {kinds[c]}" for c in groups]
 
@@ -261,7 +260,7 @@ def fit_parameters(
             return pd.DataFrame({**row, "_first": [state], "_shift": [shift], "_bottom": [bottom], "_top": [top]})
 
         arrays = ", ".join(f"_{n} array<double>" for n in ("first", "shift", "bottom", "top"))
-        maps = frame.filter("_split").groupBy(*by).applyInPandas(reduce_chunk, ", ".join([*head, arrays]))
+        maps = frame.filter("_split").groupBy(*groups).applyInPandas(reduce_chunk, ", ".join([*head, arrays]))
 
         def enter(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(CHUNK).reset_index(drop=True)
@@ -271,7 +270,7 @@ def fit_parameters(
                 state = first if first is not None else np.minimum(top, np.maximum(bottom, state + shift))
             return pdf[groups].assign(_entry=entry)
 
-        entries = maps.groupBy(*(keys or [F.lit(0)])).applyInPandas(enter, ", ".join([*head, "_entry array<double>"]))
+        entries = maps.groupBy(*keys).applyInPandas(enter, ", ".join([*head, "_entry array<double>"]))
         table = freeze(entries)
         small = table.count() * len(combos) <= 10 * BROADCAST_ROWS
         frame = same_keys(frame, F.broadcast(table) if small else table, groups)
@@ -302,7 +301,7 @@ def fit_parameters(
         return out
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_combo bigint, _sse double, _k bigint"])
-    tried = frame.groupBy(*by).applyInPandas(errors, schema)
+    tried = frame.groupBy(*groups).applyInPandas(errors, schema)
     total = tried.groupBy(*keys, "_combo").agg(F.sum("_sse").alias("_sse"), F.sum("_k").alias("n_obs"))
     total = total.filter(F.col("n_obs") >= min_rows).withColumn("rmse", F.sqrt(F.col("_sse") / F.col("n_obs")))
     best = total.groupBy(*keys).agg(F.min_by(F.struct("_combo", "rmse", "n_obs"), F.struct("rmse", "_combo")).alias("_b"))

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import long_form
 from tidewatt.plans.order import chunked
+from tidewatt.plans.quantiles import known
 from tidewatt.plans.sizing import attach
 from tidewatt.spec import SeriesSpec
 
@@ -108,37 +110,35 @@ def suggest_difference(df: DataFrame, spec: SeriesSpec, max_d: int = 3, lags: in
 def boxcox_hint(df: DataFrame, spec: SeriesSpec, low: float = -2.0, high: float = 2.0, steps: int = 40) -> DataFrame:
     """'boxcox' with the maximum-likelihood exponent, or 'shift_then_boxcox_or_log' when a value is <= 0.
 
-    The likelihood is evaluated on a grid of exponents in one aggregation and once more on a
-    finer grid around the best one.
+    The likelihood is evaluated on a grid of exponents and once more on a finer grid around
+    the best one; rows are paired with the grid inside the scan stage and only sums per
+    exponent are shuffled.
     """
-    rows, long = long_form(df.withColumn("_none", F.lit(0)), SeriesSpec("_none", spec.keys, spec.signals))
-    rows, keys = rows.drop("_none").filter("value IS NOT NULL"), list(long.keys)
-    positive = F.col("value") > 0
-    log_x = F.when(positive, F.ln(F.when(positive, F.col("value"))))
-
-    def likelihood(lam: Column) -> Column:
-        y = F.when(F.abs(lam) < 1e-12, log_x).otherwise((F.exp(lam * log_x) - 1) / F.when(F.abs(lam) < 1e-12, F.lit(1.0)).otherwise(lam))
-        spread = F.var_pop(y)
-        fit = (lam - 1) * F.sum(log_x) - F.count(log_x) / 2 * F.ln(F.when(spread > 0, spread))
-        return fit
-
-    def best(frame, lam_of, extra):
-        lams = [lam_of(i) for i in range(steps + 1)]
-        pairs = [F.struct(likelihood(lam).alias("f"), F.lit(-i).alias("i")) for i, lam in enumerate(lams)]
-        return frame.groupBy(*keys, *extra).agg(
-            F.min("value").alias("_min"), F.array_max(F.filter(F.array(*pairs), lambda p: p["f"].isNotNull())).alias("_best")
-        )
-
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), known(quoted(s)).alias("value")) for s in spec.signals]))
+    keys = [*spec.keys, "signal"]
+    rows = df.select(*spec.keys, cells.alias("_c")).select(*spec.keys, "_c.*").filter("value IS NOT NULL")
+    log_x = F.ln(F.when(F.col("value") > 0, F.col("value")))
     width = (high - low) / steps
-    coarse = best(rows, lambda i: F.lit(round(low + i * width, 12)), [])
-    coarse = coarse.select(*keys, F.col("_min").alias("_low"), (F.lit(low) - F.col("_best.i") * F.lit(width)).alias("_lam"))
-    around = attach(rows, coarse, keys)
     fine_width = 2 * width / steps
-    fine = best(around, lambda i: F.round(F.col("_lam") + F.lit(i * fine_width - width), 12), ["_lam", "_low"])
-    lam = F.round(F.col("_lam") - width - F.col("_best.i") * F.lit(fine_width), 12)
+    lam = F.col("_lam")
+
+    def best(frame: DataFrame, exponents: Column) -> DataFrame:
+        paired = frame.withColumn("_lx", log_x).withColumn("_lam", F.explode(exponents))
+        flat = F.abs(lam) < 1e-12
+        y = F.when(flat, F.col("_lx")).otherwise((F.exp(lam * F.col("_lx")) - 1) / F.when(flat, F.lit(1.0)).otherwise(lam))
+        sums = paired.groupBy(*keys, "_lam").agg(
+            F.min("value").alias("_low"), F.sum("_lx").alias("_s"), F.count("_lx").alias("_n"), F.var_pop(y).alias("_v")
+        )
+        fit = (lam - 1) * F.col("_s") - F.col("_n") / 2 * F.ln(F.when(F.col("_v") > 0, F.col("_v")))
+        return sums.groupBy(*keys).agg(F.min("_low").alias("_low"), F.max_by("_lam", fit).alias("_best"))
+
+    coarse = best(rows, F.array(*[F.lit(round(low + i * width, 12)) for i in range(steps + 1)]))
+    around = attach(rows, coarse.select(*keys, "_best"), keys)
+    offsets = F.array(*[F.lit(i * fine_width - width) for i in range(steps + 1)])
+    fine = best(around, F.transform(offsets, lambda o: F.round(F.col("_best") + o, 12)))
     bad = F.col("_low") <= 0
     return fine.select(
-        *keys, F.when(bad, "shift_then_boxcox_or_log").otherwise("boxcox").alias("suggestion"), F.when(~bad, lam).alias("lambda")
+        *keys, F.when(bad, "shift_then_boxcox_or_log").otherwise("boxcox").alias("suggestion"), F.when(~bad, F.col("_best")).alias("lambda")
     )
 
 
