@@ -43,7 +43,7 @@ def smooth(values: np.ndarray, period: int, weights: np.ndarray, multiplicative:
             plain = x / s if multiplicative else x - s
             level = alpha * plain + (1 - alpha) * ahead
             trend = beta * (level - ahead + trend) + (1 - beta) * trend
-            now = x / level if multiplicative else x - level
+            now = x / ahead if multiplicative else x - ahead
             season[t % period] = gamma * now + (1 - gamma) * s
     return sse, level, trend, season
 
@@ -92,8 +92,9 @@ def seasonal_naive(df: DataFrame, spec: SeriesSpec, horizon: int = 96, period: i
     last = placed.filter(F.col("idx") >= F.col("n_rows") - period)
     ahead = F.col("idx") - (F.col("n_rows") - period)
     turns = -(-horizon // period)
-    step = ahead + 1 + F.explode(F.sequence(F.lit(0), F.lit(turns - 1))) * period
-    out = last.filter(F.col("n_rows") >= period).select(*keys, step.cast("bigint").alias("step"), "n_rows", F.col("value").alias("forecast"))
+    repeated = last.filter(F.col("n_rows") >= period).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    step = (ahead + 1 + F.col("_turn") * period).cast("bigint")
+    out = repeated.select(*keys, step.alias("step"), "n_rows", F.col("value").alias("forecast"))
     return out.filter(F.col("step") <= horizon).select(*keys, "step", (F.col("n_rows") + F.col("step") - 1).alias("idx"), "forecast")
 
 

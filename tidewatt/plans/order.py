@@ -143,6 +143,10 @@ class Chunked:
     def window(self):
         return Window.partitionBy(*self.groups).orderBy(*[F.col(c).asc_nulls_last() for c in self.spec.order])
 
+    @property
+    def reverse(self):
+        return Window.partitionBy(*self.groups).orderBy(*[F.col(c).desc_nulls_first() for c in self.spec.order])
+
     @property
     def position(self) -> Column:
         """Zero-based row number inside the whole series."""
@@ -226,14 +230,15 @@ def known_neighbours(parts: Chunked, signals, x: str) -> DataFrame:
     windows; across chunks the first and last known points of each chunk (a table of at
     most a few rows per chunk) are carried over.
     """
-    w = parts.window
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    upto = parts.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Looking ahead is looking back in reverse order: Spark re-reads the rest of the group
+    # for every row of a frame that ends at UNBOUNDED FOLLOWING.
+    onward = parts.reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     point = {s: F.when(F.col(s).isNotNull(), F.struct(F.col(x).alias("x"), F.col(s).cast("double").alias("v"))) for s in signals}
     out = parts.frame.select(
         "*",
         *[F.last(point[s], True).over(upto).alias(f"_prev_{s}") for s in signals],
-        *[F.first(point[s], True).over(onward).alias(f"_next_{s}") for s in signals],
+        *[F.last(point[s], True).over(onward).alias(f"_next_{s}") for s in signals],
     )
     if not parts.split:
         return out
@@ -246,14 +251,14 @@ def known_neighbours(parts: Chunked, signals, x: str) -> DataFrame:
             *[F.min(point[s]).alias(f"_top_{s}") for s in signals],
         )
     )
-    by_key = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
-    past = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    future = by_key.rowsBetween(1, Window.unboundedFollowing)
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    past = by_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    future = by_key.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys,
         CHUNK,
         *[F.last(f"_end_{s}", True).over(past).alias(f"_past_{s}") for s in signals],
-        *[F.first(f"_top_{s}", True).over(future).alias(f"_future_{s}") for s in signals],
+        *[F.last(f"_top_{s}", True).over(future).alias(f"_future_{s}") for s in signals],
     )
     joined = same_keys(out, F.broadcast(carried), [*keys, CHUNK])
     for s in signals:
