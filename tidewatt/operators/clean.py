@@ -10,7 +10,7 @@ from tidewatt.operators.ordered import drop_neighbours, interpolated
 from tidewatt.operators.quality import long_rows
 from tidewatt.plans.order import chunked, known_neighbours
 from tidewatt.plans.quantiles import known, quantile_wide
-from tidewatt.plans.sizing import attach, profile_keys, same_keys
+from tidewatt.plans.sizing import KeyProfile, attach, profile_keys, same_keys
 from tidewatt.spec import SeriesSpec
 
 Z_LIMIT = 4.0
@@ -72,14 +72,15 @@ def bounds(df: DataFrame, spec: SeriesSpec, sentinels, zscore: bool, iqr: bool,
 
 
 def with_flags(
-    df: DataFrame, spec: SeriesSpec, method: str = "combined", z_limit=Z_LIMIT, iqr_factor=IQR_FACTOR, sentinels=(SENTINEL,)
+    df: DataFrame, spec: SeriesSpec, method: str = "combined", z_limit=Z_LIMIT, iqr_factor=IQR_FACTOR, sentinels=(SENTINEL,),
+    profile: KeyProfile | None = None,
 ) -> DataFrame:
     """Add ``<signal>_sentinel``, ``<signal>_statistical`` and ``<signal>_flag``.
 
     ``method`` is 'zscore', 'iqr' or 'combined' (both must agree). The limits come from the
     readings that are neither missing nor sentinels; those rows are never statistical flags.
     """
-    profile = profile_keys(df, spec.keys)
+    profile = profile or profile_keys(df, spec.keys)
     zscore, iqr = method in ("zscore", "combined"), method in ("iqr", "combined")
     limits = bounds(df, spec, sentinels, zscore, iqr, profile)
     rows = attach(df, limits, spec.keys, profile)
@@ -128,7 +129,8 @@ def cleaned_columns(
     if unknown:
         raise ValueError(f"unknown cleaning strategies: {sorted(unknown)}")
     sentinels = options.get("sentinels", (SENTINEL,))
-    rows = with_flags(df, spec, **options)
+    profile = profile_keys(df, spec.keys)
+    rows = with_flags(df, spec, profile=profile, **options)
     first = {}
     for s in spec.signals:
         strategy = strategies.get(s, INTERPOLATE)
@@ -144,7 +146,7 @@ def cleaned_columns(
     twice = [s for s in spec.signals if strategies.get(s) == SENTINELS]
     if not once:
         return rows
-    parts = chunked(rows, spec, rows_per_chunk=rows_per_chunk)
+    parts = chunked(rows, spec, rows_per_chunk=rows_per_chunk, profile=profile)
     parts = parts.having(parts.frame.withColumn("_x", parts.position if axis == "row" else micros(spec.ts)))
 
     def fill(parts, columns):

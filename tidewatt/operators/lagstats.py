@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import long_form
-from tidewatt.plans.order import chunked
+from tidewatt.plans.order import chunked, per_chunk
 from tidewatt.plans.quantiles import known
-from tidewatt.plans.sizing import attach, profile_keys
+from tidewatt.plans.sizing import attach, profile_keys, same_keys
 from tidewatt.spec import SeriesSpec
 
 MIN_ROWS = 10
@@ -71,32 +71,31 @@ def allowed_lags(n: Column, max_lag: int, strict: bool = True) -> Column:
 def acf(df: DataFrame, spec: SeriesSpec, max_lag: int = 100, half_less_one: bool = False, rows_per_chunk: int | None = None) -> DataFrame:
     """Biased autocorrelation of the known values at lags 0 to ``max_lag``.
 
-    Short series use fewer lags and series under ten rows give none. All lags come from one
-    window pass over (series, chunk) and one aggregation.
+    Short series use fewer lags and series under ten rows give none. Each chunk adds up its
+    lagged products in one vectorised pass; a chunk sees the ``max_lag`` rows before it.
     """
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
+    profile = profile_keys(rows, keys)
     stats = rows.groupBy(*keys).agg(
         F.count("*").alias("n_obs"), F.avg("value").alias("_mean"), (F.var_pop("value") * F.count("*")).alias("_ss")
     ).filter(F.col("n_obs") >= MIN_ROWS)
-    centred = attach(rows, stats, keys).filter("_mean IS NOT NULL").withColumn("_c", F.col("value") - F.col("_mean"))
-    centred = centred.select(*keys, *long.order, "_c", "n_obs", "_ss")
-    parts = chunked(centred, long, before=max_lag, rows_per_chunk=rows_per_chunk)
-    c = F.col("_c")
-    lagged = parts.trim(
-        parts.frame.select("*", *[(c * F.lag(c, k).over(parts.window)).alias(f"_p{k}") for k in range(1, max_lag + 1)])
-    )
-    sums = lagged.groupBy(*keys).agg(
-        F.first("n_obs").alias("n_obs"), F.first("_ss").alias("_ss"),
-        *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, max_lag + 1)],
-    )
-    ss = F.when(F.col("_ss") > 0, F.col("_ss"))
-    products = F.array(ss, *[F.col(f"_p{k}") for k in range(1, max_lag + 1)])
-    out = sums.select(*keys, "n_obs", ss.alias("_ss"), F.posexplode(products).alias("lag", "_p"))
-    lags = allowed_lags(F.col("n_obs"), max_lag, not half_less_one)
-    return out.filter(F.col("lag") <= lags).select(
-        *keys, F.col("lag").cast("bigint").alias("lag"), (F.col("_p") / F.col("_ss")).alias("value"), "n_obs"
+    centred = attach(rows, stats.select(*keys, "_mean"), keys, profile).filter("_mean IS NOT NULL")
+    parts = chunked(centred, long, before=max_lag, rows_per_chunk=rows_per_chunk, profile=profile)
+
+    def products(first: int, columns) -> dict:
+        c = columns["c"]
+        sums = [float(c[max(first, k) :] @ c[max(first, k) - k : len(c) - k]) if len(c) > max(first, k) else 0.0 for k in range(max_lag + 1)]
+        return {"_sums": sums}
+
+    sums = per_chunk(parts, {"c": F.col("value") - F.col("_mean")}, products, "_sums array<double>")
+    lags = sums.select(*keys, F.posexplode("_sums").alias("lag", "_p")).groupBy(*keys, "lag").agg(F.sum("_p").alias("_p"))
+    out = same_keys(lags, stats, keys, "inner")
+    allowed = allowed_lags(F.col("n_obs"), max_lag, not half_less_one)
+    value = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.col("_p") / F.when(F.col("_ss") > 0, F.col("_ss")))
+    return out.filter(F.col("lag") <= allowed).select(
+        *keys, F.col("lag").cast("bigint").alias("lag"), F.when(F.col("_ss") > 0, value).alias("value"), "n_obs"
     )
 
 
@@ -152,33 +151,32 @@ def ccf(df: DataFrame, spec: SeriesSpec, max_lag: int = 100, center: bool = True
     keys = list(spec.keys)
     x, y = known(quoted(a)), known(quoted(b))
     pairs = df.select(*keys, *spec.order, x.alias("_x"), y.alias("_y")).na.drop(subset=["_x", "_y"])
+    profile = profile_keys(pairs, keys)
     stats = pairs.groupBy(*keys).agg(
         F.count("*").alias("n_obs"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"),
         (F.stddev_pop("_x") * F.stddev_pop("_y") * F.count("*")).alias("_scale"),
     ).filter(F.col("n_obs") >= MIN_ROWS)
-    rows = attach(pairs, stats, keys).filter("n_obs IS NOT NULL")
-    if center:
-        rows = rows.withColumn("_x", F.col("_x") - F.col("_mx")).withColumn("_y", F.col("_y") - F.col("_my"))
-    parts = chunked(rows.drop("_mx", "_my"), spec, before=max_lag, rows_per_chunk=rows_per_chunk)
-    cx, cy, w = F.col("_x"), F.col("_y"), parts.window
-    lags = list(range(-max_lag, max_lag + 1))
-
-    def product(k: int) -> Column:
-        if k == 0:
-            return cx * cy
-        return cx * F.lag(cy, k).over(w) if k > 0 else cy * F.lag(cx, -k).over(w)
-
-    lagged = parts.trim(parts.frame.select(*parts.frame.columns, *[product(k).alias(f"_p{i}") for i, k in enumerate(lags)]))
-    sums = lagged.groupBy(*keys).agg(
-        F.first("n_obs").alias("n_obs"), F.first("_scale").alias("_scale"),
-        *[F.sum(f"_p{i}").alias(f"_p{i}") for i in range(len(lags))],
-    )
+    rows = attach(pairs, stats.select(*keys, "_mx", "_my"), keys, profile).filter("_mx IS NOT NULL")
+    parts = chunked(rows, spec, before=max_lag, rows_per_chunk=rows_per_chunk, profile=profile)
+    mean_x, mean_y = (F.col("_mx"), F.col("_my")) if center else (F.lit(0.0), F.lit(0.0))
+
+    def products(first: int, columns) -> dict:
+        x, y = columns["x"], columns["y"]
+
+        def lagged(now, past, k):
+            at = max(first, k)
+            return float(now[at:] @ past[at - k : len(past) - k]) if len(now) > at else 0.0
+
+        behind = [lagged(y, x, k) for k in range(max_lag, 0, -1)]
+        return {"_sums": behind + [lagged(x, y, k) for k in range(max_lag + 1)]}
+
+    values = {"x": F.col("_x") - mean_x, "y": F.col("_y") - mean_y}
+    sums = per_chunk(parts, values, products, "_sums array<double>")
+    lags = sums.select(*keys, F.posexplode("_sums").alias("_i", "_p")).groupBy(*keys, "_i").agg(F.sum("_p").alias("_p"))
+    out = same_keys(lags, stats, keys, "inner").withColumn("lag", (F.col("_i") - max_lag).cast("bigint"))
     scale = F.when(F.col("_scale") > 0, F.col("_scale"))
-    cells = F.array(*[F.col(f"_p{i}") for i in range(len(lags))])
-    out = sums.select(*keys, "n_obs", scale.alias("_scale"), F.posexplode(cells).alias("_i", "_p"))
-    out = out.withColumn("lag", (F.col("_i") - max_lag).cast("bigint"))
     return out.filter(F.abs("lag") <= allowed_lags(F.col("n_obs"), max_lag)).select(
-        *keys, "lag", (F.col("_p") / F.col("_scale")).alias("value"), "n_obs"
+        *keys, "lag", (F.col("_p") / scale).alias("value"), "n_obs"
     )
 
 

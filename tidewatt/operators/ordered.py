@@ -161,11 +161,12 @@ def rolling_corr(
     per row independent of the window length.
     """
     a, b = spec.signals
-    largest = profile_keys(df, spec.keys).largest
+    profile = profile_keys(df, spec.keys)
+    largest = profile.largest
     if largest < 2 * window:
         window = max(2, largest // 4)
     min_pairs = window // 2 if min_pairs is None else min_pairs
-    parts = chunked(df, spec, before=window, rows_per_chunk=rows_per_chunk)
+    parts = chunked(df, spec, before=window, rows_per_chunk=rows_per_chunk, profile=profile)
     both = known(quoted(a)).isNotNull() & known(quoted(b)).isNotNull()
     x, y = F.when(both, known(quoted(a))), F.when(both, known(quoted(b)))
     frame = parts.frame.select(
@@ -241,9 +242,10 @@ def lag_difference(df: DataFrame, spec: SeriesSpec, d: int = 1, mode: str = "lag
 
 def with_length(df: DataFrame, spec: SeriesSpec, rows_per_chunk: int | None = None) -> DataFrame:
     """Row position ``idx`` and series length ``n_rows``."""
-    placed = with_position(df, spec, "idx", rows_per_chunk)
-    sizes = df.filter(F.col(spec.ts).isNotNull()).groupBy(*spec.keys).agg(F.count("*").alias("n_rows"))
-    return attach(placed, sizes, spec.keys)
+    df = df.filter(F.col(spec.ts).isNotNull())
+    profile = profile_keys(df, spec.keys)
+    sizes = df.groupBy(*spec.keys).agg(F.count("*").alias("n_rows"))
+    return with_position(attach(df, sizes, spec.keys, profile), spec, "idx", rows_per_chunk, profile)
 
 
 def time_split(df: DataFrame, spec: SeriesSpec, train: float = 0.8, rows_per_chunk: int | None = None) -> DataFrame:

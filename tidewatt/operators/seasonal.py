@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.operators.ordered import DIRECT_FRAME, long_form, running_frame, whole_frame
 from tidewatt.plans.order import Chunked, chunked
-from tidewatt.plans.sizing import attach
+from tidewatt.plans.sizing import BROADCAST_ROWS, attach, profile_keys, same_keys
 from tidewatt.spec import SeriesSpec
 
 # Rows per spectrum segment; longer series average the spectra of their segments.
@@ -46,33 +46,55 @@ def seasonal_decompose(
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
+    profile = profile_keys(rows, keys)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_obs")).filter(F.col("n_obs") >= 2 * period)
-    rows = attach(rows, sizes, keys).filter("n_obs IS NOT NULL")
+    rows = attach(rows, sizes, keys, profile).filter("n_obs IS NOT NULL")
     half = period // 2
-    parts = chunked(rows, long, before=half + 1, after=half + 1, rows_per_chunk=rows_per_chunk)
+    parts = chunked(rows, long, before=half + 1, after=half + 1, rows_per_chunk=rows_per_chunk, profile=profile)
     parts = parts.having(parts.frame.withColumn("idx", parts.position))
     frame, trend = centred_mean(parts, "value", period)
     base = parts.trim(frame.withColumn("trend", trend)).drop("_o", "_r", "_k")
-    if extrapolate:
-        first, last = F.lit(half), F.col("n_obs") - 1 - half
-        in_front = (F.col("idx") >= first) & (F.col("idx") < F.least(first + period, last))
-        in_back = (F.col("idx") >= F.greatest(first, last - period)) & (F.col("idx") < last)
-        lines = base.filter(in_front | in_back).groupBy(*keys).agg(
-            *[
-                f(F.when(cond, F.col("trend")), F.when(cond, F.col("idx").cast("double"))).alias(f"_{side}_{name}")
-                for side, cond in (("front", in_front), ("back", in_back))
-                for name, f in (("k", F.regr_slope), ("b", F.regr_intercept))
-            ]
-        )
-        base = attach(base, lines, keys)
-        line = {s: F.col(f"_{s}_k") * F.col("idx") + F.col(f"_{s}_b") for s in ("front", "back")}
-        base = base.withColumn(
-            "trend", F.when(F.col("idx") < first, line["front"]).when(F.col("idx") > last, line["back"]).otherwise(F.col("trend"))
-        ).drop(*[f"_{s}_{n}" for s in ("front", "back") for n in "kb"])
     base = base.withColumn("_phase", F.pmod(F.col("idx"), F.lit(period).cast("bigint")))
-    phases = base.groupBy(*keys, "_phase").agg(F.avg(F.col("value") - F.col("trend")).alias("_mean"))
-    phases = phases.withColumn("seasonal", F.col("_mean") - F.avg("_mean").over(Window.partitionBy(*keys))).drop("_mean")
-    out = attach(base, phases, [*keys, "_phase"])
+    first, last = F.lit(half), F.col("n_obs") - 1 - half
+    # Positions are counted from the near end of the series, which keeps the sums small.
+    place = {"front": F.col("idx").cast("double"), "back": (F.col("idx") - F.col("n_obs") + 1).cast("double")}
+    fitted = {
+        "front": (F.col("idx") >= first) & (F.col("idx") < F.least(first + period, last)),
+        "back": (F.col("idx") >= F.greatest(first, last - period)) & (F.col("idx") < last),
+    }
+    outside = {"front": F.col("idx") < first, "back": F.col("idx") > last}
+    t, v = F.col("trend"), F.col("value")
+    terms = {"mid_d": v - t, "mid_n": F.when(t.isNotNull(), F.lit(1.0))}
+    for side in ("front", "back"):
+        x, on, off = place[side], fitted[side], outside[side]
+        for name, e in (("n", F.lit(1.0)), ("x", x), ("t", t), ("xx", x * x), ("xt", x * t)):
+            terms[f"{side}_{name}"] = F.when(on, e)
+        for name, e in (("on", F.lit(1.0)), ("ox", x), ("ov", v)):
+            terms[f"{side}_{name}"] = F.when(off, e)
+    # One pass gives, per phase, everything the two end lines and the phase means need.
+    phases = base.groupBy(*keys, "_phase").agg(*[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in terms.items()])
+    total, count = F.col("mid_d"), F.col("mid_n")
+    by_key = Window.partitionBy(*keys)
+    if extrapolate:
+        for side in ("front", "back"):
+            n, sx, st, xx, xt = (F.sum(f"{side}_{c}").over(by_key) for c in ("n", "x", "t", "xx", "xt"))
+            spread = n * xx - sx * sx
+            phases = phases.withColumn(f"_{side}_k", (n * xt - sx * st) / F.when(spread > 0, spread))
+            phases = phases.withColumn(f"_{side}_b", (st - F.col(f"_{side}_k") * sx) / F.when(n > 0, n))
+            line = F.col(f"_{side}_k") * F.col(f"{side}_ox") + F.col(f"_{side}_b") * F.col(f"{side}_on")
+            total = total + F.coalesce(F.col(f"{side}_ov") - line, F.lit(0.0))
+            count = count + F.when(F.col(f"_{side}_k").isNotNull(), F.col(f"{side}_on")).otherwise(0.0)
+    phases = phases.withColumn("_mean", total / F.when(count > 0, count))
+    phases = phases.withColumn("seasonal", F.col("_mean") - F.avg("_mean").over(by_key))
+    lines = [f"_{side}_{c}" for side in ("front", "back") for c in "kb"] if extrapolate else []
+    table = phases.select(*keys, "_phase", "seasonal", *lines)
+    if profile.groups * period <= BROADCAST_ROWS:
+        out = same_keys(base, F.broadcast(table), [*keys, "_phase"])
+    else:
+        out = attach(base, table, [*keys, "_phase"])
+    if extrapolate:
+        end = {side: F.col(f"_{side}_k") * place[side] + F.col(f"_{side}_b") for side in ("front", "back")}
+        out = out.withColumn("trend", F.when(outside["front"], end["front"]).when(outside["back"], end["back"]).otherwise(t))
     return out.select(
         *keys, *spec.order, "idx", "value", "trend", "seasonal",
         (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"),

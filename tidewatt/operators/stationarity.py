@@ -8,24 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import long_form
-from tidewatt.plans.order import chunked
+from tidewatt.plans.order import chunked, per_chunk
 from tidewatt.plans.quantiles import known
-from tidewatt.plans.sizing import attach
+from tidewatt.plans.sizing import attach, profile_keys, same_keys
 from tidewatt.spec import SeriesSpec
 
 # MacKinnon's (2010) response surface for the 5 % critical value with a constant.
 ADF_5PCT = (-2.86154, -2.8903, -4.234, -40.04)
 
 
-def _moments(target: Column, regressors: list[Column]) -> list[Column]:
-    """Sums of products of a target and regressors (a constant included) over complete rows."""
-    full = target.isNotNull()
-    for r in regressors:
-        full = full & r.isNotNull()
-    columns = [F.when(full, F.lit(1.0)), *[F.when(full, r) for r in regressors], F.when(full, target)]
-    return [F.sum(columns[i] * columns[j]) for i in range(len(columns)) for j in range(i, len(columns))]
-
-
 def _adf_from_moments(sums: pd.Series) -> pd.Series:
     """t statistic of the lagged level from the flattened moment matrix of each series."""
     out = []
@@ -54,43 +45,50 @@ def adf_by_difference(
     """Augmented Dickey-Fuller statistic of each signal for differences 0 to ``max_d``.
 
     The regression (constant, lagged level, ``lags`` lagged changes) needs only sums of
-    products, so all series and differences share one window pass and one aggregation; the
-    small systems are then solved in batches. ``stationary`` compares with the 5 % value.
+    products. Every chunk adds up its own; the small summed systems are solved in batches.
+    ``stationary`` compares with the 5 % value.
     """
     import math
 
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
+    profile = profile_keys(rows, keys)
     stats = rows.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count("*").alias("_rows"))
-    scaled = attach(rows, stats, keys).select(
-        *keys, *long.order, "_rows", ((F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))).alias("_z")
-    )
+    scaled = attach(rows, stats.select(*keys, "_m", "_s"), keys, profile)
     reach = lags + 1 + max_d
-    parts = chunked(scaled, long, before=reach, rows_per_chunk=rows_per_chunk)
-    back = [F.col("_z")] + [F.lag("_z", k).over(parts.window) for k in range(1, reach + 1)]
-    frame = parts.trim(parts.frame.select(*parts.frame.columns, *[b.alias(f"_b{k}") for k, b in enumerate(back)]))
-    b = [F.col(f"_b{k}") for k in range(reach + 1)]
-
-    def level(j: int, d: int) -> Column:
-        if d == 0:
-            return b[j]
-        if mode == "lag":
-            return b[j] - b[j + d]
-        out = b[j]
-        for k in range(1, d + 1):
-            out = out + (-1) ** k * math.comb(d, k) * b[j + k]
+    parts = chunked(scaled, long, before=reach, rows_per_chunk=rows_per_chunk, profile=profile)
+    size = lags + 3
+
+    def products(first: int, columns) -> dict:
+        z, out = columns["z"], {}
+        for d in range(max_d + 1):
+            if mode == "lag" or d == 0:
+                level = z[d:] - z[: len(z) - d] if d else z
+            else:
+                level = sum((-1) ** k * math.comb(d, k) * z[d - k : len(z) - k] for k in range(d + 1))
+            change, skip = np.diff(level), max(first - d, lags + 1)
+            if not np.isfinite(z).all() or len(level) <= skip:
+                out[f"_d{d}"] = [0.0] * (size * (size + 1) // 2)
+                continue
+            at = np.arange(skip, len(level))
+            design = np.column_stack(
+                [np.ones(len(at)), level[at - 1], *[change[at - 1 - j] for j in range(1, lags + 1)], change[at - 1]]
+            )
+            out[f"_d{d}"] = (design.T @ design)[np.triu_indices(size)].tolist()
         return out
 
-    aggs = []
-    for d in range(max_d + 1):
-        change = [level(j, d) - level(j + 1, d) for j in range(lags + 1)]
-        aggs.append(F.array(*_moments(change[0], [level(1, d), *change[1:]])).alias(f"_d{d}"))
-    sums = frame.groupBy(*keys).agg(F.first("_rows").alias("_rows"), *aggs)
-    solve = F.pandas_udf(_adf_from_moments, "double")
+    z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
+    outputs = ", ".join(f"_d{d} array<double>" for d in range(max_d + 1))
+    chunk_sums = per_chunk(parts, {"z": z.cast("double")}, products, outputs)
     cells = F.explode(F.array(*[F.struct(F.lit(d).cast("bigint").alias("d"), F.col(f"_d{d}").alias("s")) for d in range(max_d + 1)]))
-    tests = sums.select(*keys, "_rows", cells.alias("_c")).filter(F.col("_rows") - F.col("_c.d") >= 10)
-    tests = tests.select(*keys, F.col("_c.d").alias("d"), F.col("_c.s")[0].cast("bigint").alias("n_obs"), solve(F.col("_c.s")).alias("adf_stat"))
+    flat = chunk_sums.select(*keys, cells.alias("_c")).select(*keys, "_c.d", F.posexplode("_c.s").alias("_i", "_v"))
+    summed = flat.groupBy(*keys, "d", "_i").agg(F.sum("_v").alias("_v")).groupBy(*keys, "d").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_s")
+    )
+    solve = F.pandas_udf(_adf_from_moments, "double")
+    tests = same_keys(summed, stats.select(*keys, "_rows"), keys, "inner").filter(F.col("_rows") - F.col("d") >= 10)
+    tests = tests.select(*keys, "d", F.col("_s")[0].cast("bigint").alias("n_obs"), solve("_s").alias("adf_stat"))
     n = F.when(F.col("n_obs") > 0, F.col("n_obs").cast("double"))
     c0, c1, c2, c3 = ADF_5PCT
     limit = c0 + c1 / n + c2 / (n * n) + c3 / (n * n * n)
@@ -133,9 +131,9 @@ def boxcox_hint(df: DataFrame, spec: SeriesSpec, low: float = -2.0, high: float
         return sums.groupBy(*keys).agg(F.min("_low").alias("_low"), F.max_by("_lam", fit).alias("_best"))
 
     coarse = best(rows, F.array(*[F.lit(round(low + i * width, 12)) for i in range(steps + 1)]))
-    around = attach(rows, coarse.select(*keys, "_best"), keys)
     offsets = F.array(*[F.lit(i * fine_width - width) for i in range(steps + 1)])
-    fine = best(around, F.transform(offsets, lambda o: F.round(F.col("_best") + o, 12)))
+    grids = coarse.select(*keys, F.transform(offsets, lambda o: F.round(F.col("_best") + o, 12)).alias("_grid"))
+    fine = best(attach(rows, grids, keys), F.col("_grid"))
     bad = F.col("_low") <= 0
     return fine.select(
         *keys, F.when(bad, "shift_then_boxcox_or_log").otherwise("boxcox").alias("suggestion"), F.when(~bad, F.col("_best")).alias("lambda")

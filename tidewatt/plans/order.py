@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatt.plans.sizing import BROADCAST_ROWS, MAX_CHUNKS, ROWS_PER_CHUNK, same_keys
+from tidewatt.plans.sizing import BROADCAST_ROWS, MAX_CHUNKS, ROWS_PER_CHUNK, KeyProfile, same_keys
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
@@ -168,15 +170,16 @@ def chunked(
     before: int = 0,
     after: int = 0,
     rows_per_chunk: int | None = None,
-    bounded: bool = False,
+    profile: KeyProfile | None = None,
 ) -> Chunked:
     """Prepare rows for windows that look at most ``before`` rows back and ``after`` ahead.
 
-    Rows without a timestamp have no place in the order and are dropped. ``bounded=True``
-    states that every series is known to fit one task and skips the counting job.
+    Rows without a timestamp have no place in the order and are dropped. A ``profile`` of
+    the same groups that shows they all fit one task saves the counting job.
     """
     df = df.filter(F.col(spec.ts).isNotNull())
-    cells = None if bounded else count_cells(df, spec.keys, spec.order, rows_per_chunk)
+    fits = profile is not None and profile.largest <= (rows_per_chunk or ROWS_PER_CHUNK)
+    cells = None if fits else count_cells(df, spec.keys, spec.order, rows_per_chunk)
     if cells is None:
         return Chunked(df, spec, False)
     size = F.lit(cells.rows_per_chunk)
@@ -217,9 +220,43 @@ def chunked(
     return Chunked(frame, spec, True)
 
 
-def with_position(df: DataFrame, spec: SeriesSpec, name: str = "idx", rows_per_chunk: int | None = None) -> DataFrame:
+def per_chunk(parts: Chunked, values: dict[str, Column], compute, outputs: str) -> DataFrame:
+    """Reduce every chunk with numpy: ``compute(first_own, columns)`` returns one row's fields.
+
+    ``columns`` holds the named values in time order; rows before ``first_own`` are copies
+    of the previous chunk's last rows. Only these values are sent to the Python worker, and
+    a chunk holds a bounded number of rows. Needs a frame without look-ahead copies.
+    """
+    keys = list(parts.spec.keys)
+    groups = [c for c in parts.groups if isinstance(c, str)]
+    order = [axis_value(parts.frame, c) for c in parts.spec.order]
+    order = [F.col(c) if a is None else a for c, a in zip(parts.spec.order, order)]
+    marks = [f"_o{i}" for i in range(len(order))]
+    own = F.col(OWN) if parts.split else F.lit(True)
+    slim = parts.frame.select(
+        *groups, own.alias("_mine"), *[a.alias(m) for a, m in zip(order, marks)], *[v.alias(n) for n, v in values.items()]
+    )
+
+    names = list(values)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(marks)
+        mine = pdf["_mine"].to_numpy()
+        row = {k: [pdf[k].iloc[0]] for k in keys}
+        first = int(np.argmax(mine)) if mine.any() else len(mine)
+        fields = compute(first, {n: pdf[n].to_numpy() for n in names})
+        return pd.DataFrame({**row, **{n: [v] for n, v in fields.items()}})
+
+    kinds = dict(slim.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], outputs])
+    return slim.groupBy(*groups).applyInPandas(run, schema)
+
+
+def with_position(
+    df: DataFrame, spec: SeriesSpec, name: str = "idx", rows_per_chunk: int | None = None, profile: KeyProfile | None = None
+) -> DataFrame:
     """Zero-based row number per series in time order."""
-    parts = chunked(df, spec, rows_per_chunk=rows_per_chunk)
+    parts = chunked(df, spec, rows_per_chunk=rows_per_chunk, profile=profile)
     return parts.trim(parts.frame.withColumn(name, parts.position))
 
 
