@@ -92,6 +92,10 @@ def battery(spark, sf):
     return hourly(spark, sf).select("ts", *[F.col(v).alias(k) for k, v in BATTERY.items()])
 
 
+def complete_battery(spark, sf):
+    return ordered.fill_backward_forward(battery(spark, sf), SITE.with_signals(*BATTERY))
+
+
 def soc_sql() -> str:
     out = ["*", "hour(ts) AS hour", "isodow(ts) - 1 AS dayofweek"]
     out += [f"lag({s}, {k}) OVER (ORDER BY ts) AS {s}_lag{k}" for k in (1, 3, 6, 24) for s in features.SOC_LAGGED]
@@ -169,13 +173,13 @@ TREES = 10
 
 @query("residual_model", None, "rmse mae smape mape", 4)
 def _(spark, sf):
-    _, scored = workflows.fit_residual(battery(spark, sf), SITE, hours=1.0, capacity=50.0, trees=TREES)
+    _, scored = workflows.fit_residual(complete_battery(spark, sf), SITE, hours=1.0, capacity=50.0, trees=TREES)
     return scored.agg(*forecast_metrics("residual", "prediction"))
 
 
 @query("feature_importance", None, "importance", 4)
 def _(spark, sf):
-    model, _ = workflows.fit_residual(battery(spark, sf), SITE, hours=1.0, capacity=50.0, trees=TREES)
+    model, _ = workflows.fit_residual(complete_battery(spark, sf), SITE, hours=1.0, capacity=50.0, trees=TREES)
     return learn.feature_importance(spark, model)
 
 

@@ -85,7 +85,8 @@ def ccf_sql(max_lag: int, center: bool) -> str:
         cells.append("x * y" if k == 0 else f"x * lag(y, {k}) OVER (ORDER BY ts)" if k > 0 else f"y * lag(x, {-k}) OVER (ORDER BY ts)")
     products = ", ".join(f"{c} AS p{i}" for i, c in enumerate(cells))
     sums = ", ".join(f"sum(p{i}) / (s * n)" for i in range(len(cells)))
-    return f"SELECT unnest(range({-max_lag}, {max_lag + 1})) AS lag, unnest([{sums}]) AS value, n AS n_obs FROM (SELECT *, {products} FROM ({rows})) GROUP BY n, s"
+    out = f"SELECT unnest(range({-max_lag}, {max_lag + 1})) AS lag, unnest([{sums}]) AS value, n AS n_obs FROM (SELECT *, {products} FROM ({rows})) GROUP BY n, s"
+    return f"SELECT * FROM ({out}) WHERE abs(lag) <= CASE WHEN n_obs < {2 * max_lag} THEN n_obs // 2 ELSE {max_lag} END"
 
 
 PAIR = HOURLY.with_signals("load_kw", "solar_kw")
@@ -141,7 +142,7 @@ def _(spark, sf):
 @query(
     "seasonal_amplitude",
     " UNION ALL ".join(
-        f"SELECT event_type, 'value' AS signal, {p} AS period, max(v) - min(v) AS seasonal_amplitude FROM (SELECT event_type, idx % {p} AS ph, avg(value - t) AS v FROM ({trend_sql(p)}) GROUP BY 1, 2) GROUP BY 1"
+        f"SELECT event_type, 'value' AS signal, {p} AS period, max(v) - min(v) AS seasonal_amplitude FROM (SELECT event_type, idx % {p} AS ph, avg(value - t) AS v FROM ({trend_sql(p)}) WHERE n >= {2 * p} GROUP BY 1, 2) GROUP BY 1"
         for p in (7, 24, 96)
     ),
     "seasonal_amplitude",
