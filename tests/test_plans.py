@@ -49,7 +49,7 @@ def test_attach_without_broadcast_for_many_keys(spark, monkeypatch):
     df = spark.range(600).selectExpr("if(id < 300, 0, id) AS k", "id AS v")
     per_key = df.groupBy("k").agg(F.sum("v").alias("s"))
     want = sorted(map(tuple, sizing.attach(df, per_key, ["k"]).collect()))
-    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sizing, "BROADCAST_VALUES", 10)
     monkeypatch.setattr(sizing, "ROWS_PER_CHUNK", 50)
     assert sorted(map(tuple, sizing.attach(df, per_key, ["k"]).collect())) == want
 

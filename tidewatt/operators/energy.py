@@ -6,13 +6,14 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatt.functions.timestamps import width_of
 from tidewatt.functions.values import quoted
 from tidewatt.operators.buckets import bucket_mean
 from tidewatt.plans.order import CHUNK, chunked
-from tidewatt.plans.sizing import BROADCAST_ROWS, same_keys
+from tidewatt.plans.sizing import fits_broadcast, same_keys
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
@@ -185,20 +186,21 @@ def clamped_running_balance(
     else:
         frame = frame.withColumn("_entry", F.lit(None).cast("double"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i").reset_index(drop=True)
-        first, deltas = pdf["_s0"].iloc[0], pdf["_d"].to_numpy()
-        if np.isnan(first):
-            values = _walk(deltas, pdf["_entry"].iloc[0], lo, hi)
+    helpers = ["_i", "_d", "_s0", "_entry"]
+    kept = frame.drop(*helpers).schema
+
+    def walk(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_i")
+        first, deltas = rows.column("_s0")[0].as_py(), rows.column("_d").to_numpy()
+        if first is None:
+            values = _walk(deltas, rows.column("_entry")[0].as_py(), lo, hi)
         else:
             values = np.concatenate([[first], _walk(deltas[1:], first, lo, hi)])
-        return pdf[[*groups, "_i"]].assign(_value=values)
+        return rows.drop_columns(helpers).append_column(name, pa.array(values))
 
-    slim = frame.select(*groups, "_i", "_d", "_s0", "_entry")
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in groups], "_i bigint", "_value double"])
-    walked = slim.groupBy(*groups).applyInPandas(walk, schema)
-    joined = same_keys(parts.frame, walked, [*groups, "_i"])
-    return parts.trim(joined.withColumn(name, F.col("_value"))).drop("_i", "_value")
+    schema = T.StructType([*kept.fields, T.StructField(name, T.DoubleType())])
+    walked = frame.select(*kept.names, *helpers).groupBy(*groups).applyInArrow(walk, schema)
+    return parts.trim(walked)
 
 
 def parameter_grid(capacities=CAPACITIES, charge=EFFICIENCIES, discharge=EFFICIENCIES) -> np.ndarray:
@@ -272,7 +274,7 @@ def fit_parameters(
 
         entries = maps.groupBy(*keys).applyInPandas(enter, ", ".join([*head, "_entry array<double>"]))
         table = freeze(entries)
-        small = table.count() * len(combos) <= 10 * BROADCAST_ROWS
+        small = fits_broadcast(table, table.count())
         frame = same_keys(frame, F.broadcast(table) if small else table, groups)
     else:
         frame = frame.withColumn("_entry", F.lit(None).cast("array<double>"))

@@ -10,7 +10,7 @@ from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import long_form
 from tidewatt.plans.order import chunked, per_chunk
 from tidewatt.plans.quantiles import known
-from tidewatt.plans.sizing import attach, profile_keys, same_keys
+from tidewatt.plans.sizing import attach, measured, same_keys
 from tidewatt.spec import SeriesSpec
 
 MIN_ROWS = 10
@@ -77,10 +77,8 @@ def acf(df: DataFrame, spec: SeriesSpec, max_lag: int = 100, half_less_one: bool
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
-    profile = profile_keys(rows, keys)
-    stats = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_obs"), F.avg("value").alias("_mean"), (F.var_pop("value") * F.count("*")).alias("_ss")
-    ).filter(F.col("n_obs") >= MIN_ROWS)
+    stats, profile = measured(rows, keys, _mean=F.avg("value"), _ss=F.var_pop("value") * F.count("*"))
+    stats = stats.filter(F.col("n_obs") >= MIN_ROWS)
     centred = attach(rows, stats.select(*keys, "_mean"), keys, profile).filter("_mean IS NOT NULL")
     parts = chunked(centred, long, before=max_lag, rows_per_chunk=rows_per_chunk, profile=profile)
 
@@ -151,11 +149,9 @@ def ccf(df: DataFrame, spec: SeriesSpec, max_lag: int = 100, center: bool = True
     keys = list(spec.keys)
     x, y = known(quoted(a)), known(quoted(b))
     pairs = df.select(*keys, *spec.order, x.alias("_x"), y.alias("_y")).na.drop(subset=["_x", "_y"])
-    profile = profile_keys(pairs, keys)
-    stats = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_obs"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"),
-        (F.stddev_pop("_x") * F.stddev_pop("_y") * F.count("*")).alias("_scale"),
-    ).filter(F.col("n_obs") >= MIN_ROWS)
+    scale = F.stddev_pop("_x") * F.stddev_pop("_y") * F.count("*")
+    stats, profile = measured(pairs, keys, _mx=F.avg("_x"), _my=F.avg("_y"), _scale=scale)
+    stats = stats.filter(F.col("n_obs") >= MIN_ROWS)
     rows = attach(pairs, stats.select(*keys, "_mx", "_my"), keys, profile).filter("_mx IS NOT NULL")
     parts = chunked(rows, spec, before=max_lag, rows_per_chunk=rows_per_chunk, profile=profile)
     mean_x, mean_y = (F.col("_mx"), F.col("_my")) if center else (F.lit(0.0), F.lit(0.0))

@@ -8,7 +8,7 @@ from tidewatt.functions.timestamps import micros
 from tidewatt.functions.values import quoted, replace_columns
 from tidewatt.plans.order import BASE, SPLIT, Chunked, chunked, known_neighbours, with_position
 from tidewatt.plans.quantiles import known, quantile_wide
-from tidewatt.plans.sizing import attach, profile_keys
+from tidewatt.plans.sizing import attach, measured, profile_keys
 from tidewatt.spec import SeriesSpec
 
 # Longer frames use differences of running sums instead of re-adding the frame per row.
@@ -243,9 +243,8 @@ def lag_difference(df: DataFrame, spec: SeriesSpec, d: int = 1, mode: str = "lag
 def with_length(df: DataFrame, spec: SeriesSpec, rows_per_chunk: int | None = None) -> DataFrame:
     """Row position ``idx`` and series length ``n_rows``."""
     df = df.filter(F.col(spec.ts).isNotNull())
-    profile = profile_keys(df, spec.keys)
-    sizes = df.groupBy(*spec.keys).agg(F.count("*").alias("n_rows"))
-    return with_position(attach(df, sizes, spec.keys, profile), spec, "idx", rows_per_chunk, profile)
+    sizes, profile = measured(df, spec.keys)
+    return with_position(attach(df, sizes.withColumnRenamed("n_obs", "n_rows"), spec.keys, profile), spec, "idx", rows_per_chunk, profile)
 
 
 def time_split(df: DataFrame, spec: SeriesSpec, train: float = 0.8, rows_per_chunk: int | None = None) -> DataFrame:

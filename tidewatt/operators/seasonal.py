@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.operators.ordered import DIRECT_FRAME, long_form, running_frame, whole_frame
 from tidewatt.plans.order import Chunked, chunked
-from tidewatt.plans.sizing import BROADCAST_ROWS, attach, profile_keys, same_keys
+from tidewatt.plans.sizing import attach, fits_broadcast, measured, same_keys
 from tidewatt.spec import SeriesSpec
 
 # Rows per spectrum segment; longer series average the spectra of their segments.
@@ -46,9 +46,8 @@ def seasonal_decompose(
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
-    profile = profile_keys(rows, keys)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_obs")).filter(F.col("n_obs") >= 2 * period)
-    rows = attach(rows, sizes, keys, profile).filter("n_obs IS NOT NULL")
+    sizes, profile = measured(rows, keys)
+    rows = attach(rows, sizes.filter(F.col("n_obs") >= 2 * period), keys, profile).filter("n_obs IS NOT NULL")
     half = period // 2
     parts = chunked(rows, long, before=half + 1, after=half + 1, rows_per_chunk=rows_per_chunk, profile=profile)
     parts = parts.having(parts.frame.withColumn("idx", parts.position))
@@ -88,7 +87,7 @@ def seasonal_decompose(
     phases = phases.withColumn("seasonal", F.col("_mean") - F.avg("_mean").over(by_key))
     lines = [f"_{side}_{c}" for side in ("front", "back") for c in "kb"] if extrapolate else []
     table = phases.select(*keys, "_phase", "seasonal", *lines)
-    if profile.groups * period <= BROADCAST_ROWS:
+    if fits_broadcast(table, profile.groups * period):
         out = same_keys(base, F.broadcast(table), [*keys, "_phase"])
     else:
         out = attach(base, table, [*keys, "_phase"])

@@ -10,7 +10,7 @@ from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import long_form
 from tidewatt.plans.order import chunked, per_chunk
 from tidewatt.plans.quantiles import known
-from tidewatt.plans.sizing import attach, profile_keys, same_keys
+from tidewatt.plans.sizing import attach, measured, same_keys
 from tidewatt.spec import SeriesSpec
 
 # MacKinnon's (2010) response surface for the 5 % critical value with a constant.
@@ -53,8 +53,8 @@ def adf_by_difference(
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
-    profile = profile_keys(rows, keys)
-    stats = rows.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count("*").alias("_rows"))
+    stats, profile = measured(rows, keys, _m=F.avg("value"), _s=F.stddev_pop("value"))
+    stats = stats.withColumnRenamed("n_obs", "_rows")
     scaled = attach(rows, stats.select(*keys, "_m", "_s"), keys, profile)
     reach = lags + 1 + max_d
     parts = chunked(scaled, long, before=reach, rows_per_chunk=rows_per_chunk, profile=profile)

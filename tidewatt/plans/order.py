@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatt.plans.sizing import BROADCAST_ROWS, MAX_CHUNKS, ROWS_PER_CHUNK, KeyProfile, same_keys
+from tidewatt.plans.sizing import MAX_CHUNKS, ROWS_PER_CHUNK, KeyProfile, fits_broadcast, same_keys
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
@@ -207,7 +207,7 @@ def chunked(
             F.max(F.col("_start") + F.col("_n")).over(Window.partitionBy(*keys, CHUNK)).alias(END),
         )
     )
-    small = layout.count() <= BROADCAST_ROWS
+    small = fits_broadcast(layout.drop(CELL), layout.count())
     frame = same_keys(cells.locate(df), F.broadcast(layout) if small else layout, [*keys, CELL])
     frame = (
         frame.withColumn(SPLIT, F.col(CHUNK).isNotNull())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.plans.order import CELL, count_cells
-from tidewatt.plans.sizing import PERCENTILE_ROWS, KeyProfile, profile_keys, same_keys
+from tidewatt.plans.sizing import PERCENTILE_VALUES, KeyProfile, profile_keys, same_keys
 
 
 def known(value: Column) -> Column:
@@ -23,7 +23,7 @@ def quantile_wide(df: DataFrame, keys, values, probs, profile: KeyProfile | None
     """One row per key with an array of quantiles for each value column."""
     keys, values, probs = list(keys), list(values), [float(p) for p in probs]
     profile = profile or profile_keys(df, keys)
-    if profile.largest <= PERCENTILE_ROWS:
+    if profile.largest * len(values) <= PERCENTILE_VALUES:
         return df.groupBy(*keys).agg(
             *[F.percentile(known(F.col(v)), F.array(*map(F.lit, probs))).alias(v) for v in values]
         )
@@ -40,7 +40,7 @@ def quantile_long(df: DataFrame, keys, value: str, probs, profile: KeyProfile |
     """One row per key with the array ``quantiles``."""
     keys, probs = list(keys), [float(p) for p in probs]
     profile = profile or profile_keys(df, keys)
-    if profile.largest <= PERCENTILE_ROWS:
+    if profile.largest <= PERCENTILE_VALUES:
         return df.groupBy(*keys).agg(
             F.percentile(known(F.col(value)), F.array(*map(F.lit, probs))).alias("quantiles")
         )
@@ -51,7 +51,7 @@ def ranked_quantiles(df, keys, value, probs, largest, rows_per_chunk: int | None
     """Quantiles by rank selection: count value cells, sort only the cells that matter."""
     keys = list(keys)
     data = df.select(*keys, known(F.col(value)).alias("_value")).filter("_value IS NOT NULL")
-    limit = rows_per_chunk or PERCENTILE_ROWS
+    limit = rows_per_chunk or PERCENTILE_VALUES
     cells = count_cells(data, keys, ["_value"], limit)
     builtin = F.percentile("_value", F.array(*map(F.lit, probs))).alias("quantiles")
     if cells is None:

@@ -6,14 +6,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatt.session import freeze
+
 # Rows that one window group may hold before a series is cut into chunks.
 ROWS_PER_CHUNK = 100_000
 # Upper bound on the number of chunks; beyond it chunks grow instead.
 MAX_CHUNKS = 50_000
-# Rows a per-series table may have to be broadcast (about 100 bytes each).
-BROADCAST_ROWS = 1_000_000
-# Values per group up to which the built-in exact percentile is used.
-PERCENTILE_ROWS = 2_000_000
+# Values (rows times columns, about 8 bytes each) a table may have to be broadcast.
+BROADCAST_VALUES = 8_000_000
+# Values per group up to which the built-in exact percentile is used; it keeps them all in
+# memory, for up to 128 groups per task.
+PERCENTILE_VALUES = 200_000
+# Entries an array column is taken to hold when a table's size is estimated.
+ARRAY_ENTRIES = 100
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,26 @@ def profile_keys(df: DataFrame, keys) -> KeyProfile:
     return KeyProfile(row["rows"], row["groups"], row["largest"])
 
 
+def measured(df: DataFrame, keys, **aggregates: Column) -> tuple[DataFrame, KeyProfile]:
+    """Per-key aggregates plus the row count ``n_obs``, computed once, and the sizes they show.
+
+    The table is written to the shared folder, so the scan behind it is not repeated by the
+    operators that use it, and its counts decide how they do.
+    """
+    columns = [e.alias(name) for name, e in aggregates.items()]
+    table = freeze(df.groupBy(*keys).agg(F.count("*").alias("n_obs"), *columns))
+    row = table.agg(
+        F.coalesce(F.sum("n_obs"), F.lit(0)).alias("rows"), F.count("*").alias("groups"), F.coalesce(F.max("n_obs"), F.lit(0)).alias("largest")
+    ).first()
+    return table, KeyProfile(row["rows"], row["groups"], row["largest"])
+
+
+def fits_broadcast(table: DataFrame, rows: int) -> bool:
+    """Whether a table with this many rows may be broadcast, by its columns and their kind."""
+    width = sum(ARRAY_ENTRIES if kind.startswith("array") else 4 if kind == "string" else 1 for _, kind in table.dtypes)
+    return rows * width <= BROADCAST_VALUES
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
     """Join on keys where null equals null; the right side's key columns are dropped."""
     renamed = right
@@ -66,7 +91,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys, profile: KeyProfile | None =
     if not keys:
         return df.crossJoin(F.broadcast(per_key))
     profile = profile or profile_keys(df, keys)
-    if profile.groups <= BROADCAST_ROWS:
+    if fits_broadcast(per_key, profile.groups):
         return same_keys(df, F.broadcast(per_key), keys)
     floor = max(ROWS_PER_CHUNK, -(-profile.rows // MAX_CHUNKS))
     large = df.groupBy(*keys).count().filter(F.col("count") > floor).drop("count")
