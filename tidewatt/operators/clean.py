@@ -10,7 +10,8 @@ from tidewatt.operators.ordered import drop_neighbours, interpolated
 from tidewatt.operators.quality import long_rows
 from tidewatt.plans.order import chunked, known_neighbours
 from tidewatt.plans.quantiles import known, quantile_wide
-from tidewatt.plans.sizing import KeyProfile, attach, profile_keys, same_keys
+from tidewatt.plans.sizing import KeyProfile, attach, measured, same_keys
+from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
 Z_LIMIT = 4.0
@@ -54,35 +55,29 @@ def sentinel_flags(df: DataFrame, signals, sentinels=(SENTINEL,)) -> DataFrame:
     return df.select("*", *[is_sentinel(quoted(s), sentinels).alias(f"{s}_sentinel") for s in signals])
 
 
-def bounds(df: DataFrame, spec: SeriesSpec, sentinels, zscore: bool, iqr: bool, profile=None) -> DataFrame:
+def bounds(df: DataFrame, spec: SeriesSpec, sentinels, zscore: bool, iqr: bool) -> tuple[DataFrame, KeyProfile]:
     """One row per key: mean and population deviation, and quartiles, of each signal."""
     keys = list(spec.keys)
     clean = df.select(*keys, *[reading(s, sentinels).alias(s) for s in spec.signals])
-    table = None
+    moments = {}
     if zscore:
-        moments = []
         for s in spec.signals:
-            moments += [F.avg(quoted(s)).alias(f"{s}#mean"), F.stddev_pop(quoted(s)).alias(f"{s}#std")]
-        table = clean.groupBy(*keys).agg(*moments)
+            moments |= {f"{s}#mean": F.avg(quoted(s)), f"{s}#std": F.stddev_pop(quoted(s))}
+    table, profile = measured(clean, keys, **moments)
+    table = table.drop("n_obs")
     if iqr:
         q = quantile_wide(clean, keys, spec.signals, [0.25, 0.75], profile)
-        q = q.select(*keys, *[quoted(s)[i].alias(f"{s}#q{i}") for s in spec.signals for i in (0, 1)])
-        table = q if table is None else same_keys(table, q, keys)
-    return table
+        q = freeze(q.select(*keys, *[quoted(s)[i].alias(f"{s}#q{i}") for s in spec.signals for i in (0, 1)]))
+        table = same_keys(table, q, keys)
+    return table, profile
 
 
-def with_flags(
-    df: DataFrame, spec: SeriesSpec, method: str = "combined", z_limit=Z_LIMIT, iqr_factor=IQR_FACTOR, sentinels=(SENTINEL,),
-    profile: KeyProfile | None = None,
-) -> DataFrame:
-    """Add ``<signal>_sentinel``, ``<signal>_statistical`` and ``<signal>_flag``.
-
-    ``method`` is 'zscore', 'iqr' or 'combined' (both must agree). The limits come from the
-    readings that are neither missing nor sentinels; those rows are never statistical flags.
-    """
-    profile = profile or profile_keys(df, spec.keys)
+def flagged_rows(
+    df: DataFrame, spec: SeriesSpec, method: str = "combined", z_limit=Z_LIMIT, iqr_factor=IQR_FACTOR, sentinels=(SENTINEL,)
+) -> tuple[DataFrame, KeyProfile]:
+    """The rows with their flags, and the group sizes found on the way."""
     zscore, iqr = method in ("zscore", "combined"), method in ("iqr", "combined")
-    limits = bounds(df, spec, sentinels, zscore, iqr, profile)
+    limits, profile = bounds(df, spec, sentinels, zscore, iqr)
     rows = attach(df, limits, spec.keys, profile)
     columns = []
     for s in spec.signals:
@@ -96,7 +91,16 @@ def with_flags(
             hit = hit & ((v < q1 - iqr_factor * (q3 - q1)) | (v > q3 + iqr_factor * (q3 - q1)))
         hit = F.coalesce(hit, F.lit(False))
         columns += [sentinel.alias(f"{s}_sentinel"), hit.alias(f"{s}_statistical"), (sentinel | hit).alias(f"{s}_flag")]
-    return rows.select(*[quoted(c) for c in df.columns], *columns)
+    return rows.select(*[quoted(c) for c in df.columns], *columns), profile
+
+
+def with_flags(df: DataFrame, spec: SeriesSpec, method: str = "combined", **options) -> DataFrame:
+    """Add ``<signal>_sentinel``, ``<signal>_statistical`` and ``<signal>_flag``.
+
+    ``method`` is 'zscore', 'iqr' or 'combined' (both must agree). The limits come from the
+    readings that are neither missing nor sentinels; those rows are never statistical flags.
+    """
+    return flagged_rows(df, spec, method, **options)[0]
 
 
 def zscore_flags(df: DataFrame, spec: SeriesSpec, limit: float = Z_LIMIT, sentinels=(SENTINEL,)) -> DataFrame:
@@ -129,8 +133,7 @@ def cleaned_columns(
     if unknown:
         raise ValueError(f"unknown cleaning strategies: {sorted(unknown)}")
     sentinels = options.get("sentinels", (SENTINEL,))
-    profile = profile_keys(df, spec.keys)
-    rows = with_flags(df, spec, profile=profile, **options)
+    rows, profile = flagged_rows(df, spec, **options)
     first = {}
     for s in spec.signals:
         strategy = strategies.get(s, INTERPOLATE)

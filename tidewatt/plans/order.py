@@ -229,8 +229,8 @@ def per_chunk(parts: Chunked, values: dict[str, Column], compute, outputs: str)
     """
     keys = list(parts.spec.keys)
     groups = [c for c in parts.groups if isinstance(c, str)]
-    order = [axis_value(parts.frame, c) for c in parts.spec.order]
-    order = [F.col(c) if a is None else a for c, a in zip(parts.spec.order, order)]
+    kinds = dict(parts.frame.dtypes)
+    order = [F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c) for c in parts.spec.order]
     marks = [f"_o{i}" for i in range(len(order))]
     own = F.col(OWN) if parts.split else F.lit(True)
     slim = parts.frame.select(

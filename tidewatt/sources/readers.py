@@ -70,6 +70,7 @@ def merge_files(spark: SparkSession, paths, schema=None, check: bool = True) ->
 def page(df: DataFrame, order, start: int = 0, size: int = 10_000) -> DataFrame:
     """Rows ``start`` to ``start + size`` in a total order; the end is clamped to the table.
 
+    ``order`` must be a total order whose first column has no nulls.
     Early pages are a top-n. For later ones the table is cut into counted cells along the
     order, and only chunks that reach into the page are sorted.
     """
