@@ -14,6 +14,7 @@ def get_session(app_name: str = "tidewatt", **conf) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
