@@ -15,6 +15,7 @@ from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import time_split, with_length
 from tidewatt.plans.quantiles import known
 from tidewatt.plans.sizing import attach, same_keys
+from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
 
@@ -144,9 +145,10 @@ def residual_model(
     """
     features = list(features)
     complete = df.na.drop(subset=[*features, target])
-    if complete.limit(min_rows).count() < min_rows:
+    # Every boosting round reads the rows again, so the feature table is written once.
+    labelled = freeze(time_split(complete, spec, train).withColumn("_label", F.col(target).cast("double")))
+    if labelled.limit(min_rows).count() < min_rows:
         raise ValueError("not enough complete rows to train the residual model")
-    labelled = time_split(complete, spec, train).withColumn("_label", F.col(target).cast("double"))
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     booster = GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=trees, stepSize=rate, seed=seed)
     model = Pipeline(stages=[assembler, booster]).fit(labelled.filter("split = 'train'"))
