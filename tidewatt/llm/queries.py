@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_stream, simhash_trie
+from . import exact_stream, packing, ring_shards, simhash_trie, suffix_dedup
 from .common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring_shards.shard(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_stream.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -16,7 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op6_sharding, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
