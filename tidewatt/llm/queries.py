@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_stream, packing, ring_shards, simhash_trie, suffix_dedup
+from . import exact_stream, packing, pfair_mix, ring_shards, simhash_trie, suffix_dedup
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
@@ -37,7 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_sharding, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op6_sharding, op7_mixing, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
