@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_lang, exact_stream, license_scan, packing, pfair_mix, ring_shards, simhash_trie, suffix_dedup
+from . import crf_lang, embed_dedup, exact_stream, license_scan, packing, pfair_mix, ring_shards, simhash_trie, suffix_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_components(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.find_notices(table(spark, sf_dir, "documents")))
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_license_scan, op5_language, op6_sharding, op7_mixing, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_license_scan, op5_language, op6_sharding, op7_mixing, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
