@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +43,18 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def kept_in_worker(name: str, key, make):
+    """What ``make`` gives, made once for ``key`` and kept by this Python worker from task to task.
+
+    Worker code travels with the job, so module variables start anew in every task; only the newest
+    key of a name is kept.
+    """
+    store = sys.__dict__.setdefault("_tidewatt_kept", {})
+    if store.get(name, (None,))[0] != key:
+        store[name] = (key, make())
+    return store[name][1]
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle, as the session sets them."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,7 @@ a whole text are then labelled by forward-backward, all texts of a batch side by
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import kept_in_worker, slim
 
 #: Bounds of the labelled sample: rows per language, and passages and words taken from each.
 ROWS_PER_LANGUAGE = 300
@@ -296,13 +297,13 @@ def label_texts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     ids are kept as they come; an empty table gives an empty result.
     """
     source = slim(docs, doc_id=id_col, text=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(field))
+    key = uuid.uuid4().hex
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        labeller = None
+        labeller = kept_in_worker("field", key, lambda: Labeller(Field(**sent.value)))
         for pdf in batches:
-            labeller = labeller or Labeller(sent.value)
             got = labeller.label([None if t is None else t for t in pdf["text"].array])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "runs": [g[2] for g in got]})
 

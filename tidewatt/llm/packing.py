@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import kept_in_worker, slim
 
 #: Pieces packed together.
 BATCH = 256
@@ -54,14 +54,6 @@ class _Known(dict):
 class WordTokenizer:
     """Ids of a text as little-endian 32-bit bytes, word by word through the tokenizer's model."""
 
-    _made: dict[str, WordTokenizer] = {}
-
-    @classmethod
-    def at(cls, path: str) -> WordTokenizer:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -164,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int |
     schema = "doc_id {}, start long, ids binary, length long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches):
-        tokens = WordTokenizer.at(tokenizer)
+        tokens = kept_in_worker("tokenizer", tokenizer, lambda: WordTokenizer(tokenizer))
         number = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []
 

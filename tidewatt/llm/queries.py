@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_lang, embed_dedup, exact_stream, license_scan, packing, pfair_mix, ring_shards, simhash_trie, suffix_dedup
+from . import crf_lang, embed_dedup, exact_stream, license_scan, packing, pfair_mix, ring_shards, simhash_trie, site_quality, suffix_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.find_notices(table(spark, sf_dir, "documents")))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_lang.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -53,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_license_scan, op5_language, op6_sharding, op7_mixing, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_license_scan, op4_site_quality, op5_language, op6_sharding, op7_mixing, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
