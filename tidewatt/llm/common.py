@@ -13,6 +13,9 @@ from tidewatt.session import freeze, shared_dir
 
 #: Rows of a cell that one window task ranks.
 ROWS_PER_CELL = 50_000
+#: Bits of one block of a bitmap (Spark's size), and the largest bitmap that is broadcast.
+BLOCK_BITS = 32_768
+BITMAP_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,28 @@ def ranked(df: DataFrame, group: str, order: str, tie: str, into: str, rows: int
     return joined.withColumn(into, F.col("__before") + F.col("__row") - 1).drop("__cell", "__at", "__group", "__before", "__row", "__n")
 
 
+def only_members(rows: DataFrame, key: str, members: DataFrame, member: str, n: int) -> DataFrame:
+    """Drop most rows whose key is not a member before they are shuffled; the join after it is exact.
+
+    Members are hashed into a bitmap of 16 bits each, which is broadcast while it stays under
+    ``BITMAP_BYTES``; with more members the rows go to the join as they are.
+    """
+    blocks = max(1, -(-16 * n // BLOCK_BITS))
+    if blocks * BLOCK_BITS // 8 > BITMAP_BYTES:
+        return rows
+
+    def bit(column):
+        return F.pmod(F.xxhash64(column), F.lit(blocks * BLOCK_BITS))
+
+    marks = members.select(bit(member).alias("bit"))
+    marks = marks.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    marked = rows.withColumn("__bit", bit(key)).join(F.broadcast(marks), F.col("block") == F.bitmap_bucket_number("__bit"))
+    place = F.bitmap_bit_position("__bit")
+    octet = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("__octet", octet).withColumn("__shift", (place % 8).cast("int"))
+    return marked.where(F.expr("shiftright(__octet, __shift) % 2 = 1")).select(*rows.columns)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (node, component = its smallest node).
 

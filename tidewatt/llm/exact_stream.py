@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatt.session import scratch_path
 
-from .common import durable, settings, slim
+from .common import durable, only_members, settings, slim
 
 #: The characters that do not count when texts are compared.
 BLANKS = " \t\n\x0b\f\r"
@@ -24,7 +24,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    "spark.sql.streaming.metricsEnabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -106,13 +106,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def collisions(source: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows whose digest is that of a kept row but whose bytes are not: none, unless digests collide.
 
-    Only groups with a hit are compared; a bloom filter over their digests lets the scan drop all
-    other texts before the shuffle. Written at once, as it is nearly always empty.
+    Only the texts of groups with a hit are moved. Written at once, as it is nearly always empty.
     """
-    spark = source.sparkSession
     hits = groups.where("group_size > 1 and locator is not null").select("digest", "locator")
     rows = source.select("doc_id", F.sha2(normal(F.col("text")), 256).alias("digest"), normal(F.col("text")).alias("bytes"), F.length("text").cast("long").alias("points"))
-    held = rows.join(hits, (rows["doc_id"] == hits["locator"]) & (rows["digest"] == hits["digest"])).select(rows["digest"], F.col("bytes").alias("held"))
+    n = hits.count()
+    held = only_members(rows, "doc_id", hits, "locator", n)
+    held = held.join(hits, (held["doc_id"] == hits["locator"]) & (held["digest"] == hits["digest"])).select(held["digest"], F.col("bytes").alias("held"))
     held = held.groupBy("digest").agg(F.min("held").alias("held"))
-    with settings(spark, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
-        return durable(rows.join(held, "digest").where("bytes <> held").select("doc_id", "digest", "bytes", "points"))
+    hit = only_members(rows, "digest", hits, "digest", n)
+    return durable(hit.join(held, "digest").where("bytes <> held").select("doc_id", "digest", "bytes", "points"))
