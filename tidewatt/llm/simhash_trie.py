@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, slim, spread
+from .common import components, durable, only_members, slim, spread
 
 BITS = 64
 SEED = 42
@@ -79,8 +79,7 @@ def visit(owner: np.ndarray, value: np.ndarray, roots: np.ndarray, depth: int, b
     a run of rows with the same owner and the same upper bits.
     """
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.array([], np.int64)
-    left, right = roots[:, 0], roots[:, 1]
-    errors = np.zeros(len(left), np.int64)
+    left, right, errors = roots[:, 0], roots[:, 1], roots[:, 2]
     while len(left) and depth < BITS:
         step = min(STEP_BITS, BITS - depth)
         below = value >> np.uint64(BITS - depth - step)
@@ -98,7 +97,7 @@ def visit(owner: np.ndarray, value: np.ndarray, roots: np.ndarray, depth: int, b
         keep = (e <= budget) & (i <= j)
         left, right, errors, starts, depth = i[keep], j[keep], e[keep], fresh, depth + step
     other = left != right
-    return starts[left[other]], starts[right[other]]
+    return starts[left[other]], starts[right[other]], errors[other]
 
 
 def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -118,62 +117,93 @@ def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = nearer
 
 
+def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same rows 0..n-1 as (i, j) do at every distance, fewest bits first."""
+    label = np.arange(n)
+    us, vs = [], []
+    for d in np.unique(bits):
+        a, b = i[bits == d], j[bits == d]
+        while True:
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            if not len(a):
+                break
+            pick = np.full(n, len(a))
+            at = np.arange(len(a))
+            np.minimum.at(pick, label[a], at)
+            np.minimum.at(pick, label[b], at)
+            best = np.unique(pick[pick < len(a)])
+            us.append(a[best])
+            vs.append(b[best])
+            label = smallest_linked(n, np.r_[np.arange(n), a[best]], np.r_[label, b[best]])
+    none = [np.array([], np.int64)]
+    return np.concatenate(us or none), np.concatenate(vs or none)
+
+
+CELL = ["block", "kind", "top", "low", "high"]
+
+
 def _links(batch: pd.DataFrame, budget: int, bounds) -> pa.RecordBatch:
-    """Links of whole cells, thinned to one link per row to the smallest it reaches."""
+    """Links of whole cells, thinned to a forest of the nearest."""
     turned = batch["turned"].to_numpy(np.int64).view(np.uint64)
     order = np.lexsort((turned, batch["side"].to_numpy(), batch["cell"].to_numpy(), batch["block"].to_numpy()))
     batch, turned = batch.iloc[order], turned[order]
-    node = batch["node"].to_numpy(np.int64)
+    node, blocks = batch["node"].to_numpy(np.int64), batch["block"].to_numpy()
     us, vs = [], []
-    for block in np.unique(batch["block"].to_numpy()):
-        at = np.flatnonzero(batch["block"].to_numpy() == block)
+    for block in np.unique(blocks):
+        at = np.flatnonzero(blocks == block)
         cell, side = batch["cell"].to_numpy()[at], batch["side"].to_numpy()[at]
         changed = np.r_[True, (cell[1:] != cell[:-1]) | (side[1:] != side[:-1])]
         owner = np.cumsum(changed) - 1
         heads = np.flatnonzero(changed)
         cross = batch["cross"].to_numpy()[at][heads]
+        above = (batch["kind"].to_numpy()[at][heads] >= 0).astype(np.int64)
         twin = np.r_[cell[heads][1:] == cell[heads][:-1], False]
-        roots = [(k, k) for k in np.flatnonzero(~cross)] + [(k, k + 1) for k in np.flatnonzero(cross & twin)]
-        if not roots:
+        alone, both = np.flatnonzero(~cross), np.flatnonzero(cross & twin)
+        roots = np.r_[np.c_[alone, alone, above[alone]], np.c_[both, both + 1, above[both]]]
+        if not len(roots):
             continue
-        i, j = visit(owner, turned[at], np.array(roots), bounds[block][1], budget)
+        i, j, bits = visit(owner, turned[at], roots, bounds[block][1], budget)
         names, index = np.unique(node[at], return_inverse=True)
-        low = smallest_linked(len(names), index[i], index[j])
-        moved = np.flatnonzero(low != np.arange(len(names)))
-        us.append(names[moved])
-        vs.append(names[low[moved]])
+        u, v = nearest_forest(len(names), index[i], index[j], bits)
+        us.append(names[np.maximum(u, v)])
+        vs.append(names[np.minimum(u, v)])
     none = [np.array([], np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or none)), pa.array(np.concatenate(vs or none))], names=["u", "v"])
 
 
-def link_edges(reps: DataFrame, budget: int, tile: int = TILE) -> DataFrame:
+def link_edges(reps: DataFrame, budget: int, near_blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Edges (u, v) that span the links of distinct fingerprints ``reps`` (node, fp).
 
-    Every link is found; each visited cell gives at most one edge per row. A root with over
-    ``tile`` fingerprints is cut into tiles by hash, and each pair of its tiles is a cell of its own.
+    With ``near_blocks`` None there are budget + 1 blocks and one of them agrees; else there are so
+    many blocks (budget < 2 x near_blocks) and one of them differs in one bit at most: its two values
+    are the two sides of a root. Every link is found; each visited cell gives a forest of its nearest
+    links. A root with over ``tile`` fingerprints is cut into tiles by hash, and each pair of its tiles
+    is a cell of its own.
     """
-    bounds = block_bounds(budget)
-    turn = [F.when(F.lit(a) == 0, F.col("fp")).otherwise(F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", (BITS - a) % BITS))) for a, _ in bounds]
-    rows = reps.select(
-        "node",
-        "fp",
-        F.explode(F.array(*[
-            F.struct(F.lit(k).alias("block"), t.alias("turned"), F.shiftrightunsigned(t, BITS - w).alias("top"))
-            for k, (t, (_, w)) in enumerate(zip(turn, bounds))
-        ])).alias("r"),
-    ).select("node", "fp", "r.*")
-    large = rows.groupBy("block", "top").agg(F.count(F.lit(1)).alias("n"))
-    large = large.where(F.col("n") > tile).select("block", "top", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    rows = rows.join(large, ["block", "top"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    bounds = block_bounds(budget if near_blocks is None else near_blocks - 1)
+    entries = []
+    for k, (a, w) in enumerate(bounds):
+        turned = F.col("fp") if a == 0 else F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", BITS - a))
+        top = F.shiftrightunsigned(turned, BITS - w)
+        for kind in range(-1, w if near_blocks else 0):
+            bit = F.lit(0) if kind < 0 else F.shiftright(top, kind) % 2
+            value = top if kind < 0 else top - F.shiftleft(bit, kind)
+            entries.append(F.struct(F.lit(k).alias("block"), F.lit(kind).alias("kind"), turned.alias("turned"), value.cast("long").alias("top"), bit.cast("int").alias("bit")))
+    rows = reps.select("node", "fp", F.explode(F.array(*entries)).alias("r")).select("node", "fp", "r.*")
+    large = rows.groupBy("block", "kind", "top").agg(F.count(F.lit(1)).alias("n"))
+    large = large.where(F.col("n") > tile).select("block", "kind", "top", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    rows = rows.join(large, ["block", "kind", "top"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
+    paired = F.col("kind") >= 0
+    first = F.when(paired, F.col("bit") == 0).otherwise(F.col("own") <= F.col("other"))
+    low, high = F.when(first, F.col("own")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("own"))
     rows = rows.select(
-        "node", "block", "turned",
-        "top", low.alias("low"), high.alias("high"),
-        (F.col("own") != low).cast("int").alias("side"), (low != high).alias("cross"),
+        "node", "block", "kind", "turned", "top", low.alias("low"), high.alias("high"),
+        F.when(first, 0).otherwise(1).alias("side"), (paired | (F.col("own") != F.col("other"))).alias("cross"),
     )
-    rows = rows.repartition(spread(reps), "block", "top", "low", "high").sortWithinPartitions("block", "top", "low", "high")
+    rows = rows.repartition(spread(reps), *CELL).sortWithinPartitions(*CELL)
 
     def run(batches):
         waiting: list[pd.DataFrame] = []
@@ -182,14 +212,14 @@ def link_edges(reps: DataFrame, budget: int, tile: int = TILE) -> DataFrame:
             pdf = rb.to_pandas()
             if not len(pdf):
                 continue
-            keys = pdf[["block", "top", "low", "high"]].to_numpy(np.int64)
+            keys = pdf[CELL].to_numpy(np.int64)
             new = np.r_[last is None or (keys[0] != last).any(), (keys[1:] != keys[:-1]).any(axis=1)]
             last = keys[-1]
             pdf["cell"] = number + np.cumsum(new)
             number = int(pdf["cell"].iloc[-1])
             cuts = np.r_[np.flatnonzero(new), len(pdf)]
             at = 0
-            for a, b in zip(cuts, cuts[1:]):
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
                 if pairs + (b - a) ** 2 > PAIRS_AT_ONCE and (a > at or waiting):
                     waiting.append(pdf.iloc[at:a])
                     yield _links(pd.concat(waiting), budget, bounds)
@@ -215,3 +245,43 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(link_edges(reps.where("node is not null"), budget))
     named = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def jaccard(one: str | None, two: str | None, shingle: int) -> float:
+    """Similarity of the sets of word shingles; a shorter text is one shingle, an empty one none."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        words = (text or "").encode("utf-8").lower().split()
+        return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+    a, b = shingles(one), shingles(two)
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def verified_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    print_shingle: int = 2, budget: int = 9, near_blocks: int = 5,
+) -> DataFrame:
+    """Rows (doc_id, keep_id) of documents that are near copies of others; keep_id is a group's smallest.
+
+    Fingerprints over ``print_shingle`` words that differ in at most ``budget`` bits are candidates (a
+    forest of the nearest per cell); only pairs whose sets of ``shingle`` words are at least
+    ``similarity`` alike are links, so documents that merely resemble each other are not grouped.
+    Texts without words are never linked; rows with a null id take no part.
+    """
+    source = slim(docs, doc_id=id_col, text=text_col).where("doc_id is not null")
+    prints = durable(source.select("doc_id", fingerprint_column(print_shingle)("text").alias("fp")))
+    reps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    equal = prints.join(reps, "fp").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    pairs = durable(link_edges(reps, budget, near_blocks).union(equal).distinct())
+    ends = durable(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    texts = only_members(source, "doc_id", ends, "id", ends.count()).join(ends, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b)], dtype=float)
+
+    left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
+    links = pairs.join(left, "u").join(right, "v").where(alike("a", "b") >= similarity).select("u", "v")
+    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
