@@ -310,6 +310,23 @@ def label_texts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     return source.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang:string,first_word:long,n_words:long>>")
 
 
+def verdict(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang"):
+    """A column (lang_pred, score) for ``docs``, learned from its own labelled rows that are not held out."""
+    source = slim(docs, doc_id=id_col, text=text_col, lang=lang_col)
+    passages = training_passages(source.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    if not passages:
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast(vars(fit(passages)))
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        got = kept_in_worker("field", key, lambda: Labeller(Field(**sent.value))).label(list(texts))
+        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+
+    return of(F.col(text_col))
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
