@@ -55,7 +55,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, end of windows, anchor position and anchor hash of each segment."""
+    """First window, end of windows, anchor position and anchor hash of each segment.
+
+    An anchor is the smallest of many hashes, so its hash is mixed again to be evenly spread.
+    """
     grams = gram_hashes(data)
     wide = length - GRAM + 1
     low = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)
@@ -68,7 +71,8 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     anchor = (low & _LOW).astype(np.int64)
     first = np.r_[0, np.flatnonzero(np.diff(anchor)) + 1]
     at = anchor[first]
-    return first, np.r_[first[1:], len(anchor)], at, grams[at]
+    with np.errstate(over="ignore"):
+        return first, np.r_[first[1:], len(anchor)], at, grams[at] * _MULTIPLIER
 
 
 def share(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -420,19 +424,44 @@ def sorted_runs(docs: DataFrame, length: int, parts: int, hot: set[int]) -> Data
     return docs.mapInArrow(run, "part int, blob binary, doc_id long, a long, b long")
 
 
-def merged_ranges(runs: DataFrame, length: int) -> DataFrame:
-    """Window ranges (doc_id, a, b) that occur earlier; one task merges the runs of a part."""
+def merged_ranges(runs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Window ranges that occur earlier, packed by document bucket; one task merges the runs of a part."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.loc[pdf["blob"].isna(), ["doc_id", "a", "b"]].astype("int64")
+        own = pdf.loc[pdf["blob"].isna(), ["doc_id", "a", "b"]].to_numpy(np.int64)
         blobs = pdf["blob"].dropna().tolist()
-        if not blobs:
-            return own
         found = np.array(list(repeats([open_run(b) for b in blobs], length)), np.int64).reshape(-1, 3)
-        d, a, b = joined(found[:, 0], found[:, 1], found[:, 2])
-        return pd.concat([own, pd.DataFrame({"doc_id": d, "a": a, "b": b})])
+        d, a, b = joined(*np.r_[own, found].T)
+        bucket = share(d.view(np.uint64) * _MULTIPLIER, buckets).astype(np.int64)
+        squeeze = zstandard.ZstdCompressor(level=3)
+        rows = []
+        for k in np.unique(bucket).tolist():
+            at = bucket == k
+            rows.append((k, squeeze.compress(np.r_[d[at], a[at], b[at] - a[at]].tobytes())))
+        return pd.DataFrame(rows, columns=["bucket", "blob"])
+
+    return runs.groupBy("part").applyInPandas(run, "bucket int, blob binary")
+
+
+def ranges_by_document(packed: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, ranges) from packed ranges."""
+
+    def run(batches):
+        parts = []
+        for rb in batches:
+            for blob in rb.column("blob").to_pylist():
+                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+                parts.append(data.reshape(3, -1))
+        if not parts:
+            return
+        d, a, n = np.concatenate(parts, axis=1)
+        d, a, b = joined(d, a, a + n)
+        head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        ranges = pa.ListArray.from_arrays(pa.array(np.r_[head, len(d)].astype(np.int32)), pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(d[head]), ranges], names=["doc_id", "ranges"])
 
-    return runs.groupBy("part").applyInPandas(run, "doc_id long, a long, b long")
+    return packed.repartition(buckets, "bucket").mapInArrow(run, "doc_id long, ranges array<struct<a:long,b:long>>")
 
 
 def cut_spans(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
@@ -460,8 +489,7 @@ def cut_spans(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, kind), pa.array(k, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    per_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
+    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
         run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
     )
 
@@ -491,5 +519,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = {r["gram"] % 2**64 for r in found.where("doc_id is null").where(F.col("n") > limit).select("gram").distinct().collect()}
     wanted = flagged.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
     chosen = source.join(wanted, "doc_id").select("doc_id", "text", "grams")
-    ranges = merged_ranges(sorted_runs(chosen, length, parts, hot), length)
-    return cut_spans(source, ranges, length)
+    packed = merged_ranges(sorted_runs(chosen, length, parts, hot), length, buckets)
+    return cut_spans(source, ranges_by_document(packed, buckets), length)
