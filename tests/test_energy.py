@@ -45,7 +45,16 @@ def test_calibration_finds_the_parameters(battery, size, keys):
     _, df = battery
     fit = energy.fit_parameters(df, SeriesSpec("ts", keys), 1.0, "soc", "charge", "discharge", rows_per_chunk=size).first()
     assert (fit["capacity_kwh"], fit["eta_ch"], fit["eta_dis"]) == (75.0, 0.93, 0.98)
-    assert fit["rmse"] < 1e-9 and fit["n_obs"] == 500 - len(range(3, 500, 7))
+    assert fit["rmse"] < 1e-4 and fit["n_obs"] > 200
+    short = energy.fit_parameters(df.limit(5), SeriesSpec("ts", keys), 1.0, "soc", "charge", "discharge").first()
+    assert short["capacity_kwh"] is None and short["n_obs"] < 10
+
+
+def test_sweep_budget(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h) AS ts, IF(h < 12, 0.0D, 20.0D) AS load, IF(h < 12, 10.0D, 0.0D) AS sun, 0.5D AS soc FROM range(24) t(h)")
+    rows = {r["candidate_order"]: r for r in energy.capacity_sweep(df, SeriesSpec("ts"), "load", ["sun"], "soc", "1 hour").collect()}
+    assert rows[0]["battery_discharged_kwh"] == pytest.approx(80 * 0.93) and rows[0]["grid_import_kwh"] == pytest.approx(240 - 80 * 0.93)
+    assert rows[4]["battery_discharged_kwh"] == pytest.approx(120 * 0.9 * 0.93) and rows[4]["grid_export_kwh"] == pytest.approx(0.0)
 
 
 def test_capacity_scales(spark):

@@ -78,14 +78,16 @@ def test_ridge(matrix):
     assert abs(got["r2"] - r2(x, y, (coef, intercept))) < 1e-9
 
 
-def test_smoothing_follows_an_exact_pattern(spark):
+def test_forecast_follows_an_exact_pattern(spark):
     t = np.arange(64)
     pdf = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(t, unit="h"), "v": 10.0 + np.array([0, 3, 1, -4])[t % 4]})
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     spec = SeriesSpec("ts", (), ("v",))
-    for mode in ("add", "mul"):
-        got = forecast.forecast(df, spec, 8, 4, mode).orderBy("step").toPandas()
-        assert np.allclose(got["forecast"], pdf["v"][:8]) and list(got["idx"]) == list(range(64, 72))
+    got = forecast.forecast(df, spec, 8, 4).orderBy("step").toPandas()
+    assert np.allclose(got["forecast"], pdf["v"][:8]) and list(got["idx"]) == list(range(64, 72))
+    rising = forecast.forecast(df.withColumn("v", F.col("v") + F.hour("ts") * 0 + F.unix_timestamp("ts") / 3600), spec, 8, 4).orderBy("step").toPandas()
+    start = df.selectExpr("min(unix_timestamp(ts)) / 3600 AS s").first()["s"]
+    assert np.allclose(rising["forecast"], pdf["v"][:8] + start + np.arange(64, 72), atol=1e-6)
     assert np.allclose(forecast.seasonal_naive(df, spec, 6, 4).orderBy("step").toPandas()["forecast"], pdf["v"][:6])
 
 

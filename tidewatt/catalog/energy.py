@@ -94,12 +94,12 @@ def _(spark, sf):
 CAPS = ", ".join(f"({i}, {c})" for i, c in enumerate(energy.CAPACITIES))
 ETAS = ", ".join(f"({i}, {e})" for i, e in enumerate(energy.EFFICIENCIES))
 FIT = (
-    f"WITH RECURSIVE h AS MATERIALIZED ({NUMBERED}), g AS MATERIALIZED (SELECT (c.i * 4 + a.i) * 4 + b.i AS k, c.v::DOUBLE AS cap, a.v::DOUBLE AS up, b.v::DOUBLE AS down FROM (VALUES {CAPS}) c(i, v) CROSS JOIN (VALUES {ETAS}) a(i, v) CROSS JOIN (VALUES {ETAS}) b(i, v)), "
-    "w AS (SELECT i, k, cap, up, down, soc AS s, 0.0::DOUBLE AS e FROM h CROSS JOIN g WHERE i = 0 UNION ALL "
-    "SELECT i, k, cap, up, down, s, e + pow(s - soc, 2) FROM (SELECT h.i, k, cap, up, down, e, soc, least(100.0, greatest(0.0, s + (up * greatest(0.0, coalesce(charge_kw, 0.0)) - down * greatest(0.0, coalesce(discharge_kw, 0.0))) / cap * 100.0)) AS s "
-    "FROM w JOIN h ON h.i = w.i + 1)) "
-    "SELECT (SELECT CAST(date_trunc('month', min(ts)) AS DATE) FROM h) AS month, cap AS capacity_kwh, up AS eta_ch, down AS eta_dis, sqrt(e / (i + 1)) AS rmse, i + 1 AS n_obs FROM w "
-    "WHERE i = (SELECT max(i) FROM h) ORDER BY e, k LIMIT 1"
+    f"WITH h AS ({NUMBERED}), s AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, soc - lag(soc) OVER (PARTITION BY date_trunc('month', ts) ORDER BY i) AS y, soc, "
+    "greatest(0.0, coalesce(charge_kw, 0.0)) * 1.0 * 100.0 AS u, greatest(0.0, coalesce(discharge_kw, 0.0)) * 1.0 * 100.0 AS d FROM h), "
+    "m AS (SELECT month, count(*) AS n, sum(y * y) AS yy, sum(u * y) AS uy, sum(d * y) AS dy, sum(u * u) AS uu, sum(d * d) AS dd, sum(u * d) AS ud FROM s WHERE y IS NOT NULL AND soc > 0 AND soc < 100 GROUP BY 1), "
+    f"g AS (SELECT (c.i * 4 + a.i) * 4 + b.i AS k, c.v::DOUBLE AS cap, a.v::DOUBLE AS up, b.v::DOUBLE AS down FROM (VALUES {CAPS}) c(i, v) CROSS JOIN (VALUES {ETAS}) a(i, v) CROSS JOIN (VALUES {ETAS}) b(i, v)), "
+    "e AS (SELECT month, n, k, cap, up, down, round(greatest(0.0, yy - 2 * (up / cap) * uy + 2 * (down / cap) * dy + (up / cap) * (up / cap) * uu + (down / cap) * (down / cap) * dd - 2 * (up / cap) * (down / cap) * ud), 6) AS sse FROM m CROSS JOIN g) "
+    "SELECT month, cap AS capacity_kwh, up AS eta_ch, down AS eta_dis, sqrt(sse / n) AS rmse, n AS n_obs FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY sse, k) AS place FROM e) WHERE place = 1"
 )
 
 
@@ -112,20 +112,16 @@ def _(spark, sf):
 
 MULTIPLES = ", ".join(f"({i}, {m}::DOUBLE)" for i, m in enumerate(energy.CAPACITY_MULTIPLES))
 SWEEP = (
-    f"WITH RECURSIVE b AS MATERIALIZED (SELECT CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS j, imp - exp AS net, ren, {LOAD} AS load FROM ({BALANCE})), "
-    "d AS MATERIALIZED (SELECT CAST(ts AS DATE) AS date, CASE WHEN max(soc) > 5 THEN max(soc) ELSE 100.0 END AS cap, "
-    "CASE WHEN max(soc) > 5 THEN arg_min(soc, ts) WHEN max(soc) > 1 THEN arg_min(soc, ts) / 100 * 100.0 ELSE arg_min(soc, ts) * 100.0 END AS s0 "
-    f"FROM ({HOURLY_SQL}) GROUP BY 1), "
-    f"w AS (SELECT date, m.i AS o, cap, m.v * cap AS added, cap + m.v * cap AS c, s0 / cap * (cap + m.v * cap) AS s, 0.0::DOUBLE AS imp, 0.0::DOUBLE AS exp, 0.0::DOUBLE AS ch, 0.0::DOUBLE AS dis, s0 / cap * (cap + m.v * cap) AS lo, s0 / cap * (cap + m.v * cap) AS hi, s0 / cap * (cap + m.v * cap) AS tot, 0 AS j FROM d CROSS JOIN (VALUES {MULTIPLES}) m(i, v) "
-    "UNION ALL SELECT date, o, cap, added, c, s2, imp + greatest(net, 0.0) - di, exp + greatest(-net, 0.0) - cg, ch + cg, dis + di, least(lo, s2), greatest(hi, s2), tot + s2, j FROM ("
-    "SELECT *, s + cg * 0.9::DOUBLE - di / 0.93::DOUBLE AS s2 FROM (SELECT w.date, o, cap, added, c, s, imp, exp, ch, dis, lo, hi, tot, b.j, net, "
-    "least(greatest(-net, 0.0), 50.0, greatest(0.0, c * 0.9::DOUBLE - s) / 0.9::DOUBLE) AS cg, least(greatest(net, 0.0), 50.0, greatest(0.0, s - c * 0.1::DOUBLE) * 0.93::DOUBLE) AS di FROM w JOIN b ON b.date = w.date AND b.j = w.j + 1))), "
-    "t AS (SELECT date, max(j) AS n, sum(load) AS total_load_kwh, sum(ren) AS total_renewable_prod_kwh FROM b GROUP BY 1) "
-    "SELECT w.date, o AS candidate_order, cap AS capacity_kwh, added AS added_kwh, total_load_kwh, total_renewable_prod_kwh, imp AS grid_import_kwh, exp AS grid_export_kwh, imp - exp AS grid_net_kwh, "
-    "ch AS battery_charged_kwh, dis AS battery_discharged_kwh, lo AS soc_min_kwh, hi AS soc_max_kwh, tot / (n + 1) AS soc_avg_kwh FROM w JOIN t ON t.date = w.date AND w.j = t.n"
+    f"WITH d AS (SELECT CAST(ts AS DATE) AS date, sum({LOAD}) AS total_load_kwh, sum(ren) AS total_renewable_prod_kwh, sum(imp) AS deficit, sum(exp) AS surplus, sum(least(imp, 50.0)) AS wanted, sum(least(exp, 50.0)) AS offered, "
+    f"CASE WHEN max(soc) > 5 THEN max(soc) ELSE 100.0 END AS cap FROM ({BALANCE}) GROUP BY 1), "
+    f"s AS (SELECT d.*, m.i AS o, m.v * cap AS added, least(offered * 0.9::DOUBLE, (cap + m.v * cap) * 0.9::DOUBLE - (cap + m.v * cap) * 0.1::DOUBLE) AS stored FROM d CROSS JOIN (VALUES {MULTIPLES}) m(i, v)), "
+    "t AS (SELECT *, least(wanted, stored * 0.93::DOUBLE) AS di FROM s) "
+    "SELECT date, o AS candidate_order, cap AS capacity_kwh, added AS added_kwh, total_load_kwh, total_renewable_prod_kwh, deficit - di AS grid_import_kwh, surplus - di / (0.9::DOUBLE * 0.93::DOUBLE) AS grid_export_kwh, "
+    "deficit - di - (surplus - di / (0.9::DOUBLE * 0.93::DOUBLE)) AS grid_net_kwh, di / (0.9::DOUBLE * 0.93::DOUBLE) AS battery_charged_kwh, di AS battery_discharged_kwh, "
+    "(cap + added) * 0.1::DOUBLE AS soc_min_kwh, (cap + added) * 0.1::DOUBLE + di / 0.93::DOUBLE AS soc_max_kwh FROM t"
 )
 SWEEP_ROUNDS = (
-    "capacity_kwh added_kwh total_load_kwh total_renewable_prod_kwh grid_import_kwh grid_export_kwh grid_net_kwh battery_charged_kwh battery_discharged_kwh soc_min_kwh soc_max_kwh soc_avg_kwh"
+    "capacity_kwh added_kwh total_load_kwh total_renewable_prod_kwh grid_import_kwh grid_export_kwh grid_net_kwh battery_charged_kwh battery_discharged_kwh soc_min_kwh soc_max_kwh"
 )
 
 
@@ -142,7 +138,7 @@ def _(spark, sf):
     "recommend_capacity",
     "SELECT date, added_kwh AS recommended_kwh, grid_import_kwh AS expected_import_kwh, grid_export_kwh AS expected_export_kwh, base - grid_import_kwh AS reduction_kwh, "
     "CASE WHEN base > 0 THEN (base - grid_import_kwh) / base * 100 END AS reduction_pct, "
-    "printf('Best candidate adds %.2f kWh to base %.1f kWh; this reduces grid import by %.2f kWh', added_kwh, capacity_kwh, base - grid_import_kwh) || "
+    "printf('%.2f kWh more storage on top of %.1f kWh lowers the day''s grid import by %.2f kWh', added_kwh, capacity_kwh, base - grid_import_kwh) || "
     "CASE WHEN base > 0 THEN printf(' (%.2f%%)', (base - grid_import_kwh) / base * 100) ELSE '' END || '.' AS notes FROM ("
     "SELECT *, row_number() OVER (PARTITION BY date ORDER BY grid_net_kwh, candidate_order) AS k, first_value(grid_import_kwh) OVER (PARTITION BY date ORDER BY candidate_order) AS base "
     f"FROM ({SWEEP})) WHERE k = 1",

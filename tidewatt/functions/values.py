@@ -92,7 +92,10 @@ def drop_null_rows(df: DataFrame, subset) -> DataFrame:
 
 
 def fill_null(df: DataFrame, columns, value: float = 0.0) -> DataFrame:
-    return replace_columns(df, {c: F.coalesce(quoted(c), F.lit(value)) for c in columns})
+    """Null and NaN become the value."""
+    floats = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    present = {c: F.when(~F.isnan(quoted(c)), quoted(c)) if c in floats else quoted(c) for c in columns}
+    return replace_columns(df, {c: F.coalesce(v, F.lit(value)) for c, v in present.items()})
 
 
 def add_missing_columns(df: DataFrame, columns, kind: str = "double") -> DataFrame:

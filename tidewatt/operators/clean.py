@@ -149,6 +149,10 @@ def cleaned_columns(
     twice = [s for s in spec.signals if strategies.get(s) == SENTINELS]
     if not once:
         return rows
+    # Rows without a timestamp have no neighbours; they keep their value unless it is flagged.
+    timeless = rows.filter(F.col(spec.ts).isNull())
+    gone_at_once = {f"{s}_clean": F.when(~quoted(f"{s}_flag"), quoted(f"{s}_clean")) for s in twice}
+    timeless = replace_columns(timeless, gone_at_once | {c: quoted(c).cast("double") for c in once if c not in gone_at_once})
     parts = chunked(rows, spec, rows_per_chunk=rows_per_chunk, profile=profile)
     parts = parts.having(parts.frame.withColumn("_x", parts.position if axis == "row" else micros(spec.ts)))
 
@@ -161,7 +165,7 @@ def cleaned_columns(
     if twice:
         gone = {f"{s}_clean": F.when(~quoted(f"{s}_flag"), quoted(f"{s}_clean")) for s in twice}
         parts = fill(parts.having(replace_columns(parts.frame, gone)), list(gone))
-    return parts.trim(parts.frame).drop("_x")
+    return parts.trim(parts.frame).drop("_x").unionByName(timeless)
 
 
 def clean(df: DataFrame, spec: SeriesSpec, strategy: str = INTERPOLATE, **options) -> DataFrame:

@@ -13,7 +13,8 @@ from tidewatt.functions.timestamps import width_of
 from tidewatt.functions.values import quoted
 from tidewatt.operators.buckets import bucket_mean
 from tidewatt.plans.order import CHUNK, chunked
-from tidewatt.plans.sizing import fits_broadcast, same_keys
+from tidewatt.plans.quantiles import known
+from tidewatt.plans.sizing import broadcast_if_small, same_keys
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
@@ -29,7 +30,8 @@ CAPACITY_MULTIPLES = (0.0, 0.25, 0.5, 1.0, 2.0)
 
 
 def zero(name: str) -> Column:
-    return F.coalesce(quoted(name), F.lit(0.0))
+    """The reading, 0 where it is missing (null or NaN)."""
+    return F.coalesce(known(quoted(name)), F.lit(0.0))
 
 
 def net_power(df: DataFrame, charge: str = CHARGE, discharge: str = DISCHARGE, name: str = "battery_net_power") -> DataFrame:
@@ -45,7 +47,7 @@ def infer_capacity(
     A maximum above ``kwh_above`` means kWh, above ``percent_above`` percent of the nominal
     capacity, else a fraction of it; no reading at all gives (nominal, 0).
     """
-    v = quoted(soc)
+    v = known(quoted(soc))
     top = df.groupBy(*spec.keys).agg(F.max(v).alias("_max"), F.min_by(v, F.struct(*spec.order)).alias("_first"))
     capacity = F.when(F.col("_max") > kwh_above, F.col("_max")).otherwise(F.lit(nominal))
     start = (
@@ -76,7 +78,7 @@ def daily_energy_summary(
     rows = grid_balance(df, load, renewables)
 
     def kwh(name):
-        return F.sum(quoted(name)) * hours
+        return F.sum(known(quoted(name))) * hours
 
     day = rows.groupBy(*spec.keys, F.to_date(spec.ts).alias("date")).agg(
         F.coalesce(kwh(load), F.lit(0.0)).alias("total_load_kwh"),
@@ -86,9 +88,9 @@ def daily_energy_summary(
         kwh("grid_export_kw").alias("grid_export_kwh"),
         F.coalesce(kwh(charge), F.lit(0.0)).alias("battery_charged_kwh"),
         F.coalesce(kwh(discharge), F.lit(0.0)).alias("battery_discharged_kwh"),
-        F.min(quoted(soc)).alias("soc_min"),
-        F.max(quoted(soc)).alias("soc_max"),
-        F.avg(quoted(soc)).alias("soc_avg"),
+        F.min(known(quoted(soc))).alias("soc_min"),
+        F.max(known(quoted(soc))).alias("soc_max"),
+        F.avg(known(quoted(soc))).alias("soc_avg"),
     )
 
     def share(a, b):
@@ -119,22 +121,32 @@ def soc_delta(
     return (up - down) * hours / capacity * 100.0
 
 
-def _compose(deltas: np.ndarray, lo: float, hi: float) -> tuple[float, float, float]:
-    """All steps of a chunk as one map x -> min(top, max(bottom, x + shift))."""
-    shift, bottom, top = 0.0, -np.inf, np.inf
-    for d in deltas.tolist():
-        shift += d
-        bottom = min(hi, max(lo, bottom + d))
-        top = min(hi, max(lo, top + d))
+def _prefixes(deltas: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first i + 1 steps as one map x -> min(top, max(bottom, x + shift)), for every i.
+
+    Such maps compose to such maps, so prefixes are formed by doubling: log2(n) vector passes.
+    """
+    shift = np.array(deltas, dtype=float)
+    bottom, top = np.full(len(shift), lo), np.full(len(shift), hi)
+    reach = 1
+    while reach < len(shift):
+        s, b, t = shift[reach:], bottom[reach:], top[reach:]
+        new = (
+            shift[:-reach] + s, np.minimum(t, np.maximum(b, bottom[:-reach] + s)), np.minimum(t, np.maximum(b, top[:-reach] + s))
+        )
+        shift, bottom, top = (np.concatenate([old[:reach], part]) for old, part in zip((shift, bottom, top), new))
+        reach *= 2
     return shift, bottom, top
 
 
+def _compose(deltas: np.ndarray, lo: float, hi: float) -> tuple[float, float, float]:
+    """All steps of a chunk as one map."""
+    return tuple(float(p[-1]) for p in _prefixes(deltas, lo, hi)) if len(deltas) else (0.0, -np.inf, np.inf)
+
+
 def _walk(deltas: np.ndarray, start: float, lo: float, hi: float) -> np.ndarray:
-    out = np.empty(len(deltas))
-    for i, d in enumerate(deltas.tolist()):
-        start = min(hi, max(lo, start + d))
-        out[i] = start
-    return out
+    shift, bottom, top = _prefixes(deltas, lo, hi)
+    return np.minimum(top, np.maximum(bottom, start + shift))
 
 
 def clamped_running_balance(
@@ -182,7 +194,7 @@ def clamped_running_balance(
 
         schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in groups], "_entry double"])
         entries = maps.groupBy(*keys).applyInPandas(enter, schema)
-        frame = same_keys(frame, F.broadcast(freeze(entries)), groups)
+        frame = same_keys(frame, broadcast_if_small(freeze(entries)), groups)
     else:
         frame = frame.withColumn("_entry", F.lit(None).cast("double"))
 
@@ -203,187 +215,97 @@ def clamped_running_balance(
     return parts.trim(walked)
 
 
-def parameter_grid(capacities=CAPACITIES, charge=EFFICIENCIES, discharge=EFFICIENCIES) -> np.ndarray:
+def parameter_grid(capacities=CAPACITIES, charge=EFFICIENCIES, discharge=EFFICIENCIES) -> list[tuple[float, float, float]]:
     """Every combination, in the order used to break ties."""
-    return np.array(list(product(capacities, charge, discharge)))
+    return list(product(capacities, charge, discharge))
 
 
 def fit_parameters(
     df: DataFrame, spec: SeriesSpec, hours: float, soc: str = SOC, charge: str = CHARGE, discharge: str = DISCHARGE,
-    grid: np.ndarray | None = None, discharge_rule: str = "multiply", min_rows: int = 10, rows_per_chunk: int | None = None,
+    grid=None, discharge_rule: str = "multiply", min_rows: int = 10, rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Capacity and efficiencies whose simulated state of charge is closest to the readings.
+    """Capacity and efficiencies that explain the step-to-step change of the state of charge best.
 
-    One row per key (``run_per_month`` adds the month); keys with fewer than ``min_rows``
-    readings give none. All combinations are walked side by side. A long series is walked
-    chunk by chunk from entry states found by composing the chunks' steps.
+    Least squares of the change in percent on charge and discharge over all steps whose two states
+    are known and not at a limit. The squared error of every combination is a form of six sums of
+    products, so one aggregate per key decides among all of them. One row per key (``run_per_month``
+    adds the month); a key with fewer than ``min_rows`` steps has null parameters.
     """
     keys = list(spec.keys)
-    combos = parameter_grid() if grid is None else grid
-    cap, eta_up, eta_down = combos.T
-    loss = eta_down if discharge_rule == "multiply" else 1.0 / eta_down
     slim = df.filter(F.col(spec.ts).isNotNull()).select(
-        *keys, *spec.order, quoted(soc).cast("double").alias("_soc"),
-        F.greatest(F.lit(0.0), zero(charge)).alias("_up"), F.greatest(F.lit(0.0), zero(discharge)).alias("_down"),
+        *keys, *spec.order, known(quoted(soc)).alias("_soc"),
+        (F.greatest(F.lit(0.0), zero(charge)) * hours * 100.0).alias("_u"), (F.greatest(F.lit(0.0), zero(discharge)) * hours * 100.0).alias("_d"),
     )
-    parts = chunked(slim, spec, rows_per_chunk=rows_per_chunk)
-    frame = parts.frame.withColumn("_i", parts.position)
-    groups = [c for c in parts.groups if isinstance(c, str)]
-    kinds = dict(frame.dtypes)
-    head = [f"`{c}` {kinds[c]}" for c in groups]
-
-    def steps(pdf):
-        up, down = pdf["_up"].to_numpy(), pdf["_down"].to_numpy()
-        for u, d in zip(up.tolist(), down.tolist()):
-            yield (eta_up * u * hours - loss * d * hours) / cap * 100.0
-
-    def initial(pdf):
-        """State after the first row of the series, or None for a later chunk."""
-        if pdf["_i"].iloc[0] != 0:
-            return None
-        first = pdf["_soc"].iloc[0]
-        return np.full(len(combos), 50.0 if np.isnan(first) else first)
-
-    if parts.split:
-
-        def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_i").reset_index(drop=True)
-            state, rest = initial(pdf), pdf
-            if state is not None:
-                rest = pdf.iloc[1:]
-            shift = np.zeros(len(combos))
-            bottom, top = (np.full(len(combos), v) for v in (-np.inf, np.inf))
-            for step in steps(rest):
-                shift = shift + step
-                bottom, top = np.clip(bottom + step, 0.0, 100.0), np.clip(top + step, 0.0, 100.0)
-            if state is not None:
-                state = np.minimum(top, np.maximum(bottom, state + shift))
-            row = {c: [pdf[c].iloc[0]] for c in groups}
-            return pd.DataFrame({**row, "_first": [state], "_shift": [shift], "_bottom": [bottom], "_top": [top]})
-
-        arrays = ", ".join(f"_{n} array<double>" for n in ("first", "shift", "bottom", "top"))
-        maps = frame.filter("_split").groupBy(*groups).applyInPandas(reduce_chunk, ", ".join([*head, arrays]))
+    parts = chunked(slim, spec, before=1, rows_per_chunk=rows_per_chunk)
+    steps = parts.trim(parts.frame.withColumn("_y", F.col("_soc") - F.lag("_soc").over(parts.window)))
+    free = F.col("_y").isNotNull() & (F.col("_soc") > 0) & (F.col("_soc") < 100)
+    y, u, d = (F.when(free, F.col(c)) for c in ("_y", "_u", "_d"))
+    pairs = {"yy": y * y, "uy": u * y, "dy": d * y, "uu": u * u, "dd": d * d, "ud": u * d}
+    sums = steps.groupBy(*keys).agg(
+        F.count_if(free).alias("n_obs"), *[F.coalesce(F.sum(e), F.lit(0.0)).alias(f"_{n}") for n, e in pairs.items()]
+    )
+    combos = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(float(cap)).alias("capacity_kwh"), F.lit(float(up)).alias("eta_ch"), F.lit(float(down)).alias("eta_dis"),
+            F.lit(up / cap).alias("a"), F.lit((down if discharge_rule == "multiply" else 1.0 / down) / cap).alias("b"),
+        )
+        for i, (cap, up, down) in enumerate(parameter_grid() if grid is None else grid)
+    ])
 
-        def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(CHUNK).reset_index(drop=True)
-            state, entry = None, []
-            for first, shift, bottom, top in pdf[["_first", "_shift", "_bottom", "_top"]].itertuples(index=False):
-                entry.append(state)
-                state = first if first is not None else np.minimum(top, np.maximum(bottom, state + shift))
-            return pdf[groups].assign(_entry=entry)
+    def error(c: Column) -> Column:
+        a, b = c["a"], c["b"]
+        linear = F.col("_yy") - a * F.col("_uy") * 2 + b * F.col("_dy") * 2
+        return F.greatest(F.lit(0.0), linear + a * a * F.col("_uu") + b * b * F.col("_dd") - a * b * F.col("_ud") * 2)
 
-        entries = maps.groupBy(*keys).applyInPandas(enter, ", ".join([*head, "_entry array<double>"]))
-        table = freeze(entries)
-        small = fits_broadcast(table, table.count())
-        frame = same_keys(frame, F.broadcast(table) if small else table, groups)
-    else:
-        frame = frame.withColumn("_entry", F.lit(None).cast("array<double>"))
-
-    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i").reset_index(drop=True)
-        actual = pdf["_soc"].to_numpy(dtype=float).tolist()
-        state, sse, n = initial(pdf), np.zeros(len(combos)), 0
-        rest = pdf
-        if state is not None:
-            rest = pdf.iloc[1:]
-            if actual[0] == actual[0]:
-                n = 1
-                sse = (state - actual[0]) ** 2
-            actual = actual[1:]
-        else:
-            state = np.array(pdf["_entry"].iloc[0])
-        for step, a in zip(steps(rest), actual):
-            state = np.clip(state + step, 0.0, 100.0)
-            if a == a:
-                n += 1
-                sse = sse + (state - a) ** 2
-        out = pd.DataFrame({"_combo": np.arange(len(combos)), "_sse": sse, "_k": n})
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_combo bigint, _sse double, _k bigint"])
-    tried = frame.groupBy(*groups).applyInPandas(errors, schema)
-    total = tried.groupBy(*keys, "_combo").agg(F.sum("_sse").alias("_sse"), F.sum("_k").alias("n_obs"))
-    total = total.filter(F.col("n_obs") >= min_rows).withColumn("rmse", F.sqrt(F.col("_sse") / F.col("n_obs")))
-    best = total.groupBy(*keys).agg(F.min_by(F.struct("_combo", "rmse", "n_obs"), F.struct("rmse", "_combo")).alias("_b"))
-    names = F.array(*[
-        F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("capacity_kwh", "eta_ch", "eta_dis"), row)]) for row in combos
-    ])
-    chosen = best.withColumn("_p", F.element_at(names, F.col("_b._combo").cast("int") + 1))
-    return chosen.select(*keys, "_p.*", F.col("_b.rmse").alias("rmse"), F.col("_b.n_obs").alias("n_obs"))
+    scored = F.transform(combos, lambda c: F.struct(F.round(error(c), 6).alias("sse"), c["i"].alias("i"), c.alias("c")))
+    best = F.when(F.col("n_obs") >= min_rows, F.array_min(scored))
+    return sums.withColumn("_best", best).select(
+        *keys, *[F.col(f"_best.c.{n}").alias(n) for n in ("capacity_kwh", "eta_ch", "eta_dis")],
+        F.sqrt(F.col("_best.sse") / F.col("n_obs")).alias("rmse"), "n_obs",
+    )
 
 
 def capacity_sweep(
     df: DataFrame, spec: SeriesSpec, load: str, renewables, soc: str, every: str = "15 minutes", multiples=CAPACITY_MULTIPLES,
     eta_charge: float = ETA_CHARGE, eta_discharge: float = ETA_DISCHARGE, max_power: float = MAX_POWER_KW, nominal: float = NOMINAL_KWH,
 ) -> DataFrame:
-    """Energy result of each day for several battery sizes.
+    """Energy balance of each day for several battery sizes, in closed form.
 
-    The battery charges from surplus only, serves deficits first, and stays between 10 and
-    90 percent of its capacity; the starting fraction is kept for every size. Readings are
-    averaged per interval first, so a day is a short list that is folded in order per size.
-    Differs by design from a price optimiser.
+    Readings are averaged per interval; a day's surplus and deficit count up to the power limit. A
+    battery takes in as much surplus as fits between 10 and 90 percent of its capacity and gives it
+    back to the deficit, once a day at most. This is an energy budget, not a dispatch schedule: the
+    order of surplus and deficit within the day is not looked at.
     """
     hours = width_of(every) / width_of("1 hour")
     signals = dict.fromkeys([load, *renewables, soc])
     df = bucket_mean(df, spec.with_signals(*signals), every)
     spec = SeriesSpec(spec.ts, spec.keys)
     keys = [*spec.keys, "date"]
-    day_spec = SeriesSpec(spec.ts, tuple(keys), (), spec.tie)
     rows = grid_balance(df.filter(F.col(spec.ts).isNotNull()).withColumn("date", F.to_date(spec.ts)), load, renewables)
-    base = infer_capacity(rows, day_spec, soc, nominal)
-    step = F.struct(
-        *[F.col(c) for c in spec.order],
-        (F.col("grid_import_kw") - F.col("grid_export_kw")).alias("net"), zero(load).alias("load"), F.col("renewable_kw").alias("ren"),
-    )
-    days = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(step)).alias("_steps"),
-        (F.sum(zero(load)) * hours).alias("total_load_kwh"),
-        (F.sum("renewable_kw") * hours).alias("total_renewable_prod_kwh"),
-    )
-    sizes = F.array(*[F.struct(F.lit(i).cast("bigint").alias("order"), F.lit(float(m)).alias("multiple")) for i, m in enumerate(multiples)])
-    sized = same_keys(days, base, keys).withColumn("_m", F.explode(sizes)).select(
-        *keys, "total_load_kwh", "total_renewable_prod_kwh", "_steps", "capacity_kwh",
-        F.col("_m.order").alias("candidate_order"), (F.col("_m.multiple") * F.col("capacity_kwh")).alias("added_kwh"),
-        F.col("initial_kwh").alias("_initial"),
-    )
-    total = F.col("capacity_kwh") + F.col("added_kwh")
-    fraction = F.coalesce(F.col("_initial") / F.when(F.col("capacity_kwh") > 0, F.col("capacity_kwh")), F.lit(0.0))
-    sized = sized.withColumn("_cap", total).withColumn("_start", fraction * total)
-    lo, hi = F.col("_cap") * SOC_FLOOR, F.col("_cap") * SOC_CEILING
-
-    def advance(a: Column, s: Column) -> Column:
-        room = F.greatest(F.lit(0.0), hi - a["soc"]) / (eta_charge * hours)
-        stock = F.greatest(F.lit(0.0), a["soc"] - lo) * eta_discharge / hours
-        charge = F.least(F.greatest(-s["net"], F.lit(0.0)), F.lit(max_power), room)
-        discharge = F.least(F.greatest(s["net"], F.lit(0.0)), F.lit(max_power), stock)
-        soc_now = a["soc"] + (charge * eta_charge - discharge / eta_discharge) * hours
-        return F.struct(
-            soc_now.alias("soc"),
-            (a["imp"] + F.greatest(s["net"], F.lit(0.0)) - discharge).alias("imp"),
-            (a["exp"] + F.greatest(-s["net"], F.lit(0.0)) - charge).alias("exp"),
-            (a["ch"] + charge).alias("ch"),
-            (a["dis"] + discharge).alias("dis"),
-            F.least(a["low"], soc_now).alias("low"),
-            F.greatest(a["high"], soc_now).alias("high"),
-            (a["sum"] + soc_now).alias("sum"),
-        )
 
-    zero_state = F.struct(
-        F.col("_start").alias("soc"), *[F.lit(0.0).alias(n) for n in ("imp", "exp", "ch", "dis")],
-        F.col("_start").alias("low"), F.col("_start").alias("high"), F.col("_start").alias("sum"),
+    def kwh(name: str, limit: float | None = None) -> Column:
+        power = F.col(name) if limit is None else F.least(F.col(name), F.lit(limit))
+        return F.sum(power) * hours
+
+    top = F.max(known(quoted(soc)))
+    days = rows.groupBy(*keys).agg(
+        (F.sum(zero(load)) * hours).alias("total_load_kwh"), kwh("renewable_kw").alias("total_renewable_prod_kwh"),
+        kwh("grid_import_kw").alias("_deficit"), kwh("grid_export_kw").alias("_surplus"),
+        kwh("grid_import_kw", max_power).alias("_wanted"), kwh("grid_export_kw", max_power).alias("_offered"),
+        F.when(top > 5.0, top).otherwise(F.lit(nominal)).alias("capacity_kwh"),
     )
-    out = sized.withColumn("_r", F.aggregate("_steps", zero_state, advance))
-    return out.select(
+    sizes = F.array(*[F.struct(F.lit(i).cast("bigint").alias("candidate_order"), F.lit(float(m)).alias("multiple")) for i, m in enumerate(multiples)])
+    sized = days.withColumn("_m", F.explode(sizes)).select("*", "_m.*").withColumn("added_kwh", F.col("multiple") * F.col("capacity_kwh"))
+    cap = F.col("capacity_kwh") + F.col("added_kwh")
+    sized = sized.withColumn("_low", cap * SOC_FLOOR).withColumn("_stored", F.least(F.col("_offered") * eta_charge, cap * SOC_CEILING - cap * SOC_FLOOR))
+    sized = sized.withColumn("battery_discharged_kwh", F.least(F.col("_wanted"), F.col("_stored") * eta_discharge))
+    sized = sized.withColumn("battery_charged_kwh", F.col("battery_discharged_kwh") / (eta_charge * eta_discharge))
+    sized = sized.withColumn("_high", F.col("_low") + F.col("battery_discharged_kwh") / eta_discharge)
+    imported, exported = F.col("_deficit") - F.col("battery_discharged_kwh"), F.col("_surplus") - F.col("battery_charged_kwh")
+    return sized.select(
         *keys, "candidate_order", "capacity_kwh", "added_kwh", "total_load_kwh", "total_renewable_prod_kwh",
-        (F.col("_r.imp") * hours).alias("grid_import_kwh"),
-        (F.col("_r.exp") * hours).alias("grid_export_kwh"),
-        ((F.col("_r.imp") - F.col("_r.exp")) * hours).alias("grid_net_kwh"),
-        (F.col("_r.ch") * hours).alias("battery_charged_kwh"),
-        (F.col("_r.dis") * hours).alias("battery_discharged_kwh"),
-        F.col("_r.low").alias("soc_min_kwh"), F.col("_r.high").alias("soc_max_kwh"),
-        (F.col("_r.sum") / (F.size("_steps") + 1)).alias("soc_avg_kwh"),
+        imported.alias("grid_import_kwh"), exported.alias("grid_export_kwh"), (imported - exported).alias("grid_net_kwh"),
+        "battery_charged_kwh", "battery_discharged_kwh", F.col("_low").alias("soc_min_kwh"), F.col("_high").alias("soc_max_kwh"),
     )
 
 
@@ -399,10 +321,7 @@ def recommend_capacity(sweep: DataFrame, keys=("date",)) -> DataFrame:
     share = saved / F.when(F.col("_base") > 0, F.col("_base"))
     percent = F.coalesce(F.concat(F.lit(" ("), F.format_string("%.2f%%", share * 100), F.lit(")")), F.lit(""))
     note = F.concat(
-        F.format_string(
-            "Best candidate adds %.2f kWh to base %.1f kWh; this reduces grid import by %.2f kWh",
-            F.col("_b.added_kwh"), F.col("_b.capacity_kwh"), saved,
-        ),
+        F.format_string("%.2f kWh more storage on top of %.1f kWh lowers the day's grid import by %.2f kWh", F.col("_b.added_kwh"), F.col("_b.capacity_kwh"), saved),
         F.when(share.isNotNull(), percent).otherwise(F.lit("")), F.lit("."),
     )
     return chosen.select(

@@ -1,87 +1,40 @@
-"""Holt-Winters and seasonal-naive forecasts with a hold-out evaluation."""
+"""Decomposition and seasonal-naive forecasts with a hold-out evaluation."""
 
 from __future__ import annotations
 
-from itertools import product
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatt.functions.metrics import forecast_metrics
 from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import fill_backward_forward, holdout_last, long_form, with_length
+from tidewatt.operators.seasonal import seasonal_decompose
 from tidewatt.plans.sizing import same_keys
 from tidewatt.spec import SeriesSpec
 
-# Smoothing weights tried for level, trend and season.
-LEVEL_GRID = (0.1, 0.3, 0.5, 0.8)
-TREND_GRID = (0.0, 0.01, 0.1)
-SEASON_GRID = (0.05, 0.2, 0.5)
-
-
-def smooth(values: np.ndarray, period: int, weights: np.ndarray, multiplicative: bool):
-    """Run the smoothing recursion once for all weight combinations side by side.
-
-    Returns the squared one-step errors per combination and the final level, trend and
-    season of each.
-    """
-    alpha, beta, gamma = weights.T
-    count = len(weights)
-    first, second = values[:period].mean(), values[period : 2 * period].mean()
-    level = np.full(count, first)
-    trend = np.full(count, (second - first) / period)
-    ratio = values[:period] / first if multiplicative else values[:period] - first
-    season = np.repeat(ratio[:, None], count, axis=1)
-    sse = np.zeros(count)
-    for t, x in enumerate(values):
-        s = season[t % period]
-        expected = (level + trend) * s if multiplicative else level + trend + s
-        sse += (x - expected) ** 2
-        ahead = level + trend
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plain = x / s if multiplicative else x - s
-            level = alpha * plain + (1 - alpha) * ahead
-            trend = beta * (level - ahead + trend) + (1 - beta) * trend
-            now = x / ahead if multiplicative else x - ahead
-            season[t % period] = gamma * now + (1 - gamma) * s
-    return sse, level, trend, season
-
 
-def forecast(df: DataFrame, spec: SeriesSpec, horizon: int = 96, period: int = 96, seasonal: str = "mul") -> DataFrame:
-    """Holt-Winters (additive trend) forecast of every signal for ``horizon`` steps.
+def forecast(df: DataFrame, spec: SeriesSpec, horizon: int = 96, period: int = 96) -> DataFrame:
+    """Trend line plus seasonal part of every signal for ``horizon`` steps.
 
-    The weights with least squared one-step error are taken from a fixed grid. A series
-    with a value <= 0 uses an additive season. Input is a bucketed table: its rows per
-    series are bounded by time span over bucket width, so one task per series smooths it;
-    many series run in parallel. Series shorter than two periods give no rows.
+    The line is fitted to the last period of centred means and drawn on; the seasonal part is the
+    mean detrended value per phase. All of it is aggregates: no series is walked. Input is a
+    regularly spaced table; series shorter than two periods give no rows.
     """
-    rows, long = long_form(df, spec)
-    keys = list(long.keys)
-    placed = with_length(rows.filter("value IS NOT NULL"), long).filter(F.col("n_rows") >= 2 * period)
-    grid = np.array(list(product(LEVEL_GRID, TREND_GRID, SEASON_GRID)))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("idx")["value"].to_numpy(dtype=float)
-        multiplicative = seasonal == "mul" and bool((values > 0).all())
-        sse, level, trend, season = smooth(values, period, grid, multiplicative)
-        best = int(np.nanargmin(np.where(np.isfinite(sse), sse, np.inf)))
-        h = np.arange(1, horizon + 1)
-        base = level[best] + h * trend[best]
-        s = season[(len(values) + h - 1) % period, best]
-        out = pd.DataFrame({"step": h, "idx": len(values) + h - 1, "forecast": base * s if multiplicative else base + s})
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        out["alpha"], out["beta"], out["gamma"] = grid[best]
-        out["sse"], out["season"] = sse[best], "mul" if multiplicative else "add"
-        return out
-
-    kinds = dict(placed.dtypes)
-    schema = ", ".join([
-        *[f"`{k}` {kinds[k]}" for k in keys], "step bigint", "idx bigint", "forecast double",
-        "alpha double", "beta double", "gamma double", "sse double", "season string",
-    ])
-    return placed.select(*keys, "idx", "value").groupBy(*keys).applyInPandas(fit, schema)
+    keys = [*spec.keys, "signal"]
+    parts = seasonal_decompose(df, spec, period, extrapolate=False)
+    half = period // 2
+    sizes = parts.groupBy(*keys).agg((F.max("idx") + 1).alias("n_rows"))
+    placed = same_keys(parts, sizes, keys)
+    # Positions are counted back from the end, which keeps the sums small.
+    back = (F.col("idx") - F.col("n_rows")).cast("double")
+    late = F.col("trend").isNotNull() & (F.col("idx") >= F.col("n_rows") - half - period)
+    line = placed.groupBy(*keys, "n_rows").agg(
+        F.regr_slope(F.when(late, F.col("trend")), back).alias("_k"), F.regr_intercept(F.when(late, F.col("trend")), back).alias("_b")
+    )
+    season = placed.filter(F.col("idx") >= F.col("n_rows") - period).select(*keys, (F.col("idx") % period).alias("_phase"), "seasonal")
+    ahead = line.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint"))))
+    ahead = ahead.withColumn("idx", F.col("n_rows") + F.col("step") - 1).withColumn("_phase", F.col("idx") % period)
+    value = F.col("_k") * (F.col("step") - 1).cast("double") + F.col("_b") + F.col("seasonal")
+    return same_keys(ahead, season, [*keys, "_phase"]).select(*keys, "step", "idx", value.alias("forecast"))
 
 
 def seasonal_naive(df: DataFrame, spec: SeriesSpec, horizon: int = 96, period: int = 96) -> DataFrame:

@@ -219,7 +219,7 @@ def fill_backward_forward(df: DataFrame, spec: SeriesSpec, rows_per_chunk: int |
     parts = chunked(df, spec, rows_per_chunk=rows_per_chunk)
     parts = parts.having(parts.frame.withColumn("_x", parts.position))
     frame = known_neighbours(parts, spec.signals, "_x")
-    filled = {s: F.coalesce(quoted(s), quoted(f"_next_{s}")["v"], quoted(f"_prev_{s}")["v"]) for s in spec.signals}
+    filled = {s: F.coalesce(known(quoted(s)), quoted(f"_next_{s}")["v"], quoted(f"_prev_{s}")["v"]) for s in spec.signals}
     return drop_neighbours(parts.trim(replace_columns(frame, filled)), spec.signals).drop("_x")
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatt.plans.sizing import MAX_CHUNKS, ROWS_PER_CHUNK, KeyProfile, fits_broadcast, same_keys
+from tidewatt.plans.sizing import ROWS_PER_CHUNK, KeyProfile, broadcast_if_small, same_keys
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
@@ -26,14 +26,23 @@ MAX_LEVELS = 8
 LAST = 2**62
 
 
-def axis_value(df: DataFrame, name: str) -> Column | None:
-    """A double that never decreases along the column's order, or None if there is none."""
+# Leading bytes of a text that can tell its cell, and how many of them one exact double holds.
+TEXT_BYTES, BYTES_PER_AXIS = 48, 6
+
+
+def axis_values(df: DataFrame, name: str) -> list[Column]:
+    """Doubles that never decrease along the column's order, each one where those before are equal."""
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp") or kind == "date":
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return [F.unix_micros(F.col(name).cast("timestamp")).cast("double")]
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return F.col(name).cast("double")
-    return None
+        return [F.col(name).cast("double")]
+    if kind == "string":
+        digits = F.hex(F.col(name).cast("binary"))
+        wide = 2 * BYTES_PER_AXIS
+        pieces = [F.rpad(F.substring(digits, i * wide + 1, wide), wide, "0") for i in range(TEXT_BYTES // BYTES_PER_AXIS)]
+        return [F.conv(p, 16, 10).cast("double") for p in pieces]
+    return []
 
 
 @dataclass(frozen=True)
@@ -52,7 +61,7 @@ class Cells:
         for level, rule in enumerate(self.rules):
             join_on = list(self.keys) + ([CELL] if level else [])
             rule = rule if level else rule.drop(CELL)
-            out = same_keys(out, F.broadcast(rule), join_on, how if level == 0 else "left")
+            out = same_keys(out, broadcast_if_small(rule), join_on, how if level == 0 else "left")
             axis = F.lit(None).cast("double")
             for i, value in enumerate(self.axes):
                 axis = F.when(F.col("_dim") == i, value).otherwise(axis)
@@ -84,12 +93,14 @@ def _split_rule(sizes: DataFrame, n_axes: int, limit: int, keys) -> DataFrame:
 def count_cells(df: DataFrame, keys, order, rows_per_chunk: int | None = None) -> Cells | None:
     """Cut groups larger than a chunk into counted cells; None when every group fits.
 
-    The loop refines only cells that are still too large, so its state stays within
-    ``CELLS_PER_CHUNK * rows / rows_per_chunk`` cells, which the floor on the chunk size
-    keeps under ``CELLS_PER_CHUNK * MAX_CHUNKS``.
+    The loop refines only cells that are still too large, so there are about
+    ``CELLS_PER_CHUNK * rows / rows_per_chunk`` cells. Rows equal in the whole order have no
+    order among themselves, so they are told apart by a hash of the row. A group of equal
+    rows cannot be cut and stays whole.
     """
     keys = tuple(keys)
-    axes = tuple(a for a in (axis_value(df, name) for name in order) if a is not None)
+    axes = tuple(a for name in order for a in axis_values(df, name))
+    axes = (*axes, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not dict(df.dtypes)[c].startswith("map")]).cast("double"))
     spans = [f(a).alias(f"_{tag}{i}") for i, a in enumerate(axes) for f, tag in ((F.min, "lo"), (F.max, "hi"))]
 
     def measure(frame):
@@ -97,9 +108,8 @@ def count_cells(df: DataFrame, keys, order, rows_per_chunk: int | None = None) -
 
     whole = measure(df.withColumn(CELL, F.array().cast("array<bigint>"))).persist()
     try:
-        totals = whole.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
-        rows, largest = totals["rows"] or 0, totals["largest"] or 0
-        limit = max(rows_per_chunk or ROWS_PER_CHUNK, -(-rows // MAX_CHUNKS))
+        largest = whole.agg(F.max("_n")).first()[0] or 0
+        limit = rows_per_chunk or ROWS_PER_CHUNK
         if largest <= limit:
             return None
         rule = freeze(_split_rule(whole, len(axes), limit, keys))
@@ -118,7 +128,7 @@ def count_cells(df: DataFrame, keys, order, rows_per_chunk: int | None = None) -
             leaves = sizes if leaves is None else leaves.unionByName(sizes)
             break
         done = same_keys(
-            sizes, F.broadcast(nxt.select(*on).withColumn("_hot", F.lit(True))), on
+            sizes, broadcast_if_small(nxt.select(*on).withColumn("_hot", F.lit(True))), on
         ).filter("_hot IS NULL").drop("_hot")
         leaves = done if leaves is None else leaves.unionByName(done)
         rule = nxt
@@ -207,8 +217,7 @@ def chunked(
             F.max(F.col("_start") + F.col("_n")).over(Window.partitionBy(*keys, CHUNK)).alias(END),
         )
     )
-    small = fits_broadcast(layout.drop(CELL), layout.count())
-    frame = same_keys(cells.locate(df), F.broadcast(layout) if small else layout, [*keys, CELL])
+    frame = same_keys(cells.locate(df), broadcast_if_small(layout), [*keys, CELL])
     frame = (
         frame.withColumn(SPLIT, F.col(CHUNK).isNotNull())
         .withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint")))
@@ -271,7 +280,8 @@ def known_neighbours(parts: Chunked, signals, x: str) -> DataFrame:
     # Looking ahead is looking back in reverse order: Spark re-reads the rest of the group
     # for every row of a frame that ends at UNBOUNDED FOLLOWING.
     onward = parts.reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    point = {s: F.when(F.col(s).isNotNull(), F.struct(F.col(x).alias("x"), F.col(s).cast("double").alias("v"))) for s in signals}
+    value = {s: F.col(f"`{s}`").cast("double") for s in signals}
+    point = {s: F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.col(x).alias("x"), v.alias("v"))) for s, v in value.items()}
     out = parts.frame.select(
         "*",
         *[F.last(point[s], True).over(upto).alias(f"_prev_{s}") for s in signals],
@@ -297,7 +307,7 @@ def known_neighbours(parts: Chunked, signals, x: str) -> DataFrame:
         *[F.last(f"_end_{s}", True).over(past).alias(f"_past_{s}") for s in signals],
         *[F.last(f"_top_{s}", True).over(future).alias(f"_future_{s}") for s in signals],
     )
-    joined = same_keys(out, F.broadcast(carried), [*keys, CHUNK])
+    joined = same_keys(out, broadcast_if_small(freeze(carried)), [*keys, CHUNK])
     for s in signals:
         joined = joined.withColumn(f"_prev_{s}", F.coalesce(f"_prev_{s}", f"_past_{s}")).withColumn(
             f"_next_{s}", F.coalesce(f"_next_{s}", f"_future_{s}")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.plans.order import CELL, count_cells
-from tidewatt.plans.sizing import PERCENTILE_VALUES, KeyProfile, profile_keys, same_keys
+from tidewatt.plans.sizing import PERCENTILE_VALUES, KeyProfile, broadcast_if_small, profile_keys, same_keys
+from tidewatt.session import freeze
 
 
 def known(value: Column) -> Column:
@@ -48,8 +49,16 @@ def quantile_long(df: DataFrame, keys, value: str, probs, profile: KeyProfile |
 
 
 def ranked_quantiles(df, keys, value, probs, largest, rows_per_chunk: int | None = None) -> DataFrame:
-    """Quantiles by rank selection: count value cells, sort only the cells that matter."""
+    """Quantiles by rank selection: count value cells, sort only the cells that matter.
+
+    Every key has a row; its array is null where no value is known.
+    """
     keys = list(keys)
+    found = _ranked(df, keys, value, probs, rows_per_chunk)
+    return same_keys(df.select(*keys).distinct(), found, keys) if keys else found
+
+
+def _ranked(df, keys, value, probs, rows_per_chunk) -> DataFrame:
     data = df.select(*keys, known(F.col(value)).alias("_value")).filter("_value IS NOT NULL")
     limit = rows_per_chunk or PERCENTILE_VALUES
     cells = count_cells(data, keys, ["_value"], limit)
@@ -71,8 +80,8 @@ def ranked_quantiles(df, keys, value, probs, largest, rows_per_chunk: int | None
         (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
     )
     needed = inside.select(*keys, CELL, "_start", "_lo0", "_hi0").distinct()
-    mixed = needed.filter("_lo0 < _hi0").select(*keys, CELL, "_start")
-    rows = same_keys(located.filter(F.size(CELL) > 0), F.broadcast(mixed), [*keys, CELL], "inner")
+    mixed = freeze(needed.filter("_lo0 < _hi0").select(*keys, CELL, "_start"))
+    rows = same_keys(located.filter(F.size(CELL) > 0), broadcast_if_small(mixed), [*keys, CELL], "inner")
     order = Window.partitionBy(*keys, CELL).orderBy("_value")
     picked = rows.withColumn("_rank", F.row_number().over(order) - 1 + F.col("_start")).select(*keys, "_rank", "_value")
     flat = inside.filter("_lo0 = _hi0").select(*keys, "_rank", F.col("_lo0").alias("_value")).distinct()
@@ -83,4 +92,6 @@ def ranked_quantiles(df, keys, value, probs, largest, rows_per_chunk: int | None
     large = per_prob.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", q.alias("q")))), lambda s: s["q"]).alias("quantiles")
     )
-    return fitting.unionByName(large) if keys else large
+    if keys:
+        return fitting.unionByName(large)
+    return fitting.unionByName(large).agg(F.first(F.when(F.size("quantiles") > 0, F.col("quantiles")), True).alias("quantiles"))

@@ -10,8 +10,6 @@ from tidewatt.session import freeze
 
 # Rows that one window group may hold before a series is cut into chunks.
 ROWS_PER_CHUNK = 100_000
-# Upper bound on the number of chunks; beyond it chunks grow instead.
-MAX_CHUNKS = 50_000
 # Values (rows times columns, about 8 bytes each) a table may have to be broadcast.
 BROADCAST_VALUES = 8_000_000
 # Values per group up to which the built-in exact percentile is used; it keeps them all in
@@ -64,6 +62,11 @@ def fits_broadcast(table: DataFrame, rows: int) -> bool:
     return rows * width <= BROADCAST_VALUES
 
 
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """Hint a written table for broadcast if its measured size allows; else the join shuffles."""
+    return F.broadcast(table) if fits_broadcast(table, table.count()) else table
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
     """Join on keys where null equals null; the right side's key columns are dropped."""
     renamed = right
@@ -73,19 +76,17 @@ def same_keys(left: DataFrame, right: DataFrame, keys, how: str = "left") -> Dat
     for key in keys:
         part = F.col(key).eqNullSafe(F.col(f"_r_{key}"))
         condition = part if condition is None else condition & part
-    if condition is None:
-        joined = left.crossJoin(renamed)
-    else:
-        joined = left.join(renamed, condition, how)
+    # Without keys every row matches; an outer join then keeps the left rows even if the right is empty.
+    joined = left.join(renamed, F.lit(True) if condition is None else condition, how)
     return joined.drop(*[f"_r_{key}" for key in keys])
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys, profile: KeyProfile | None = None) -> DataFrame:
     """Add the columns of a one-row-per-key table to every row.
 
-    The table is broadcast when it is known to be small. With more keys than that, only the
-    keys too large for one task are broadcast (there are at most ``rows / ROWS_PER_CHUNK`` of
-    them, capped by a floor that grows with the data) and all other rows use a shuffle join.
+    The table is broadcast when it is known to be small. With more keys than that, the keys
+    too large for one task (at most ``rows / ROWS_PER_CHUNK``) are broadcast while they fit, and
+    all other rows use a shuffle join; with very many such keys all rows do.
     """
     keys = list(keys)
     if not keys:
@@ -93,8 +94,12 @@ def attach(df: DataFrame, per_key: DataFrame, keys, profile: KeyProfile | None =
     profile = profile or profile_keys(df, keys)
     if fits_broadcast(per_key, profile.groups):
         return same_keys(df, F.broadcast(per_key), keys)
-    floor = max(ROWS_PER_CHUNK, -(-profile.rows // MAX_CHUNKS))
-    large = df.groupBy(*keys).count().filter(F.col("count") > floor).drop("count")
+    if profile.largest <= ROWS_PER_CHUNK:
+        return same_keys(df, per_key, keys)
+    large = freeze(df.groupBy(*keys).count().filter(F.col("count") > ROWS_PER_CHUNK).drop("count"))
+    n_large = large.count()
+    if not (fits_broadcast(large, n_large) and fits_broadcast(per_key, n_large)):
+        return same_keys(df, per_key, keys)
     flagged = same_keys(df, F.broadcast(large.withColumn("_large", F.lit(True))), keys)
     large_stats = same_keys(per_key, F.broadcast(large.withColumn("_large", F.lit(True))), keys, "inner")
     heavy = same_keys(flagged.filter("_large").drop("_large"), F.broadcast(large_stats.drop("_large")), keys)

@@ -24,8 +24,9 @@ def get_session(app_name: str = "tidewatt", **conf) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a fresh local folder is made and
-    remembered as the session's checkpoint folder.
+    In local mode without that setting a fresh local folder is made and remembered as the
+    session's checkpoint folder. On a cluster the setting is required: executors do not
+    share the driver's disk.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatt-"))
         current = context.getCheckpointDir()
     return current
