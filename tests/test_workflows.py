@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatt import workflows
 from tidewatt.catalog.common import HOURLY, events, hourly
-from tidewatt.operators import clean, ordered
+from tidewatt.operators import clean, ordered, seasonal
 from tidewatt.operators.energy import CHARGE, DISCHARGE, SOC
 from tidewatt.spec import SeriesSpec
 
@@ -52,12 +52,29 @@ def test_forecast_metadata(site):
         assert r["suggestion"] in ("boxcox", "shift_then_boxcox_or_log")
 
 
+def test_forecast_metadata_of_many_series(spark):
+    rows = [(f"k{k}", k * 7 + i, 60 * (1 + k % 3) * i, float((i % (4 + k % 3)) + 0.01 * i)) for k in range(12) for i in range(60)]
+    rows += [("short", 10**6 + i, 60 * i, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, v double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    spec = SeriesSpec("ts", ("k",), ("v",), ("id",))
+    got = {r["k"]: r for r in workflows.forecast_metadata(df, spec, max_lag=12).collect()}
+    assert len(got) == 13
+    for k in range(12):
+        best = got[f"k{k}"]["dominant_periods"][0]
+        assert best["period_seconds"] == pytest.approx(60 * (1 + k % 3) * (4 + k % 3), rel=0.1)
+    periods = spark.createDataFrame([(f"k{k}", "v", p) for k in range(12) for p in (4, 5, 7)], "k string, signal string, period long")
+    want = {(r["k"], r["period"]): r["seasonal_amplitude"] for r in seasonal.seasonal_amplitude(df.where("k <> 'short'"), spec, [4, 5, 7]).collect()}
+    for size in (None, 25):
+        own = {(r["k"], r["period"]): r["seasonal_amplitude"] for r in seasonal.seasonal_amplitude_of(df, spec, periods, size).collect()}
+        assert own == pytest.approx(want)
+
+
 def test_battery_and_dispatch(site):
     named = site.select(
         "ts", F.col("charge_kw").alias(CHARGE), F.col("discharge_kw").alias(DISCHARGE), F.col("soc").alias(SOC),
         F.col("solar_kw").alias("solar_pv_output"), F.col("load_kw").alias("grid_load_demand"), F.col("wind_kw").alias("temperature"),
     )
-    out = workflows.battery_workflow(named, SeriesSpec("ts"), "1 hour", trees=3)
+    out = workflows.battery_workflow(named, SeriesSpec("ts"), trees=3)
     row = out["metrics"].first()
     assert out["parameters"].count() == 1 and row["n_obs"] == 720 and row["hyb_rmse"] <= row["phys_rmse"] * 1.2
     report = workflows.dispatch_report(site, SeriesSpec("ts"), "load_kw", ["solar_kw", "wind_kw"], "soc", "charge_kw", "discharge_kw", "1 hour")

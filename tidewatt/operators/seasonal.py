@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.operators.ordered import DIRECT_FRAME, long_form, running_frame, whole_frame
-from tidewatt.plans.order import Chunked, chunked
-from tidewatt.plans.sizing import attach, fits_broadcast, measured, same_keys
+from tidewatt.plans.order import Chunked, chunked, running_total
+from tidewatt.plans.sizing import attach, broadcast_if_small, fits_broadcast, measured, same_keys
+from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
 # Rows per spectrum segment; longer series average the spectra of their segments.
@@ -127,6 +128,37 @@ def seasonal_amplitude(df: DataFrame, spec: SeriesSpec, periods, rows_per_chunk:
     return out.filter(F.col("n_obs") >= 2 * F.col("period")).drop("n_obs")
 
 
+def seasonal_amplitude_of(df: DataFrame, spec: SeriesSpec, wanted: DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
+    """Like ``seasonal_amplitude``, each series with its own periods: ``wanted`` has keys, signal, period.
+
+    Centred means are differences of one running sum, fetched by position, so any number of series
+    and periods takes the same few joins.
+    """
+    rows, long = long_form(df, spec)
+    rows = rows.filter("value IS NOT NULL")
+    keys = list(long.keys)
+    stats, profile = measured(rows, keys, _mean=F.avg("value"))
+    own = freeze(wanted.filter("period >= 2").select(*keys, F.col("period").cast("bigint").alias("period")).distinct())
+    own = same_keys(own, stats.select(*keys, "n_obs"), keys, "inner").filter(F.col("n_obs") >= 2 * F.col("period")).drop("n_obs")
+    centred = attach(rows, stats.select(*keys, "_mean"), keys, profile).withColumn("v", F.col("value") - F.col("_mean"))
+    parts = chunked(centred.select(*keys, *long.order, "v"), long, rows_per_chunk=rows_per_chunk, profile=profile)
+    parts = running_total(parts.having(parts.frame.withColumn("idx", parts.position)), F.col("v"), "total")
+    base = freeze(parts.trim(parts.frame).select(*keys, "idx", "v", "total"))
+    at = same_keys(base, broadcast_if_small(freeze(own)), keys, "inner").withColumn("half", F.floor(F.col("period") / 2))
+    ends = base.select(*keys, F.col("idx").alias("pos"), F.col("v").alias("e"), F.col("total").alias("t"))
+
+    def fetched(rows, position, **names):
+        side = ends.select(*keys, "pos", *[F.col(c).alias(n) for c, n in names.items()])
+        return same_keys(rows.withColumn("pos", position), side, [*keys, "pos"], "left").drop("pos")
+
+    at = fetched(at, F.col("idx") + F.col("half"), e="last", t="upto")
+    at = fetched(at, F.col("idx") - F.col("half"), e="first", t="from")
+    even = F.when(F.col("period") % 2 == 0, (F.col("first") + F.col("last")) / 2).otherwise(0.0)
+    trend = (F.col("upto") - F.col("from") + F.col("first") - even) / F.col("period")
+    phases = at.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(F.avg(F.col("v") - trend).alias("m"))
+    return phases.groupBy(*keys, "period").agg((F.max("m") - F.min("m")).alias("seasonal_amplitude"))
+
+
 def spectrum(df: DataFrame, spec: SeriesSpec, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None) -> DataFrame:
     """Power of the linearly detrended series per frequency.
 
@@ -166,9 +198,13 @@ def spectrum(df: DataFrame, spec: SeriesSpec, segment_rows: int = SEGMENT_ROWS,
 
 
 def dominant_periods(
-    df: DataFrame, spec: SeriesSpec, step_seconds: float, top: int = 5, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None
+    df: DataFrame, spec: SeriesSpec, step_seconds: float | DataFrame, top: int = 5, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None
 ) -> DataFrame:
-    """The ``top`` periods at local peaks of the spectrum (or of all of it, if it has no peak)."""
+    """The ``top`` periods at local peaks of the spectrum (or of all of it, if it has no peak).
+
+    ``step_seconds`` is one number for all series, or a table of keys and ``step_seconds``; a series
+    without a step there has null periods.
+    """
     power = spectrum(df, spec, segment_rows, rows_per_chunk)
     keys = [*spec.keys, "signal"]
     w = Window.partitionBy(*keys).orderBy("bin")
@@ -178,8 +214,14 @@ def dominant_periods(
     ranked = marked.filter(F.col("_peak") | ~F.col("_any")).withColumn(
         "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("power"), "bin")).cast("bigint")
     ).filter(F.col("rank") <= top)
-    seconds = F.rint(F.col("steps") * F.lit(float(step_seconds)) / F.col("bin")).cast("bigint")
+    if isinstance(step_seconds, DataFrame):
+        steps = freeze(step_seconds.select(*spec.keys, F.col("step_seconds").cast("double").alias("_step")))
+        ranked = same_keys(ranked, broadcast_if_small(steps), list(spec.keys))
+    else:
+        ranked = ranked.withColumn("_step", F.lit(float(step_seconds)))
+    step = F.when(F.col("_step") > 0, F.col("_step"))
+    seconds = F.rint(F.col("steps") * step / F.col("bin")).cast("bigint")
     return ranked.select(
         *keys, "rank", seconds.alias("period_seconds"), (seconds / 3600).alias("period_hours"),
-        F.rint(seconds / F.lit(float(step_seconds))).cast("bigint").alias("period_steps"), "power",
+        F.rint(seconds / step).cast("bigint").alias("period_steps"), "power",
     )

@@ -269,6 +269,21 @@ def with_position(
     return parts.trim(parts.frame.withColumn(name, parts.position))
 
 
+def running_total(parts: Chunked, value: Column, name: str) -> Chunked:
+    """Add ``name``: the sum of a value over all rows of the series up to the current one."""
+    upto = parts.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = parts.frame.withColumn(name, F.coalesce(F.sum(value).over(upto), F.lit(0.0)))
+    if not parts.split:
+        return parts.having(frame)
+    keys = list(parts.spec.keys)
+    sums = parts.frame.filter(F.col(SPLIT) & F.col(OWN)).groupBy(*keys, CHUNK).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum"))
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    past = by_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = freeze(sums.select(*keys, CHUNK, F.coalesce(F.sum("_sum").over(past), F.lit(0.0)).alias("_before")))
+    joined = same_keys(frame, broadcast_if_small(before), [*keys, CHUNK])
+    return parts.having(joined.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0.0))).drop("_before"))
+
+
 def known_neighbours(parts: Chunked, signals, x: str) -> DataFrame:
     """For each signal, the nearest known (x, v) at or before and at or after every row.
 

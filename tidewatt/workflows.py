@@ -9,11 +9,11 @@ from tidewatt.functions.metrics import mae, rmse
 from tidewatt.functions.timestamps import parse_timestamp
 from tidewatt.operators import buckets, clean, energy, features, lagstats, learn, ordered, quality, seasonal, stationarity
 from tidewatt.plans.sizing import attach, same_keys
+from tidewatt.session import freeze
 from tidewatt.sources import merge_files, sink_json, sink_parquet
 from tidewatt.spec import SeriesSpec
 
 # Periods handled in one pass when seasonal strength is measured.
-PERIODS_PER_PASS = 25
 
 
 def ingest(spark: SparkSession, paths, out: str, schema=None) -> dict[str, DataFrame]:
@@ -66,15 +66,10 @@ def forecast_metadata(df: DataFrame, spec: SeriesSpec, step_seconds: float | Non
     """
     keys = [*spec.keys, "signal"]
     if step_seconds is None:
-        whole = SeriesSpec(spec.ts, (), (), spec.tie)
-        step_seconds = buckets.infer_step_median(df.select(spec.ts, *spec.tie), whole).first()["step_seconds"]
+        step_seconds = buckets.infer_step_median(df, spec)
     order = stationarity.suggest_difference(df, spec)
-    periods = seasonal.dominant_periods(df, spec, step_seconds)
-    wanted = sorted(r[0] for r in periods.select("period_steps").distinct().filter("period_steps >= 2").collect())
-    strength = None
-    for at in range(0, len(wanted), PERIODS_PER_PASS):
-        part = seasonal.seasonal_amplitude(df, spec, wanted[at : at + PERIODS_PER_PASS])
-        strength = part if strength is None else strength.unionByName(part)
+    periods = freeze(seasonal.dominant_periods(df, spec, step_seconds))
+    strength = seasonal.seasonal_amplitude_of(df, spec, periods.withColumnRenamed("period_steps", "period"))
     acf = lagstats.acf(df, spec, max_lag, half_less_one=True)
     pacf = lagstats.pacf(acf, keys, adjusted=True)
 
@@ -82,14 +77,13 @@ def forecast_metadata(df: DataFrame, spec: SeriesSpec, step_seconds: float | Non
         cell = F.struct(*columns)
         return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias(name))
 
+    # Short series have no test result; every key and signal has a row all the same.
+    cells = F.explode(F.array(*[F.lit(s) for s in spec.signals])).alias("signal")
+    every = df.select(*spec.keys).distinct().select(*spec.keys, cells) if spec.keys else df.sparkSession.range(1).select(cells)
+    order = same_keys(every, order, keys)
     out = order.withColumn("stationary", F.coalesce(F.col("suggested_d") == 0, F.lit(False)))
     out = same_keys(out, listed(periods, "dominant_periods", "rank", "period_seconds", "period_hours", "period_steps"), keys)
-    if strength is not None:
-        own = periods.select(*keys, F.col("period_steps").alias("period")).distinct()
-        strength = same_keys(strength, own, [*keys, "period"], "inner")
-        out = same_keys(out, listed(strength, "seasonal_strength", "period", "seasonal_amplitude"), keys)
-    else:
-        out = out.withColumn("seasonal_strength", F.lit(None).cast("array<struct<period:bigint,seasonal_amplitude:double>>"))
+    out = same_keys(out, listed(strength, "seasonal_strength", "period", "seasonal_amplitude"), keys)
     out = same_keys(out, listed(lagstats.significant_lags(acf, keys), "acf_significant_lags", "lag", "value"), keys)
     out = same_keys(out, listed(lagstats.significant_lags(pacf, keys), "pacf_significant_lags", "lag", "value"), keys)
     out = same_keys(out, stationarity.boxcox_hint(df, spec), keys)
@@ -128,22 +122,27 @@ def fit_residual(df: DataFrame, spec: SeriesSpec, hours: float, capacity: float,
     return learn.residual_model(table, spec, residual_features(spec, table), trees=trees)
 
 
-def battery_workflow(df: DataFrame, spec: SeriesSpec, every: str, per_month: bool = True, trees: int = 500) -> dict:
+def battery_workflow(df: DataFrame, spec: SeriesSpec, every: str | None = None, per_month: bool = True, trees: int = 500) -> dict:
     """Calibrate, simulate, correct and score the state of charge.
 
-    The table is resampled to a regular step. With ``per_month`` each month is calibrated
+    The table is resampled to a regular step (the most frequent one, if not given). With ``per_month`` each month is calibrated
     and simulated on its own; one model is trained over all of them.
     """
     from tidewatt.functions.timestamps import width_of
 
+    if every is None:
+        step = buckets.infer_step_mode(df, spec).filter("step_seconds > 0").agg(F.min("step_seconds")).first()[0]
+        if step is None:
+            raise ValueError("no step can be inferred from the timestamps")
+        every = f"{max(1, round(step))} seconds"
     hours = width_of(every) / width_of("1 hour")
     signals = [energy.SOC, energy.CHARGE, energy.DISCHARGE, "solar_pv_output", "grid_load_demand", "temperature"]
-    rows = buckets.resample_mean(values.add_missing_columns(df, signals), spec.with_signals(*signals), every)
+    rows = freeze(buckets.resample_mean(values.add_missing_columns(df, signals), spec.with_signals(*signals), every))
     spec = SeriesSpec(spec.ts, spec.keys)
     if per_month:
         rows, spec = rows.withColumn("month", F.to_date(F.date_trunc("month", spec.ts))), spec.with_keys("month")
-    fitted = energy.fit_parameters(rows, spec, hours)
-    simulated = physics(rows, spec, hours, fitted)
+    fitted = freeze(energy.fit_parameters(rows, spec, hours))
+    simulated = freeze(physics(rows, spec, hours, fitted))
     table = features.soc_feature_table(simulated, spec)
     model, scored = learn.residual_model(table, spec, residual_features(spec, table), trees=trees)
     hybrid = learn.hybrid_correction(simulated, scored, [*spec.keys, spec.ts])
