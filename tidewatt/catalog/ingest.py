@@ -14,7 +14,12 @@ from tidewatt import sources
 EVENT_CSV = "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING, value DOUBLE"
 
 
-@query("scan_parquet", "SELECT event_id, event_type, value FROM events WHERE value > 50")
+@query("scan_parquet", "SELECT event_id, event_type, value FROM events")
+def _(spark, sf):
+    return sources.scan_parquet(spark, f"{sf}/events.parquet", ["event_id", "event_type", "value"])
+
+
+@query("scan_parquet_pushdown", "SELECT event_id, event_type, value FROM events WHERE value > 50")
 def _(spark, sf):
     return sources.scan_parquet(spark, f"{sf}/events.parquet", ["event_id", "event_type", "value"]).filter("value > 50")
 
@@ -41,11 +46,15 @@ def _(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.sum("value").alias("total"))
 
 
-@query("check_headers")
+@query(
+    "check_headers",
+    "SELECT * FROM (VALUES ('part0', true, 'event_id,ts,event_type,value'), ('part1', true, 'event_id,ts,event_type,value'), "
+    "('part2', false, 'event_id,value,ts,event_type')) t(part, matches, found)",
+)
 def _(spark, sf):
     report = sources.check_headers(spark, event_files(spark, sf, shuffled_last=True))
     label = F.regexp_extract("file", r"/(part\d)/", 1).alias("part")
-    return report.select(label, "matches", F.concat_ws(",", "found").alias("found"))
+    return report.select(label, "matches", F.concat_ws(",", "found").alias("found")).distinct()
 
 
 @query(
@@ -85,7 +94,12 @@ def _(spark, sf):
     f"AS line_no FROM ({FAULTY_SQL})) WHERE line_no <= 25",
 )
 def _(spark, sf):
-    return sources.text_preview(faulty(spark, sf), EVENTS, 25)
+    path = scratch_path(spark, "preview")
+    sources.sink_text_preview(faulty(spark, sf), EVENTS, path, 25)
+    written = spark.read.text(path).filter("value LIKE '%: %' AND value NOT LIKE 'Column: %'").groupBy("value").agg(F.count("*").alias("times"))
+    lines = sources.text_preview(faulty(spark, sf), EVENTS, 25)
+    # Each line stands in the written file; equal lines of different signals are told apart by the plan.
+    return lines.join(written, lines["line"] == written["value"], "left_semi")
 
 
 @query("page", "SELECT event_id, ts, event_type, value FROM events ORDER BY ts, event_id LIMIT 100 OFFSET 500")

@@ -38,16 +38,23 @@ def _(spark, sf):
 
 
 L = 48
-CENTRED = (
-    f"SELECT event_type, ts, event_id, value - avg(value) OVER (PARTITION BY event_type) AS c, count(*) OVER (PARTITION BY event_type) AS n FROM ({GAPPY_SQL}) WHERE value IS NOT NULL"
-)
-ACF = (
+# A cycle on top of the readings, so that some lags stand out.
+CYCLE = "coalesce(value, 0.0) + 30 * sin(2 * pi() * (event_id % 120) / 120)"
+
+
+def acf_sql(rows: str) -> str:
+    centred = f"SELECT event_type, ts, event_id, value - avg(value) OVER (PARTITION BY event_type) AS c, count(*) OVER (PARTITION BY event_type) AS n FROM ({rows}) WHERE value IS NOT NULL"
+    return (
     "SELECT event_type, 'value' AS signal, lag, value, n_obs FROM (SELECT event_type, n AS n_obs, unnest(range(0, " + str(L + 1) + ")) AS lag, unnest(["
     + ", ".join(["1.0"] + [f"sum(c * l{k}) / sum(c * c)" for k in range(1, L + 1)])
     + "]) AS value FROM (SELECT *, "
     + ", ".join(f"lag(c, {k}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS l{k}" for k in range(1, L + 1))
-    + f" FROM ({CENTRED})) GROUP BY event_type, n)"
-)
+    + f" FROM ({centred})) GROUP BY event_type, n)"
+    )
+
+
+ACF = acf_sql(GAPPY_SQL)
+CYCLIC_ACF = acf_sql(f"SELECT event_type, ts, event_id, {CYCLE} AS value FROM ({GAPPY_SQL})")
 
 
 def acf_rows(spark, sf):
@@ -59,7 +66,21 @@ def _(spark, sf):
     return acf_rows(spark, sf)
 
 
-@query("pacf", None, "value")
+@query("acf_chunked", ACF, "value")
+def _(spark, sf):
+    return lagstats.acf(gappy(spark, sf), EVENTS, L, rows_per_chunk=150)
+
+
+PACF = (
+    f"WITH RECURSIVE a AS (SELECT event_type, signal, n_obs, list(value ORDER BY lag) AS r FROM ({ACF}) GROUP BY event_type, signal, n_obs), "
+    "w AS (SELECT event_type, signal, n_obs, r, 1 AS k, [r[2]] AS phi, r[2] AS p FROM a UNION ALL "
+    "SELECT event_type, signal, n_obs, r, k + 1, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - q * z[2]), q), q FROM ("
+    f"SELECT *, (r[k + 2] - list_dot_product(phi, list_reverse(r[2:k + 1]))) / (1 - list_dot_product(phi, r[2:k + 1])) AS q FROM w WHERE k < {L})) "
+    "SELECT event_type, signal, n_obs, k AS lag, p AS value FROM w UNION ALL SELECT event_type, signal, n_obs, 0 AS lag, 1.0 AS value FROM a"
+)
+
+
+@query("pacf", PACF, "value")
 def _(spark, sf):
     return lagstats.pacf(acf_rows(spark, sf), ["event_type", "signal"])
 
@@ -67,11 +88,12 @@ def _(spark, sf):
 @query(
     "significant_lags",
     f"SELECT event_type, signal, lag, value, n_obs, 2.0 / sqrt(n_obs) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY lag) AS k "
-    f"FROM ({ACF}) WHERE lag > 0 AND abs(value) > 2.0 / sqrt(n_obs)) WHERE k <= 20",
+    f"FROM ({CYCLIC_ACF}) WHERE lag > 0 AND abs(value) > 2.0 / sqrt(n_obs)) WHERE k <= 20",
     "value threshold",
 )
 def _(spark, sf):
-    return lagstats.significant_lags(acf_rows(spark, sf), ["event_type", "signal"])
+    rows = gappy(spark, sf).withColumn("value", F.expr(CYCLE))
+    return lagstats.significant_lags(lagstats.acf(rows, EVENTS, L), ["event_type", "signal"])
 
 
 def ccf_sql(max_lag: int, center: bool) -> str:

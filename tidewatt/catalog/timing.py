@@ -144,11 +144,21 @@ def _(spark, sf):
     return ordered.find_gaps(events(spark, sf), EVENTS)
 
 
-@query("lag_features", "SELECT event_id, ts, event_type, value, " + ", ".join(f'lag(value, {k}) {OVER} AS "value_t-{k}"' for k in (1, 2, 96)) + f" FROM ({GAPPY_SQL})")
+LAGGED = ("SELECT event_id, ts, event_type, value, " + ", ".join(f'lag(value, {k}) {OVER} AS "value_t-{k}"' for k in (1, 2, 96)) + f" FROM ({GAPPY_SQL})")
+# Chunks far smaller than a series, to take the way of series too long for one task.
+SMALL_CHUNK = 150
+
+
+@query("lag_features", LAGGED)
 def _(spark, sf):
     return ordered.lag_features(gappy(spark, sf), EVENTS)
 
 
+@query("lag_features_chunked", LAGGED)
+def _(spark, sf):
+    return ordered.lag_features(gappy(spark, sf), EVENTS, rows_per_chunk=SMALL_CHUNK)
+
+
 def full(fn: str, w: int) -> str:
     frame = FRAME.format(w - 1)
     return f"CASE WHEN count(value) {frame} = {w} THEN {fn}(value) {frame} END"
@@ -214,6 +224,11 @@ def _(spark, sf):
     return ordered.interpolate(gappy(spark, sf), EVENTS, "row")
 
 
+@query("interpolate_chunked", f"SELECT event_id, ts, event_type, value FROM ({interpolation_sql(NUMBERED_SQL, 'value', 'x', PART)})", "value")
+def _(spark, sf):
+    return ordered.interpolate(gappy(spark, sf), EVENTS, "row", rows_per_chunk=SMALL_CHUNK)
+
+
 @query("interpolate_time", f"SELECT event_id, ts, event_type, value FROM ({interpolation_sql(TIMED_SQL, 'value', 'x', PART)})", "value")
 def _(spark, sf):
     return ordered.interpolate(gappy(spark, sf), EVENTS, "time")

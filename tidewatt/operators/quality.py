@@ -109,7 +109,7 @@ def basic_stats(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return long_rows(wide, spec.keys, spec.signals, ["min", "max", "mean", "std"], "signal")
 
 
-def describe(df: DataFrame, spec: SeriesSpec, profile: KeyProfile | None = None) -> DataFrame:
+def describe(df: DataFrame, spec: SeriesSpec, profile: KeyProfile | None = None, rows_per_chunk: int | None = None) -> DataFrame:
     """count, null_count, mean, std, min, quartiles (linear interpolation) and max."""
     keys = list(spec.keys)
     aggs = []
@@ -124,7 +124,7 @@ def describe(df: DataFrame, spec: SeriesSpec, profile: KeyProfile | None = None)
             F.max(v).alias(f"{s}#max"),
         ]
     moments = df.groupBy(*keys).agg(*aggs)
-    quartiles = quantile_wide(df, keys, spec.signals, [0.25, 0.5, 0.75], profile)
+    quartiles = quantile_wide(df, keys, spec.signals, [0.25, 0.5, 0.75], profile, rows_per_chunk)
     quartiles = quartiles.select(
         *keys,
         *[quoted(s)[i].alias(f"{s}#{q}") for s in spec.signals for i, q in enumerate(("q25", "q50", "q75"))],

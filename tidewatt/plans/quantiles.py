@@ -20,18 +20,18 @@ def known(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def quantile_wide(df: DataFrame, keys, values, probs, profile: KeyProfile | None = None) -> DataFrame:
+def quantile_wide(df: DataFrame, keys, values, probs, profile: KeyProfile | None = None, rows_per_chunk: int | None = None) -> DataFrame:
     """One row per key with an array of quantiles for each value column."""
     keys, values, probs = list(keys), list(values), [float(p) for p in probs]
     profile = profile or profile_keys(df, keys)
-    if profile.largest * len(values) <= PERCENTILE_VALUES:
+    if profile.largest * len(values) <= (rows_per_chunk or PERCENTILE_VALUES):
         return df.groupBy(*keys).agg(
             *[F.percentile(known(F.col(v)), F.array(*map(F.lit, probs))).alias(v) for v in values]
         )
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("_signal"), known(F.col(v)).alias("_value")) for v in values
     ])).alias("_s")).select(*keys, "_s.*")
-    per_signal = ranked_quantiles(long, [*keys, "_signal"], "_value", probs, profile.largest)
+    per_signal = ranked_quantiles(long, [*keys, "_signal"], "_value", probs, profile.largest, rows_per_chunk)
     return per_signal.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_signal") == v, F.col("quantiles"))).alias(v) for v in values]
     )

@@ -53,7 +53,8 @@ def merge_files(spark: SparkSession, paths, schema=None, check: bool = True) ->
 
     The files must share names and types: with ``check`` a header that differs from the
     first file's raises. The report holds one row per file with the rows it contributed, the
-    sum over files and the rows of the merged frame.
+    lines that the files hold besides their header and blank ones (counted as plain text, so that
+    a lost row shows), and the rows of the merged frame.
     """
     if check:
         wrong = check_headers(spark, paths).filter("NOT matches").select("file").limit(5).collect()
@@ -61,7 +62,8 @@ def merge_files(spark: SparkSession, paths, schema=None, check: bool = True) ->
             raise ValueError(f"column lists differ from the first file: {[r['file'] for r in wrong]}")
     merged = scan_csv(spark, paths, schema)
     counts = file_counts(merged)
-    total = counts.agg(F.sum("n_rows").alias("expected_rows"))
+    lines = spark.read.text(paths).filter(F.trim("value") != "").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("_lines"))
+    total = lines.agg(F.sum(F.col("_lines") - 1).alias("expected_rows"))
     actual = merged.agg(F.count("*").alias("actual_rows"))
     report = counts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(actual))
     return merged, report.withColumn("rows_kept", F.col("expected_rows") == F.col("actual_rows"))
