@@ -55,6 +55,22 @@ def test_ranked_quantiles_equal_builtin(cases, case, keys):
     assert rows_of(ranked_quantiles(cases[case], keys, "v", probs, N, 40)) == rows_of(quantile_long(cases[case], keys, "v", probs))
 
 
+def test_correlation_window_is_per_series(spark):
+    df = spark.range(1100).select(
+        F.when(F.col("id") < 100, "short").otherwise("long").alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"),
+        F.sin(F.col("id") * F.col("id")).alias("a"), F.cos(F.col("id") * 3).alias("b"),
+    )
+    spec = SeriesSpec("ts", ("k",), ("a", "b"))
+    alone = {r["ts"]: r["rolling_corr"] for r in ordered.rolling_corr(df.where("k = 'short'"), spec, 200).collect()}
+    assert sum(v is not None for v in alone.values()) == 89
+    for size in (None, 30):
+        beside = {r["ts"]: r["rolling_corr"] for r in ordered.rolling_corr(df, spec, 200, rows_per_chunk=size).where("k = 'short'").collect()}
+        assert beside == pytest.approx(alone)
+    pdf = df.where("k = 'short'").orderBy("ts").toPandas()
+    want = pdf["a"].rolling(25, min_periods=12).corr(pdf["b"])
+    assert [alone[t] for t in pdf["ts"]][11:] == pytest.approx(want.tolist()[11:])
+
+
 def test_thin_out_a_long_regular_series(spark):
     df = spark.range(250_000).select(F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("v"))
     assert buckets.thin_out(df, SeriesSpec("ts", (), ("v",))).count() == 250

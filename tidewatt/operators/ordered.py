@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.functions.timestamps import micros
 from tidewatt.functions.values import quoted, replace_columns
-from tidewatt.plans.order import BASE, SPLIT, Chunked, chunked, known_neighbours, with_position
+from tidewatt.plans.order import BASE, SPLIT, Chunked, chunked, known_neighbours, running_total, with_position
 from tidewatt.plans.quantiles import known, quantile_wide
-from tidewatt.plans.sizing import attach, measured, profile_keys
+from tidewatt.plans.sizing import attach, measured, same_keys
 from tidewatt.spec import SeriesSpec
 
 # Longer frames use differences of running sums instead of re-adding the frame per row.
@@ -152,44 +152,68 @@ def rolling_variance_stability(df: DataFrame, spec: SeriesSpec, window: int = 24
     )
 
 
+CORR_TERMS = ("n", "sx", "sy", "xx", "yy", "xy")
+
+
+def _corr(rows: DataFrame, least: Column) -> Column:
+    """Correlation from the window sums ``_w<term>``; ``_xx_`` and ``_yy_`` are the running sums."""
+    n, sx, sy, xx, yy, xy = (F.col(f"_w{t}") for t in CORR_TERMS)
+    count = F.when(n > 0, n)
+    cov, vx, vy = xy - sx * sy / count, xx - sx * sx / count, yy - sy * sy / count
+    # Differences of running sums carry an error of about 1e-16 of the sums themselves.
+    clear = (vx > F.col("_xx_") * 1e-13) & (vy > F.col("_yy_") * 1e-13)
+    return F.when((n >= least) & clear, cov / F.sqrt(F.when(clear, vx * vy)))
+
+
 def rolling_corr(
     df: DataFrame, spec: SeriesSpec, window: int = 4320, min_pairs: int | None = None, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Pearson correlation of two signals over the last ``window`` rows (complete pairs).
 
-    A table shorter than two windows uses a quarter of its rows. Running sums make the cost
-    per row independent of the window length.
+    A series shorter than two windows uses a quarter of its own rows, whatever other series the
+    table holds. Running sums make the cost per row independent of the window length.
     """
     a, b = spec.signals
-    profile = profile_keys(df, spec.keys)
-    largest = profile.largest
-    if largest < 2 * window:
-        window = max(2, largest // 4)
-    min_pairs = window // 2 if min_pairs is None else min_pairs
-    parts = chunked(df, spec, before=window, rows_per_chunk=rows_per_chunk, profile=profile)
+    keys = list(spec.keys)
     both = known(quoted(a)).isNotNull() & known(quoted(b)).isNotNull()
     x, y = F.when(both, known(quoted(a))), F.when(both, known(quoted(b)))
-    frame = parts.frame.select(
-        "*", (x - F.first(x, True).over(whole_frame(parts))).alias("_x"), (y - F.first(y, True).over(whole_frame(parts))).alias("_y")
-    )
-    run = running_frame(parts)
-    terms = {"n": F.lit(1), "sx": F.col("_x"), "sy": F.col("_y"), "xx": F.col("_x") * F.col("_x"), "yy": F.col("_y") * F.col("_y"), "xy": F.col("_x") * F.col("_y")}
-    frame = frame.select(
-        "*", *[F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), e)).over(run).cast("double"), F.lit(0.0)).alias(f"_{k}_") for k, e in terms.items()]
-    )
-    n, sx, sy, xx, yy, xy = (
-        F.col(f"_{k}_") - F.coalesce(F.lag(f"_{k}_", window).over(parts.window), F.lit(0.0)) for k in terms
-    )
-    frame = frame.select("*", *[e.alias(f"_w{k}") for k, e in zip(terms, (n, sx, sy, xx, yy, xy))])
-    count = F.when(F.col("_wn") > 0, F.col("_wn"))
-    cov = F.col("_wxy") - F.col("_wsx") * F.col("_wsy") / count
-    vx = F.col("_wxx") - F.col("_wsx") * F.col("_wsx") / count
-    vy = F.col("_wyy") - F.col("_wsy") * F.col("_wsy") / count
-    # Differences of running sums carry an error of about 1e-16 of the sums themselves.
-    clear = (vx > F.col("_xx_") * 1e-13) & (vy > F.col("_yy_") * 1e-13)
-    corr = F.when((F.col("_wn") >= min_pairs) & clear, cov / F.sqrt(F.when(clear, vx * vy)))
-    out = frame.withColumn("rolling_corr", corr)
-    return parts.trim(out).select(*spec.keys, *spec.order, "rolling_corr")
+    df = df.filter(F.col(spec.ts).isNotNull()).select(*keys, *spec.order, x.alias("_x"), y.alias("_y"))
+    sizes, profile = measured(df, keys, _mx=F.avg("_x"), _my=F.avg("_y"))
+    least, most = sizes.agg(F.min("n_obs"), F.max("n_obs")).first()
+    rows = attach(df, sizes.withColumnRenamed("n_obs", "_rows"), keys, profile)
+    centred = rows.select(*keys, *spec.order, "_rows", (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
+    out = []
+    if most is not None and most >= 2 * window:
+        long = centred.filter(F.col("_rows") >= 2 * window)
+        parts = _corr_sums(chunked(long, spec, before=window, rows_per_chunk=rows_per_chunk, profile=profile), running=True)
+        sums = [(F.col(f"_{t}_") - F.coalesce(F.lag(f"_{t}_", window).over(parts.window), F.lit(0.0))).alias(f"_w{t}") for t in CORR_TERMS]
+        frame = parts.frame.select("*", *sums)
+        out.append(parts.trim(frame.withColumn("rolling_corr", _corr(frame, F.lit(window // 2 if min_pairs is None else min_pairs)))))
+    if not out or least < 2 * window:
+        short = centred.filter(F.col("_rows") < 2 * window)
+        own = F.greatest(F.lit(2).cast("bigint"), F.floor(F.col("_rows") / 4))
+        parts = chunked(short.withColumn("_window", own), spec, rows_per_chunk=rows_per_chunk, profile=profile)
+        parts = _corr_sums(parts.having(parts.frame.withColumn("_i", parts.position)), running=False)
+        frame = parts.trim(parts.frame)
+        back = frame.select(*keys, (F.col("_i") + F.col("_window")).alias("_i"), *[F.col(f"_{t}_").alias(f"_b{t}") for t in CORR_TERMS])
+        frame = same_keys(frame, back, [*keys, "_i"])
+        frame = frame.select("*", *[(F.col(f"_{t}_") - F.coalesce(f"_b{t}", F.lit(0.0))).alias(f"_w{t}") for t in CORR_TERMS])
+        out.append(frame.withColumn("rolling_corr", _corr(frame, F.floor(F.col("_window") / 2) if min_pairs is None else F.lit(min_pairs))))
+    columns = [*keys, *spec.order, "rolling_corr"]
+    return out[0].select(*columns) if len(out) == 1 else out[0].select(*columns).unionByName(out[1].select(*columns))
+
+
+def _corr_sums(parts: Chunked, running: bool) -> Chunked:
+    """Add the sums ``_<term>_`` up to each row: of its chunk (``running``) or of the whole series."""
+    x, y = F.col("_x"), F.col("_y")
+    terms = dict(zip(CORR_TERMS, (F.when(x.isNotNull(), F.lit(1.0)), x, y, x * x, y * y, x * y)))
+    for name, value in terms.items():
+        if running:
+            total = F.coalesce(F.sum(value).over(running_frame(parts)), F.lit(0.0))
+            parts = parts.having(parts.frame.withColumn(f"_{name}_", total))
+        else:
+            parts = running_total(parts, value, f"_{name}_")
+    return parts
 
 
 def interpolated(signal: str, x: str) -> Column:
