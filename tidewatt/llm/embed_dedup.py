@@ -3,8 +3,9 @@
 Equal vectors are merged first. The others are rotated to their principal axes, largest variance
 first, so that leading dimensions carry most of a product. Blocks of vectors meet in pairs; a tile of
 a pair accumulates the products over the leading dimensions and adds, as bound for the rest, the
-product of the suffix norms. Pairs that cannot reach the threshold are given up, the others go on to
-the next dimensions and are decided on the full vectors in double precision.
+product of the suffix norms: both in one matrix product, the suffix norm being one more coordinate.
+Pairs that cannot reach the threshold are given up, the others go on to the next dimensions and are
+decided on the full vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from .simhash_trie import smallest_linked
 
 BLOCK_ROWS = 4096
 TILE = 1024
-#: Leading dimensions after which a tile is looked at again.
-STAGES = (8, 12, 16, 24, 32)
-SLACK = 1e-9
+#: Dimensions between two looks at the pairs that are left.
+STEP = 8
+#: The first look is where this many standard deviations of a product no longer reach the threshold.
+DEVIATIONS = 4.0
+#: Allowance for rounding: of the first, single-precision look, and of the later ones.
+COARSE_SLACK, SLACK = 1e-4, 1e-9
 #: Candidate pairs whose products are finished at once.
 AT_ONCE = 100_000
 
@@ -36,8 +40,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return fine.join(F.broadcast(length.select("n")), F.size("v") == F.col("n"), "left_semi")
 
 
-def axes(vectors: DataFrame, dims: int) -> np.ndarray:
-    """Principal axes of the unit vectors as columns, largest variance first.
+def axes(vectors: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Principal axes of the unit vectors as columns, largest variance first, and mean squares along them.
 
     Tasks send partial sums by matrix cell and Spark adds them; only the d x d matrix comes back.
     """
@@ -59,7 +63,18 @@ def axes(vectors: DataFrame, dims: int) -> np.ndarray:
     n = max(total[-1, -1], 1.0)
     mean = total[:-1, -1] / n
     values, columns = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return columns[:, np.argsort(-values)]
+    columns = columns[:, np.argsort(-values)]
+    return columns, np.einsum("dk,de,ek->k", columns, total[:-1, :-1] / n, columns)
+
+
+def looks(squares: np.ndarray, threshold: float) -> list[int]:
+    """After how many dimensions pairs are looked at, from the mean square of each."""
+    dims = len(squares)
+    rest = np.cumsum(squares[::-1])[::-1]
+    spread = np.sqrt(np.cumsum(squares**2))
+    enough = [d for d in range(1, dims) if rest[d] + DEVIATIONS * spread[d - 1] < threshold]
+    first = enough[0] if enough else dims
+    return [*range(first, dims, STEP), dims]
 
 
 class Side:
@@ -73,17 +88,15 @@ class Side:
         self.suffix = np.sqrt(np.c_[square, np.zeros(len(x))])
 
 
-def linked(a: Side, b: Side, threshold: float, same: bool):
+def linked(a: Side, b: Side, threshold: float, same: bool, stops: list[int]):
     """Index pairs (i, j) with cosine of at least the threshold; i < j if both sides are one."""
-    dims = a.unit.shape[1]
-    stops = [d for d in STAGES if d < dims] + [dims]
+    d = stops[0]
+    left, right = (np.c_[s.turned[:, :d], s.suffix[:, d]].astype(np.float32) for s in (a, b))
     for i0 in range(0, len(a.unit), TILE):
         for j0 in range(i0 if same else 0, len(b.unit), TILE):
             x, y = a.turned[i0 : i0 + TILE], b.turned[j0 : j0 + TILE]
-            d = stops[0]
-            bound = x[:, :d] @ y[:, :d].T
-            bound += np.outer(a.suffix[i0 : i0 + TILE, d], b.suffix[j0 : j0 + TILE, d])
-            i, j = np.nonzero(bound >= threshold - SLACK)
+            bound = left[i0 : i0 + TILE] @ right[j0 : j0 + TILE].T
+            i, j = np.divmod(np.flatnonzero(bound >= threshold - COARSE_SLACK), bound.shape[1])
             if same and i0 == j0:
                 i, j = i[i < j], j[i < j]
             for at in range(0, len(i), AT_ONCE):
@@ -97,7 +110,7 @@ def linked(a: Side, b: Side, threshold: float, same: bool):
                 yield i0 + p[exact], j0 + q[exact]
 
 
-def _compare(rows: pa.Table, turn: np.ndarray, threshold: float) -> pa.Table:
+def _compare(rows: pa.Table, turn: np.ndarray, threshold: float, stops: list[int]) -> pa.Table:
     """Counts of links (node, add, null) and edges that span them (node, null, low) for one pair of blocks."""
     dims = len(turn)
     order = np.argsort(rows["node"].to_numpy(), kind="stable")
@@ -113,7 +126,7 @@ def _compare(rows: pa.Table, turn: np.ndarray, threshold: float) -> pa.Table:
     if len(left) and len(right):
         a = Side(x[left], turn)
         b = a if same else Side(x[right], turn)
-        for p, q in linked(a, b, threshold, same):
+        for p, q in linked(a, b, threshold, same, stops):
             i, j = left[p], right[q]
             np.add.at(add, i, copies[j])
             np.add.at(add, j, copies[i])
@@ -141,13 +154,14 @@ def near_components(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     n = reps.count()
     if n:
         dims = reps.select(F.size("v")).first()[0]
-        turn = axes(reps, dims)
+        turn, squares = axes(reps, dims)
+        stops = looks(squares, threshold)
         blocks = max(1, -(-n // block_rows))
         own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
         rows = reps.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         low, high = F.least("own", "other"), F.greatest("own", "other")
         rows = rows.select("node", "copies", "v", low.alias("i"), high.alias("j"), (F.col("own") != low).cast("int").alias("side"), (low != high).alias("cross"))
-        met = durable(rows.groupBy("i", "j").applyInArrow(lambda t: _compare(t, turn, threshold), "node long, add long, low long"))
+        met = durable(rows.groupBy("i", "j").applyInArrow(lambda t: _compare(t, turn, threshold, stops), "node long, add long, low long"))
         links = met.where("add is not null").groupBy("node").agg(F.sum("add").alias("links"))
         found = components(met.where("low is not null").select(F.col("node").alias("u"), F.col("low").alias("v")))
     else:

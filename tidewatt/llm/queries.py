@@ -60,6 +60,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_license_scan, op4_site_quality, op5_language, op6_sharding, op7_mixing, op8_suffix_dedup, op9_exact_dedup, op10_simhash)}
 
 ORACLE = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT reach.u, link.w FROM reach JOIN link ON link.u = reach.w
+        )
+        SELECT r.u AS vec_id, (SELECT count(*) FROM link WHERE link.u = r.u) AS n_links, min(r.w) AS component_id, min(r.w) = r.u AS kept
+        FROM reach r GROUP BY r.u""",
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
