@@ -49,13 +49,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
 def kept_in_worker(name: str, key, make):
     """What ``make`` gives, made once for ``key`` and kept by this Python worker from task to task.
 
-    Worker code travels with the job, so module variables start anew in every task; only the newest
-    key of a name is kept.
+    Worker code travels with the job, so module variables start anew in every task. Only the newest
+    thing is kept, as later stages run in the same worker.
     """
     store = sys.__dict__.setdefault("_tidewatt_kept", {})
-    if store.get(name, (None,))[0] != key:
-        store[name] = (key, make())
-    return store[name][1]
+    if (name, key) not in store:
+        store.clear()
+        store[name, key] = make()
+    return store[name, key]
 
 
 def spread(df: DataFrame) -> int:
