@@ -40,7 +40,7 @@ def test_stays_in_the_jvm(spark, sf_dir, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    plan = plan_of(QUERIES["scan_parquet"](spark, sf_dir))
+    plan = plan_of(QUERIES["scan_parquet_pushdown"](spark, sf_dir))
     assert "GreaterThan(value,50.0)" in plan and "props" not in plan
     assert "props" not in plan_of(QUERIES["bucket_mean"](spark, sf_dir))
 

@@ -121,9 +121,9 @@ def seasonal_amplitude(df: DataFrame, spec: SeriesSpec, periods, rows_per_chunk:
         for p in periods
     ]))
     detrended = parts.trim(parts.frame).select(*keys, cells.alias("_c")).select(*keys, "_c.*")
-    phases = detrended.groupBy(*keys, "period", "phase").agg(F.avg("d").alias("m"), F.count("*").alias("k"))
+    phases = detrended.groupBy(*keys, "period", "phase").agg(F.avg("d").alias("_m"), F.count("*").alias("_n"))
     out = phases.groupBy(*keys, "period").agg(
-        (F.max("m") - F.min("m")).alias("seasonal_amplitude"), F.sum("k").alias("n_obs")
+        (F.max("_m") - F.min("_m")).alias("seasonal_amplitude"), F.sum("_n").alias("n_obs")
     )
     return out.filter(F.col("n_obs") >= 2 * F.col("period")).drop("n_obs")
 
@@ -140,23 +140,23 @@ def seasonal_amplitude_of(df: DataFrame, spec: SeriesSpec, wanted: DataFrame, ro
     stats, profile = measured(rows, keys, _mean=F.avg("value"))
     own = freeze(wanted.filter("period >= 2").select(*keys, F.col("period").cast("bigint").alias("period")).distinct())
     own = same_keys(own, stats.select(*keys, "n_obs"), keys, "inner").filter(F.col("n_obs") >= 2 * F.col("period")).drop("n_obs")
-    centred = attach(rows, stats.select(*keys, "_mean"), keys, profile).withColumn("v", F.col("value") - F.col("_mean"))
-    parts = chunked(centred.select(*keys, *long.order, "v"), long, rows_per_chunk=rows_per_chunk, profile=profile)
-    parts = running_total(parts.having(parts.frame.withColumn("idx", parts.position)), F.col("v"), "total")
-    base = freeze(parts.trim(parts.frame).select(*keys, "idx", "v", "total"))
-    at = same_keys(base, broadcast_if_small(freeze(own)), keys, "inner").withColumn("half", F.floor(F.col("period") / 2))
-    ends = base.select(*keys, F.col("idx").alias("pos"), F.col("v").alias("e"), F.col("total").alias("t"))
+    centred = attach(rows, stats.select(*keys, "_mean"), keys, profile).withColumn("_v", F.col("value") - F.col("_mean"))
+    parts = chunked(centred.select(*keys, *long.order, "_v"), long, rows_per_chunk=rows_per_chunk, profile=profile)
+    parts = running_total(parts.having(parts.frame.withColumn("idx", parts.position)), F.col("_v"), "_total")
+    base = freeze(parts.trim(parts.frame).select(*keys, "idx", "_v", "_total"))
+    at = same_keys(base, broadcast_if_small(freeze(own)), keys, "inner").withColumn("_half", F.floor(F.col("period") / 2))
+    ends = base.select(*keys, F.col("idx").alias("_pos"), F.col("_v").alias("_e"), F.col("_total").alias("_t"))
 
     def fetched(rows, position, **names):
-        side = ends.select(*keys, "pos", *[F.col(c).alias(n) for c, n in names.items()])
-        return same_keys(rows.withColumn("pos", position), side, [*keys, "pos"], "left").drop("pos")
-
-    at = fetched(at, F.col("idx") + F.col("half"), e="last", t="upto")
-    at = fetched(at, F.col("idx") - F.col("half"), e="first", t="from")
-    even = F.when(F.col("period") % 2 == 0, (F.col("first") + F.col("last")) / 2).otherwise(0.0)
-    trend = (F.col("upto") - F.col("from") + F.col("first") - even) / F.col("period")
-    phases = at.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(F.avg(F.col("v") - trend).alias("m"))
-    return phases.groupBy(*keys, "period").agg((F.max("m") - F.min("m")).alias("seasonal_amplitude"))
+        side = ends.select(*keys, "_pos", *[F.col(c).alias(n) for c, n in names.items()])
+        return same_keys(rows.withColumn("_pos", position), side, [*keys, "_pos"], "left").drop("_pos")
+
+    at = fetched(at, F.col("idx") + F.col("_half"), _e="_last", _t="_upto")
+    at = fetched(at, F.col("idx") - F.col("_half"), _e="_first", _t="_from")
+    even = F.when(F.col("period") % 2 == 0, (F.col("_first") + F.col("_last")) / 2).otherwise(0.0)
+    trend = (F.col("_upto") - F.col("_from") + F.col("_first") - even) / F.col("period")
+    phases = at.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(F.avg(F.col("_v") - trend).alias("_m"))
+    return phases.groupBy(*keys, "period").agg((F.max("_m") - F.min("_m")).alias("seasonal_amplitude"))
 
 
 def spectrum(df: DataFrame, spec: SeriesSpec, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None) -> DataFrame:
