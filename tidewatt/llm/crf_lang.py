@@ -29,10 +29,10 @@ STEPS = 60
 BITS = 18
 GRAMS = (1, 2, 3, 4)
 #: Words of a batch that are labelled side by side, and words per block.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000
 BLOCK = 64
 #: Words whose scores a worker keeps at hand; only speed depends on it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

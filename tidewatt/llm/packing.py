@@ -25,7 +25,7 @@ from .common import kept_in_worker, slim
 #: Pieces packed together.
 BATCH = 256
 #: Words whose ids a worker keeps at hand; only speed depends on it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Characters for which the tokenizer's own split of a text is known to be the pattern below.
 #: Texts with others take the tokenizer's full path.
 _OTHER = re.compile("[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")

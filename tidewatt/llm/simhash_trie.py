@@ -20,9 +20,9 @@ from .common import components, durable, only_members, slim, spread
 BITS = 64
 SEED = 42
 #: Fingerprints of one root that a task visits at once; larger roots are cut into tiles.
-TILE = 2048
+TILE = 1024
 #: Root pairs visited in one pass, which bounds the frontier.
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
 STEP_BITS = 6
 
 
