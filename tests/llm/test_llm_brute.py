@@ -432,3 +432,37 @@ def test_near_groups_are_verified(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
     got = {r["doc_id"]: r["keep_id"] for r in simhash_trie.verified_groups(df).collect() if r["doc_id"] != r["keep_id"]}
     assert got == {i: 0 for i in range(1, 6)}
+
+
+def test_near_groups_of_a_star_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(600)]
+    rows = {}
+    for star in range(3):
+        base = [rng.choice(words) for _ in range(200)]
+        hub = 100 * star + 60
+        rows[hub] = base
+        for i in range(100 * star, 100 * star + 61):
+            if i != hub:
+                copy = list(base)
+                for at in rng.sample(range(5, 195), 4):
+                    copy[at] = rng.choice(words)
+                rows[i] = copy
+    for i in range(400, 430):
+        rows[i] = [rng.choice(words) for _ in range(200)]
+    texts = {i: " ".join(w) for i, w in rows.items()}
+    prints = {i: simhash_trie.simhash(t.encode(), 2) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    links = [
+        (i, j) for i, j in itertools.combinations(sorted(texts), 2)
+        if (prints[i] ^ prints[j]).bit_count() <= 9 and simhash_trie.jaccard(texts[i], texts[j], 5) >= 0.8
+    ]
+    for _ in texts:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {i: k for i, k in label.items() if i != k}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for tile in (512, 20):
+        monkeypatch.setattr(simhash_trie, "OPEN_TILE", tile)
+        got = {r["doc_id"]: r["keep_id"] for r in simhash_trie.verified_groups(df).collect() if r["doc_id"] != r["keep_id"]}
+        assert len(want) > 100 and got == want

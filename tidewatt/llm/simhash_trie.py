@@ -247,29 +247,123 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def jaccard(one: str | None, two: str | None, shingle: int) -> float:
-    """Similarity of the sets of word shingles; a shorter text is one shingle, an empty one none."""
+def shingles(text: str | None, shingle: int) -> set[bytes]:
+    """The set of word shingles; a shorter text is one shingle, an empty one has none."""
+    words = (text or "").encode("utf-8").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
-    def shingles(text: str | None) -> set[bytes]:
-        words = (text or "").encode("utf-8").lower().split()
-        return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
-    a, b = shingles(one), shingles(two)
+def jaccard(one: str | None, two: str | None, shingle: int) -> float:
+    """Similarity of the sets of word shingles."""
+    a, b = shingles(one, shingle), shingles(two, shingle)
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+#: Documents on one side of a cell of candidates that are not yet joined.
+OPEN_TILE = 512
+OPEN_CELL = ["group", "low", "high"]
+
+
+def open_pairs(pdf: pd.DataFrame, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one cell within ``budget`` bits and with different labels, fewest bits first."""
+    fp, label, side = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["label"].to_numpy(np.int64), pdf["side"].to_numpy()
+    if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
+        left = right = np.arange(len(fp))
+    else:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    us, vs, bits = [], [], []
+    for at in range(0, len(left), 256):
+        some = left[at : at + 256]
+        apart = np.bitwise_count(fp[some][:, None] ^ fp[right][None, :])
+        i, j = np.nonzero((apart <= budget) & (label[some][:, None] != label[right][None, :]))
+        bits.append(apart[i, j])
+        us.append(some[i])
+        vs.append(right[j])
+    none = [np.array([], np.int64)]
+    u, v, d = np.concatenate(us or none), np.concatenate(vs or none), np.concatenate(bits or none)
+    if left is right:
+        u, v, d = u[u < v], v[u < v], d[u < v]
+    order = np.argsort(d, kind="stable")
+    return u[order], v[order]
+
+
+def _verify(pdf: pd.DataFrame, budget: int, shingle: int, similarity: float) -> pd.DataFrame:
+    """Links of one cell that join its labels: every open pair is compared unless its ends are joined already."""
+    numbers: dict[bytes, int] = {}
+    sets = [{numbers.setdefault(x, len(numbers)) for x in shingles(t, shingle)} for t in pdf["text"]]
+    doc, label = pdf["doc_id"].tolist(), pdf["label"].tolist()
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    u, v = open_pairs(pdf, budget)
+    for i, j in zip(u.tolist(), v.tolist()):
+        a, b = sets[i], sets[j]
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1 or not a or not b:
+            continue
+        x, y = top(label[i]), top(label[j])
+        if x == y:
+            continue
+        both = len(a & b)
+        if both / (len(a) + len(b) - both) >= similarity:
+            above[max(x, y)] = min(x, y)
+            out.append((doc[i], doc[j]))
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
+def open_links(prints: DataFrame, groups: DataFrame, joined: DataFrame, source: DataFrame, shingle: int, similarity: float, budget: int, tile: int | None = None) -> DataFrame:
+    """Links (u, v) between documents that are candidates but that ``joined`` leaves apart.
+
+    ``groups`` and ``joined`` are (node, component) of all candidates and of the links found so far,
+    without the smallest node of each.
+    Groups with more than one label are cut into tiles; each pair of tiles is a cell. Cells first
+    pick by fingerprint the documents with an open pair; only these are sent with their texts.
+    """
+    tile = tile or OPEN_TILE
+    groups = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    groups = groups.union(groups.select("group", "group").distinct())
+    rows = prints.distinct().join(groups, "doc_id")
+    rows = rows.join(joined.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+    rows = durable(rows.withColumn("label", F.coalesce("label", "doc_id")))
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    # A pair that stands alone was compared already.
+    sizes = sizes.where("a <> b and n > 2").select("group", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    rows = rows.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select(
+        "doc_id", "fp", "label", "group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[np.unique(np.concatenate(open_pairs(pdf, budget)))]
+
+    picked = durable(rows.groupBy(*OPEN_CELL).applyInPandas(pick, rows.schema))
+    ends = durable(picked.select(F.col("doc_id").alias("id")).distinct())
+    texts = only_members(source, "doc_id", ends, "id", ends.count()).join(ends, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    return picked.join(texts, "doc_id").groupBy(*OPEN_CELL).applyInPandas(lambda pdf: _verify(pdf, budget, shingle, similarity), "u long, v long")
+
+
 def verified_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
     print_shingle: int = 2, budget: int = 9, near_blocks: int = 5,
 ) -> DataFrame:
     """Rows (doc_id, keep_id) of documents that are near copies of others; keep_id is a group's smallest.
 
-    Fingerprints over ``print_shingle`` words that differ in at most ``budget`` bits are candidates (a
-    forest of the nearest per cell); only pairs whose sets of ``shingle`` words are at least
-    ``similarity`` alike are links, so documents that merely resemble each other are not grouped.
+    Fingerprints over ``print_shingle`` words that differ in at most ``budget`` bits are candidates;
+    only pairs whose sets of ``shingle`` words are at least ``similarity`` alike are links, so
+    documents that merely resemble each other are not grouped. A forest of the nearest candidates is
+    compared first; then every candidate pair that the links so far leave apart.
     Texts without words are never linked; rows with a null id take no part.
     """
     source = slim(docs, doc_id=id_col, text=text_col).where("doc_id is not null")
+    source = source.where(F.regexp_like("text", F.lit(r"[^\x09-\x0d ]")))
     prints = durable(source.select("doc_id", fingerprint_column(print_shingle)("text").alias("fp")))
     reps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     equal = prints.join(reps, "fp").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
@@ -284,4 +378,8 @@ def verified_groups(
 
     left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
     links = pairs.join(left, "u").join(right, "v").where(alike("a", "b") >= similarity).select("u", "v")
-    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+    joined = components(links)
+    more = durable(open_links(prints, components(pairs), joined, source, shingle, similarity, budget))
+    if not more.isEmpty():
+        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
