@@ -355,6 +355,16 @@ def test_loser_tree_merges_and_knows_prefixes():
         assert two[1] == suffix_dedup.first_difference(one[0], two[0], 0)
 
 
+def test_lone_window_leaves_a_group_whole():
+    gram, middle, back = b"G" * 32, b"m" * 58, b"p" * 10
+    one, two = (gram + middle + end + back + bytes([10]) for end in (b"a", b"c"))
+    lone = gram + middle + b"b" * 10 + bytes([suffix_dedup.LONE])
+    for many in (1, 2):
+        rows = [(one, 1, 0, 2), *[(lone, 5 + k, 0, 1) for k in range(many)], (two, 9, 40, 2)]
+        runs = [suffix_dedup.open_run(suffix_dedup.pack_run([k], np.array([d]), np.array([s]), np.array([n]))) for k, d, s, n in rows]
+        assert sorted(suffix_dedup.repeats(runs, 100)) == [(6, 0, 1)] * (many - 1) + [(9, 40, 41)]
+
+
 def test_exact_stream_in_many_batches(spark):
     rows = [(i, ["a b", "ab ", "a\tb", "c", "", None, "  "][i % 7]) for i in range(70)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)

@@ -217,6 +217,7 @@ def repeats(runs: list, length: int):
     """Window ranges (doc, from, to) that occur earlier, over the merged runs of one part."""
     group: list = []
     held = None
+    near = 0  # least prefix shared since the last segment; lone windows may lie between
     for key, shared, doc, start, count in merged(runs):
         if held is not None and shared == len(key) == len(held[0]):
             if (doc, start) != (held[1], held[2]):
@@ -226,13 +227,16 @@ def repeats(runs: list, length: int):
                 else:
                     yield doc, start, start + count
             continue
-        if shared < GRAM or key[-1] == LONE or (held and held[0][-1] == LONE):
+        near = min(near, shared)
+        held = [key, doc, start, count]
+        if key[-1] == LONE:
+            continue
+        if near < GRAM:
             if len(group) > 1:
                 yield from settle(group, length)
             group = []
-        held = [key, doc, start, count]
-        if key[-1] != LONE:
-            group.append(held)
+        near = len(key)
+        group.append(held)
     if len(group) > 1:
         yield from settle(group, length)
 
