@@ -104,6 +104,21 @@ def test_embeddings_against_all_pairs(spark):
         assert got == {i: (int(near[i].sum()) - 1, int(label[i])) for i in range(len(x))}
 
 
+def test_embeddings_of_mixed_lengths(spark):
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=n) for n in (8, 8, 5, 3)]
+    rows = [(k, x[k]) for k in range(4)] + [(10 + k, 2 * x[k] + 1e-3) for k in range(4)] + [(20 + k, x[k]) for k in range(4)] + [(30, x[0])]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in rows], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_components(df).collect()}
+
+    def linked(a, b):
+        return len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+
+    for i, a in rows:
+        near = [j for j, b in rows if linked(a, b)]
+        assert got[i] == (len(near) - 1, min(near))
+
+
 def test_axes_are_principal(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 5)) * np.array([1, 4, 2, 1, 3])

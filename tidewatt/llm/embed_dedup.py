@@ -10,6 +10,8 @@ decided on the full vectors in double precision.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,12 +34,10 @@ AT_ONCE = 100_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, v: array<double>) that can link: finite, not zero, of the most common length."""
+    """Rows (vec_id, v: array<double>) that can link: finite and not zero."""
     v = F.col("v")
     fine = vectors.where(v.isNotNull() & (F.size(v) > 0))
-    fine = fine.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    length = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    return fine.join(F.broadcast(length.select("n")), F.size("v") == F.col("n"), "left_semi")
+    return fine.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
 
 
 def axes(vectors: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,32 +141,38 @@ def _compare(rows: pa.Table, turn: np.ndarray, threshold: float, stops: list[int
     })
 
 
+def _met(reps: DataFrame, dims: int, n: int, threshold: float, block_rows: int) -> DataFrame:
+    """Counts of links and spanning edges among the ``n`` distinct vectors of one length."""
+    turn, squares = axes(reps, dims)
+    stops = looks(squares, threshold)
+    blocks = max(1, -(-n // block_rows))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    rows = reps.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("node", "copies", "v", low.alias("i"), high.alias("j"), (F.col("own") != low).cast("int").alias("side"), (low != high).alias("cross"))
+    return durable(rows.groupBy("i", "j").applyInArrow(lambda t: _compare(t, turn, threshold, stops), "node long, add long, low long"))
+
+
 def near_components(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, zero, hold null or non-finite components, or are of another length than
-    most, link with nothing. Equal vectors link (their cosine is 1), so repeated rows link. A row with
-    a null id links with nothing. An empty table gives an empty result; other columns are ignored.
+    Vectors that are null, zero or hold null or non-finite components link with nothing; the others
+    link with those of their own length, each length with its own axes and blocks. Equal vectors link
+    (their cosine is 1), so repeated rows link. A row with a null id links with nothing. An empty
+    table gives an empty result; other columns are ignored.
     """
     every = slim(vectors, vec_id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>"))
     fine = durable(usable(every.where("vec_id is not null")))
     reps = durable(fine.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    n = reps.count()
-    if n:
-        dims = reps.select(F.size("v")).first()[0]
-        turn, squares = axes(reps, dims)
-        stops = looks(squares, threshold)
-        blocks = max(1, -(-n // block_rows))
-        own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-        rows = reps.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        rows = rows.select("node", "copies", "v", low.alias("i"), high.alias("j"), (F.col("own") != low).cast("int").alias("side"), (low != high).alias("cross"))
-        met = durable(rows.groupBy("i", "j").applyInArrow(lambda t: _compare(t, turn, threshold, stops), "node long, add long, low long"))
+    lengths = reps.groupBy(F.size("v").alias("dims")).count().orderBy("dims").collect()
+    met = [_met(reps.where(F.size("v") == r["dims"]), r["dims"], r["count"], threshold, block_rows) for r in lengths if r["count"] > 1]
+    if met:
+        met = reduce(DataFrame.union, met)
         links = met.where("add is not null").groupBy("node").agg(F.sum("add").alias("links"))
         found = components(met.where("low is not null").select(F.col("node").alias("u"), F.col("low").alias("v")))
     else:
-        links = reps.select("node", F.col("copies").alias("links"))
-        found = reps.select("node", F.col("node").alias("component"))
+        links = reps.where("false").select("node", F.col("copies").alias("links"))
+        found = reps.where("false").select("node", F.col("node").alias("component"))
     named = reps.join(links, "node", "left").join(found, "node", "left").select(
         F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )
