@@ -12,8 +12,9 @@ from tidewatt.plans.sizing import attach, broadcast_if_small, fits_broadcast, me
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
-# Rows per spectrum segment; longer series average the spectra of their segments.
+# Rows of a series, and frequencies, of one partial sum of its spectrum; results do not depend on them.
 SEGMENT_ROWS = 65_536
+BAND_BINS = 1 << 20
 
 
 def centred_mean(parts: Chunked, value: str, period: int) -> tuple[DataFrame, Column]:
@@ -159,12 +160,29 @@ def seasonal_amplitude_of(df: DataFrame, spec: SeriesSpec, wanted: DataFrame, ro
     return phases.groupBy(*keys, "period").agg((F.max("_m") - F.min("_m")).alias("seasonal_amplitude"))
 
 
+def partial_sums(y: np.ndarray, start: int, n: int, first: int, last: int) -> np.ndarray:
+    """Sums of y[j] exp(-2 pi i k (start + j) / n) for k from ``first`` to ``last - 1``, as one chirp convolution.
+
+    Phases are taken from whole numbers modulo their period, so they stay exact for long series.
+    """
+    j, m = np.arange(len(y)), np.arange(last - first)
+
+    def turn(steps: np.ndarray, period: int) -> np.ndarray:
+        return np.exp(2j * np.pi * (steps % period) / period)
+
+    size = 1 << (len(j) + len(m) - 1).bit_length()
+    left, right = np.zeros(size, complex), np.zeros(size, complex)
+    left[: len(j)] = y * turn(-first * j, n) * turn(-j * j, 2 * n)
+    right[: len(m)] = turn(m * m, 2 * n)
+    right[size - len(j) + 1 :] = turn(j[:0:-1] ** 2, 2 * n)
+    return np.fft.ifft(np.fft.fft(left) * np.fft.fft(right))[: len(m)] * turn(-m * m, 2 * n) * turn(-(first + m) * start, n)
+
+
 def spectrum(df: DataFrame, spec: SeriesSpec, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None) -> DataFrame:
-    """Power of the linearly detrended series per frequency.
+    """Power of the linearly detrended series per frequency: the full periodogram, whatever its length.
 
-    A series that fits one segment gets its full periodogram. A longer one is cut into
-    segments of equal length whose periodograms are averaged; a last, shorter segment is
-    padded with zeros. Each segment is transformed in its own task.
+    Tasks sum the cosine and sine products of ``segment_rows`` rows with a band of frequencies; Spark
+    adds these partial sums per frequency.
     """
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
@@ -179,22 +197,26 @@ def spectrum(df: DataFrame, spec: SeriesSpec, segment_rows: int = SEGMENT_ROWS,
         *keys, "idx", "n_obs", (F.col("value") - F.col("_k") * F.col("idx") - F.col("_b")).alias("y")
     )
     flat = flat.withColumn("_segment", F.floor(F.col("idx") / segment_rows))
+    band_bins = BAND_BINS
+    bands = F.sequence(F.lit(0).cast("bigint"), F.floor((F.floor(F.col("n_obs") / 2) - 1) / band_bins))
+    flat = flat.withColumn("_band", F.explode(bands))
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        n = int(min(pdf["n_obs"].iloc[0], segment_rows))
-        power = np.abs(np.fft.rfft(pdf["y"].to_numpy(), n=n)) ** 2
-        bins = np.arange(1, len(power))
-        out = pd.DataFrame({"bin": bins, "power": power[1:]})
+        n, band = int(pdf["n_obs"].iloc[0]), int(pdf["_band"].iloc[0])
+        first, last = 1 + band * band_bins, min((band + 1) * band_bins, n // 2) + 1
+        sums = partial_sums(pdf["y"].to_numpy(), int(pdf["idx"].iloc[0]), n, first, last)
+        out = pd.DataFrame({"bin": np.arange(first, last), "_cos": sums.real, "_sin": sums.imag})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         out["steps"] = n
         return out
 
     kinds = dict(flat.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin bigint", "power double", "steps bigint"])
-    pieces = flat.groupBy(*keys, "_segment").applyInPandas(transform, schema)
-    return pieces.groupBy(*keys, "bin", "steps").agg(F.avg("power").alias("power"))
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin bigint", "_cos double", "_sin double", "steps bigint"])
+    pieces = flat.groupBy(*keys, "_segment", "_band").applyInPandas(transform, schema)
+    power = F.pow(F.sum("_cos"), 2) + F.pow(F.sum("_sin"), 2)
+    return pieces.groupBy(*keys, "bin", "steps").agg(power.alias("power"))
 
 
 def dominant_periods(
