@@ -301,6 +301,28 @@ def test_schedule_stays_within_a_block():
         assert not any(left.values())
 
 
+def test_schedule_keeps_to_the_weights():
+    for trial in range(80):
+        rnd = random.Random(trial)
+        blocks = {i: rnd.randint(1, 900) for i in range(rnd.randint(2, 12))}
+        weights = {i: rnd.choice([1, 1e-5, 0.01, 5, rnd.random() * 10 + 1e-3]) for i in blocks}
+        left, shares, count, t = dict(blocks), {}, {}, 0
+        for names, w, start, done, quota in pfair_mix.periods(blocks, weights, rnd.choice([1, 16, 64])):
+            if start == 0:
+                shares, count, t = {s: weights[s] / sum(weights[n] for n in names) for s in names}, dict.fromkeys(names, 0), 0
+                assert set(names) == {s for s, n in left.items() if n}
+            whole = {s: int(x) for s, x in zip(names, w)}
+            slots = pfair_mix.template({s: int(q) for s, q in zip(names, quota)}, whole, start, {s: int(d) for s, d in zip(names, done)})
+            order = sorted((at, s) for s, some in slots.items() for at in some)
+            assert [at for at, _ in order] == list(range(len(order)))
+            for _, s in order:
+                count[s] += 1
+                left[s] -= 1
+                t += 1
+                assert all(abs(count[n] - shares[n] * t) < 1 + 1e-6 for n in names)
+        assert not any(left.values())
+
+
 def test_mix_places_every_row(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "case when id < 700 then 'hot' when id = 1999 then null else concat('s', id % 9) end as source")
     weights = spark.createDataFrame([("hot", 3.0), (None, 2.0)], "source string, weight double")
