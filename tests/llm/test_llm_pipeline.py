@@ -16,7 +16,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
