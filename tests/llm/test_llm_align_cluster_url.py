@@ -128,9 +128,9 @@ def test_common_pairs_are_bounded():
 @given(st.lists(st.tuples(st.lists(st.integers(0, 5), min_size=1, max_size=6), st.lists(st.integers(0, 5), min_size=1, max_size=6)), max_size=8), st.sampled_from([1, 7, 1000]))
 def test_links_in_blocks(groups, at_once):
     a, b = (np.array([i for g in groups for i in g[side]], np.int64) for side in (0, 1))
-    cuts_a, cuts_b = ([0, *np.cumsum([len(g[side]) for g in groups]).tolist()] for side in (0, 1))
+    sizes_a, sizes_b = (np.array([len(g[side]) for g in groups], np.int64) for side in (0, 1))
     want = Counter((x << 32) | y for g in groups for x, y in itertools.product(*g))
-    got = list(token_align.links(a, b, cuts_a, cuts_b, at_once))
+    got = list(token_align.links(a, b, sizes_a, sizes_b, at_once))
     pairs = [int(p) for block, _ in got for p in block]
     assert len(pairs) == len(set(pairs)) and dict(zip(pairs, (int(n) for _, times in got for n in times))) == want
 
@@ -142,6 +142,15 @@ def test_long_texts_in_parts(monkeypatch):
     assert PAIR.encode_a([text, "", "short"]) == [tokens.encode(t, add_special_tokens=False).ids for t in (text, "", "short")]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.characters(max_codepoint=0x180), st.sampled_from(" \n\t\u00a0\u3000.,'sStTdD12½é▁")), min_size=1, max_size=40))
+def test_ranks_give_the_tokenizers_ids(text):
+    assert PAIR.quick
+    whole = Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
+    assert PAIR.encode_a([text])[0] == whole.encode(text, add_special_tokens=False).ids
+
+
 # -- op12
 
 

@@ -27,14 +27,22 @@ AT_ONCE, LINKS = 400_000, 1 << 20
 COMMON_PAIRS = 400_000
 #: Between two ASCII letters with one space before the second the byte-level tokenizer always cuts.
 _CUT = re.compile("[A-Za-z](?= [A-Za-z])")
+#: Texts with other characters than these, or with longer words or gaps, take A's own way: for them the split may differ.
+_OTHER, _GAP, LONGEST_WORD = re.compile("[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\u017f]"), re.compile(r"\s{500}"), 500
+#: Fixed value: A's split of a text into words, as public byte-level tokenizers have it.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class TokenizerPair:
-    """A: byte-level BPE of space and text. B: pieces of the text, to which B itself adds the space."""
+    """A: byte-level BPE of space and text. B: pieces of the text, to which B itself adds the space.
+
+    A's ids are found from its vocabulary as ranks, which is faster, if that gives A's ids on a sample.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -52,11 +60,19 @@ class TokenizerPair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.decimal = [str(i) for i in range(max(size, len(pieces)))]
+        plain = {t: i for i, t in enumerate(self.bytes_a) if t and i not in self.a.get_added_tokens_decoder()}
+        self.ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
+        probe = "".join(c for c in map(chr, range(32, 384)) if not _OTHER.match(c)) + " it's They'll  x'd 12 3½ <<>> a\tb\n\n c <|endoftext|> ñandú ÀÉ straße "
+        self.quick = self.ranks.encode_ordinary(probe) == self.a.encode(probe, add_special_tokens=False).ids
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts; long ones are handed over in parts that end where the tokenizer cuts anyway."""
         parts, owner = [], []
+        ids: list[list[int]] = [[] for _ in texts]
         for i, text in enumerate(texts):
+            if self.quick and not _OTHER.search(text) and not _GAP.search(text) and max(map(len, text.split()), default=0) <= LONGEST_WORD:
+                ids[i] = self.ranks.encode_ordinary(text)
+                continue
             at = 0
             while len(text) - at > AT_ONCE:
                 cut = _CUT.search(text, at + AT_ONCE)
@@ -67,7 +83,6 @@ class TokenizerPair:
                 at = cut.end()
             parts.append(text[at:] if at else text)
             owner.append(i)
-        ids: list[list[int]] = [[] for _ in texts]
         for i, e in zip(owner, self.a.encode_batch_fast(parts, add_special_tokens=False)):
             ids[i] = ids[i] + e.ids if ids[i] else e.ids
         return ids
@@ -88,7 +103,7 @@ def shared_ends(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[list[int]
 
 def shown(a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int], decimal: list[str]) -> str:
     """The groups as text: ids of A, a bar, ids of B; groups parted by semicolons."""
-    names_a, names_b = [decimal[i] for i in a], [decimal[i] for i in b]
+    names_a, names_b = [*map(decimal.__getitem__, a)], [*map(decimal.__getitem__, b)]
     return ";".join([
         f"{names_a[i]}|{names_b[k]}" if j - i == 1 == m - k else f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}"
         for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
@@ -101,13 +116,12 @@ def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key >> 32, key & 0xFFFFFFFF, times
 
 
-def links(a: np.ndarray, b: np.ndarray, cuts_a: list[int], cuts_b: list[int], at_once: int = LINKS):
+def links(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, at_once: int = LINKS):
     """Linked pairs (id of A << 32 | id of B, ascending) and how many links each has, in blocks.
 
     A pair stands in one block. A block is cut between ids of A and is expanded from about ``at_once`` links
     (or from those of one id of A, at most the tokens of B times its different ids).
     """
-    sizes_a, sizes_b = np.diff(cuts_a), np.diff(cuts_b)
     groups = np.arange(len(sizes_a))
     of_a, of_b = np.repeat(groups, sizes_a), np.repeat(groups, sizes_b)
     times_a, times_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
@@ -182,11 +196,13 @@ def _aligned(pair: TokenizerPair, texts: list[str | None], number: int):
         blocks = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         stats, told = (0, 0, 0, 0), ""
         if text and pair.covers(" " + text, ids_a[i], ids_b[i]):
-            a, b = np.array(ids_a.pop(i), np.int64), np.array(ids_b.pop(i), np.int64)
+            list_a, list_b = ids_a.pop(i), ids_b.pop(i)
+            a, b = np.array(list_a, np.int64), np.array(list_b, np.int64)
             cuts_a, cuts_b = shared_ends(pair.length_a[a], pair.length_b[b])
-            stats = (len(a), len(b), len(cuts_a) - 1, int(np.diff(cuts_a) @ np.diff(cuts_b)))
-            told = shown(a.tolist(), b.tolist(), cuts_a, cuts_b, pair.decimal)
-            blocks = links(a, b, cuts_a, cuts_b)
+            told = shown(list_a, list_b, cuts_a, cuts_b, pair.decimal)
+            sizes_a, sizes_b = np.diff(np.array(cuts_a)), np.diff(np.array(cuts_b))
+            stats = (len(a), len(b), len(sizes_a), int(sizes_a @ sizes_b))
+            blocks = links(a, b, sizes_a, sizes_b)
         for p, n in blocks:
             owner.append(i)
             rows.append(number)
