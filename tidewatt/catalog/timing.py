@@ -202,6 +202,33 @@ def _(spark, sf):
     return ordered.rolling_corr(hourly(spark, sf), HOURLY.with_signals("load_kw", "solar_kw"), 48)
 
 
+ROLLED = " ".join(f"valueroll_{s}{w}" for s in ("mean", "std") for w in (4, 8, 96))
+
+
+@query(
+    "rolling_full_faulty",
+    "SELECT event_id, ts, event_type, value, " + ", ".join(f"{full('avg', w)} AS valueroll_mean{w}, {full('stddev_samp', w)} AS valueroll_std{w}" for w in (4, 8, 96)) + f" FROM ({FAULTY_SQL})",
+    ROLLED, 3,
+)
+def _(spark, sf):
+    return ordered.rolling_full(faulty(spark, sf), EVENTS)
+
+
+SENTINEL_HOURS = "CASE WHEN hour(ts) = 13 AND day(ts) % 5 = 0 THEN -999999.0 ELSE load_kw END"
+
+
+@query(
+    "rolling_corr_faulty",
+    f"WITH h AS (SELECT ts, CAST({SENTINEL_HOURS} AS DOUBLE) AS load_kw, solar_kw FROM ({HOURLY_SQL})) "
+    "SELECT ts, CASE WHEN regr_count(solar_kw, load_kw) OVER w >= 24 THEN corr(load_kw, solar_kw) OVER w END AS rolling_corr FROM h "
+    "WINDOW w AS (ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)",
+    "rolling_corr",
+)
+def _(spark, sf):
+    rows = hourly(spark, sf).withColumn("load_kw", F.expr(SENTINEL_HOURS).cast("double"))
+    return ordered.rolling_corr(rows, HOURLY.with_signals("load_kw", "solar_kw"), 48)
+
+
 def interpolation_sql(rows: str, value: str, x: str, over: str) -> str:
     """SQL for linear interpolation of one column along x inside an ordered partition."""
     back = f"{over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatt.functions.calendar import cycle, is_weekend, iso_weekday
 from tidewatt.functions.values import clip_negative, quoted
 from tidewatt.operators.buckets import bucket_mean
-from tidewatt.operators.ordered import _helpers, add_rolling_full, add_rolling_partial, lag_columns
+from tidewatt.operators.ordered import add_rolling_full, add_rolling_partial, lag_columns
+from tidewatt.operators.rolling import drop_moments
 from tidewatt.plans.order import chunked
 from tidewatt.spec import SeriesSpec
 
@@ -58,7 +59,7 @@ def forecast_feature_table(
     parts = chunked(rows, spec, before=max(*lags, *windows), rows_per_chunk=rows_per_chunk)
     frame, rolling = add_rolling_full(parts, spec.signals, windows)
     table = parts.trim(frame.select("*", *lag_columns(parts, spec.signals, lags), *rolling))
-    return clip_negative(table.drop(*_helpers(spec.signals)), spec.signals)
+    return clip_negative(drop_moments(table), spec.signals)
 
 
 # Columns of the state-of-charge feature table.
@@ -80,5 +81,5 @@ def soc_feature_table(
     parts = chunked(df, spec, before=max(*lags, *windows), rows_per_chunk=rows_per_chunk)
     frame, rolling = add_rolling_partial(parts, rolled, windows)
     lag_cols = lag_columns(parts, lagged, lags, lambda s, k: f"{s}_lag{k}")
-    table = parts.trim(frame.select("*", *lag_cols, *rolling)).drop(*_helpers(rolled))
+    table = drop_moments(parts.trim(frame.select("*", *lag_cols, *rolling)))
     return table.select("*", F.hour(spec.ts).alias("hour"), F.weekday(spec.ts).alias("dayofweek"))

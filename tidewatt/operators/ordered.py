@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.functions.timestamps import micros
 from tidewatt.functions.values import quoted, replace_columns
-from tidewatt.plans.order import BASE, SPLIT, Chunked, chunked, known_neighbours, running_total, with_position
+from tidewatt.operators.rolling import drop_moments, merge_pair, moments, pair, single, with_moments
+from tidewatt.plans.order import BASE, Chunked, chunked, known_neighbours, with_position
 from tidewatt.plans.quantiles import known, quantile_wide
-from tidewatt.plans.sizing import attach, measured, same_keys
+from tidewatt.plans.sizing import attach, measured
 from tidewatt.spec import SeriesSpec
 
-# Longer frames use differences of running sums instead of re-adding the frame per row.
-DIRECT_FRAME = 16
-
-
 def long_form(df: DataFrame, spec: SeriesSpec, extra=()) -> tuple[DataFrame, SeriesSpec]:
     """One row per reading: the signal name becomes a key, the reading ``value``."""
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), known(quoted(s)).alias("value")) for s in spec.signals]))
@@ -40,48 +37,14 @@ def find_gaps(df: DataFrame, spec: SeriesSpec, over_minutes: float = 15.0, rows_
     return gap_minutes(df.select(*spec.keys, *spec.order), spec, rows_per_chunk).filter(F.col("gap_minutes") > over_minutes)
 
 
-def running_frame(parts: Chunked):
-    return parts.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def whole_frame(parts: Chunked):
-    return parts.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def rolling_columns(parts: Chunked, signal: str, windows, std: bool = True) -> tuple[DataFrame, dict[int, tuple[Column, Column, Column]]]:
-    """Count, mean and sample variance of the last ``w`` rows for each window length.
-
-    Short frames are aggregated directly. Long ones subtract running sums, taken from the
-    chunk's first known value so that large offsets do not cost precision.
-    """
-    frame, w, out = parts.frame, parts.window, {}
-    v = known(quoted(signal))
-    long = [n for n in windows if n > DIRECT_FRAME]
-    if long:
-        origin, c = f"_o_{signal}", f"_c_{signal}"
-        frame = frame.withColumn(origin, F.first(v, True).over(whole_frame(parts)))
-        frame = frame.withColumn(c, v - quoted(origin))
-        run = running_frame(parts)
-        sums = {
-            f"_n_{signal}": F.count(quoted(c)).over(run),
-            f"_s_{signal}": F.coalesce(F.sum(quoted(c)).over(run), F.lit(0.0)),
-            f"_q_{signal}": F.coalesce(F.sum(quoted(c) * quoted(c)).over(run), F.lit(0.0)),
-        }
-        frame = frame.select("*", *[e.alias(k) for k, e in sums.items()])
-    for n in windows:
-        if n <= DIRECT_FRAME:
-            rows = w.rowsBetween(-(n - 1), 0)
-            out[n] = (F.count(v).over(rows), F.avg(v).over(rows), F.var_samp(v).over(rows))
-            continue
-
-        def last(name):
-            return quoted(name) - F.coalesce(F.lag(quoted(name), n).over(w), F.lit(0))
-
-        count, total, square = last(f"_n_{signal}"), last(f"_s_{signal}"), last(f"_q_{signal}")
-        mean = quoted(f"_o_{signal}") + total / F.when(count > 0, count)
-        spread = square - total * total / F.when(count > 0, count)
-        var = F.greatest(F.lit(0.0), spread) / F.when(count > 1, count - 1)
-        out[n] = (count, mean, var)
+def rolling_columns(parts: Chunked, signals, windows) -> tuple[DataFrame, dict[tuple[str, int], tuple[Column, Column, Column]]]:
+    """Count, mean and sample variance of the last ``w`` rows for each signal and window length."""
+    frame = with_moments(parts, {s: single(known(quoted(s))) for s in signals}, {str(n): n for n in windows}, max(windows))
+    out = {}
+    for s in signals:
+        for n in windows:
+            m = moments(str(n), s)
+            out[s, n] = (F.coalesce(m["n"], F.lit(0.0)), m["m"], m["q"] / F.when(m["n"] > 1, m["n"] - 1))
     return frame, out
 
 
@@ -105,46 +68,36 @@ def rolling_full(df: DataFrame, spec: SeriesSpec, windows=(4, 8, 96), rows_per_c
     """Trailing mean and sample deviation, null until the window is full of known values."""
     parts = chunked(df, spec, before=max(windows), rows_per_chunk=rows_per_chunk)
     frame, columns = add_rolling_full(parts, spec.signals, windows)
-    return parts.trim(frame.select("*", *columns)).drop(*_helpers(spec.signals))
+    return drop_moments(parts.trim(frame.select("*", *columns)))
 
 
 def add_rolling_full(parts: Chunked, signals, windows) -> tuple[DataFrame, list[Column]]:
     columns = []
-    for s in signals:
-        frame, stats = rolling_columns(parts, s, windows)
-        parts = parts.having(frame)
-        for n, (count, mean, var) in stats.items():
-            columns.append(F.when(count == n, mean).alias(f"{s}roll_mean{n}"))
-            columns.append(F.when(count == n, F.sqrt(var)).alias(f"{s}roll_std{n}"))
-    return parts.frame, columns
-
-
-def _helpers(signals) -> list[str]:
-    return [f"_{tag}_{s}" for s in signals for tag in "ocnsq"]
+    frame, stats = rolling_columns(parts, signals, windows)
+    for (s, n), (count, mean, var) in stats.items():
+        columns.append(F.when(count == n, mean).alias(f"{s}roll_mean{n}"))
+        columns.append(F.when(count == n, F.sqrt(var)).alias(f"{s}roll_std{n}"))
+    return frame, columns
 
 
 def rolling_partial_mean(df: DataFrame, spec: SeriesSpec, windows=(3, 6, 24), rows_per_chunk: int | None = None) -> DataFrame:
     """Trailing mean of the known values in the window, from the first row on."""
     parts = chunked(df, spec, before=max(windows), rows_per_chunk=rows_per_chunk)
     frame, columns = add_rolling_partial(parts, spec.signals, windows)
-    return parts.trim(frame.select("*", *columns)).drop(*_helpers(spec.signals))
+    return drop_moments(parts.trim(frame.select("*", *columns)))
 
 
 def add_rolling_partial(parts: Chunked, signals, windows) -> tuple[DataFrame, list[Column]]:
-    columns = []
-    for s in signals:
-        frame, stats = rolling_columns(parts, s, windows)
-        parts = parts.having(frame)
-        columns += [mean.alias(f"{s}_roll_{n}") for n, (_, mean, _) in stats.items()]
-    return parts.frame, columns
+    frame, stats = rolling_columns(parts, signals, windows)
+    return frame, [mean.alias(f"{s}_roll_{n}") for (s, n), (_, mean, _) in stats.items()]
 
 
 def rolling_variance_stability(df: DataFrame, spec: SeriesSpec, window: int = 24, rows_per_chunk: int | None = None) -> DataFrame:
     """Median of the rolling variance and the ratio of its quartiles, per key and signal."""
     rows, long = long_form(df, spec)
     parts = chunked(rows.filter("value IS NOT NULL"), long, before=window, rows_per_chunk=rows_per_chunk)
-    frame, stats = rolling_columns(parts, "value", [window])
-    rolled = parts.trim(frame.withColumn("_var", stats[window][2]))
+    frame, stats = rolling_columns(parts, ["value"], [window])
+    rolled = drop_moments(parts.trim(frame.withColumn("_var", stats["value", window][2])))
     q = quantile_wide(rolled, long.keys, ["_var"], [0.25, 0.5, 0.75])
     low, high = F.col("_var")[0], F.col("_var")[2]
     return q.select(
@@ -152,68 +105,31 @@ def rolling_variance_stability(df: DataFrame, spec: SeriesSpec, window: int = 24
     )
 
 
-CORR_TERMS = ("n", "sx", "sy", "xx", "yy", "xy")
-
-
-def _corr(rows: DataFrame, least: Column) -> Column:
-    """Correlation from the window sums ``_w<term>``; ``_xx_`` and ``_yy_`` are the running sums."""
-    n, sx, sy, xx, yy, xy = (F.col(f"_w{t}") for t in CORR_TERMS)
-    count = F.when(n > 0, n)
-    cov, vx, vy = xy - sx * sy / count, xx - sx * sx / count, yy - sy * sy / count
-    # Differences of running sums carry an error of about 1e-16 of the sums themselves.
-    clear = (vx > F.col("_xx_") * 1e-13) & (vy > F.col("_yy_") * 1e-13)
-    return F.when((n >= least) & clear, cov / F.sqrt(F.when(clear, vx * vy)))
-
-
 def rolling_corr(
     df: DataFrame, spec: SeriesSpec, window: int = 4320, min_pairs: int | None = None, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Pearson correlation of two signals over the last ``window`` rows (complete pairs).
 
     A series shorter than two windows uses a quarter of its own rows, whatever other series the
-    table holds. Running sums make the cost per row independent of the window length.
+    table holds. Null with too few pairs or where a signal does not vary inside the window.
     """
     a, b = spec.signals
     keys = list(spec.keys)
     both = known(quoted(a)).isNotNull() & known(quoted(b)).isNotNull()
     x, y = F.when(both, known(quoted(a))), F.when(both, known(quoted(b)))
     df = df.filter(F.col(spec.ts).isNotNull()).select(*keys, *spec.order, x.alias("_x"), y.alias("_y"))
-    sizes, profile = measured(df, keys, _mx=F.avg("_x"), _my=F.avg("_y"))
-    least, most = sizes.agg(F.min("n_obs"), F.max("n_obs")).first()
-    rows = attach(df, sizes.withColumnRenamed("n_obs", "_rows"), keys, profile)
-    centred = rows.select(*keys, *spec.order, "_rows", (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
-    out = []
-    if most is not None and most >= 2 * window:
-        long = centred.filter(F.col("_rows") >= 2 * window)
-        parts = _corr_sums(chunked(long, spec, before=window, rows_per_chunk=rows_per_chunk, profile=profile), running=True)
-        sums = [(F.col(f"_{t}_") - F.coalesce(F.lag(f"_{t}_", window).over(parts.window), F.lit(0.0))).alias(f"_w{t}") for t in CORR_TERMS]
-        frame = parts.frame.select("*", *sums)
-        out.append(parts.trim(frame.withColumn("rolling_corr", _corr(frame, F.lit(window // 2 if min_pairs is None else min_pairs)))))
-    if not out or least < 2 * window:
-        short = centred.filter(F.col("_rows") < 2 * window)
-        own = F.greatest(F.lit(2).cast("bigint"), F.floor(F.col("_rows") / 4))
-        parts = chunked(short.withColumn("_window", own), spec, rows_per_chunk=rows_per_chunk, profile=profile)
-        parts = _corr_sums(parts.having(parts.frame.withColumn("_i", parts.position)), running=False)
-        frame = parts.trim(parts.frame)
-        back = frame.select(*keys, (F.col("_i") + F.col("_window")).alias("_i"), *[F.col(f"_{t}_").alias(f"_b{t}") for t in CORR_TERMS])
-        frame = same_keys(frame, back, [*keys, "_i"])
-        frame = frame.select("*", *[(F.col(f"_{t}_") - F.coalesce(f"_b{t}", F.lit(0.0))).alias(f"_w{t}") for t in CORR_TERMS])
-        out.append(frame.withColumn("rolling_corr", _corr(frame, F.floor(F.col("_window") / 2) if min_pairs is None else F.lit(min_pairs))))
-    columns = [*keys, *spec.order, "rolling_corr"]
-    return out[0].select(*columns) if len(out) == 1 else out[0].select(*columns).unionByName(out[1].select(*columns))
-
-
-def _corr_sums(parts: Chunked, running: bool) -> Chunked:
-    """Add the sums ``_<term>_`` up to each row: of its chunk (``running``) or of the whole series."""
-    x, y = F.col("_x"), F.col("_y")
-    terms = dict(zip(CORR_TERMS, (F.when(x.isNotNull(), F.lit(1.0)), x, y, x * x, y * y, x * y)))
-    for name, value in terms.items():
-        if running:
-            total = F.coalesce(F.sum(value).over(running_frame(parts)), F.lit(0.0))
-            parts = parts.having(parts.frame.withColumn(f"_{name}_", total))
-        else:
-            parts = running_total(parts, value, f"_{name}_")
-    return parts
+    sizes, profile = measured(df, keys)
+    quarter = F.greatest(F.lit(2).cast("bigint"), F.floor(F.col("n_obs") / 4))
+    own = F.when(F.col("n_obs") >= 2 * window, F.lit(window).cast("bigint")).otherwise(quarter)
+    longest = sizes.agg(F.max(own)).first()[0] or 1
+    rows = attach(df, sizes.select(*keys, own.alias("_window")), keys, profile)
+    parts = chunked(rows, spec, before=longest, rows_per_chunk=rows_per_chunk, profile=profile)
+    frame = with_moments(parts, {"xy": pair(F.col("_x"), F.col("_y"))}, {"own": F.col("_window")}, longest, merge_pair)
+    m = moments("own", "xy")
+    least = F.floor(F.col("_window") / 2) if min_pairs is None else F.lit(min_pairs)
+    varies = (m["n"] >= least) & (m["xx"] > 0) & (m["yy"] > 0)
+    corr = F.when(varies, m["xy"] / (F.sqrt(F.when(varies, m["xx"])) * F.sqrt(F.when(varies, m["yy"]))))
+    return parts.trim(frame.withColumn("rolling_corr", corr)).select(*keys, *spec.order, "rolling_corr")
 
 
 def interpolated(signal: str, x: str) -> Column:

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatt.operators.ordered import DIRECT_FRAME, long_form, running_frame, whole_frame
+from tidewatt.operators.ordered import long_form
+from tidewatt.operators.rolling import drop_moments, moments, single, with_moments
 from tidewatt.plans.order import Chunked, chunked, running_total
 from tidewatt.plans.sizing import attach, broadcast_if_small, fits_broadcast, measured, same_keys
 from tidewatt.session import freeze
@@ -20,20 +21,13 @@ BAND_BINS = 1 << 20
 def centred_mean(parts: Chunked, value: str, period: int) -> tuple[DataFrame, Column]:
     """Centred moving average over one period, ends weighted half when the period is even."""
     w, v, half = parts.window, F.col(value), period // 2
-    span = 2 * half + 1
-    if span <= DIRECT_FRAME:
-        rows = w.rowsBetween(-half, half)
-        frame, total, count = parts.frame, F.sum(v).over(rows), F.count(v).over(rows)
-    else:
-        origin = F.first(v, True).over(whole_frame(parts))
-        frame = parts.frame.withColumn("_o", origin).withColumn("_r", F.sum(v - F.col("_o")).over(running_frame(parts)))
-        frame = frame.withColumn("_k", F.count(v).over(running_frame(parts)))
-        ahead, back = F.lead("_r", half).over(w), F.coalesce(F.lag("_r", half + 1).over(w), F.lit(0.0))
-        count = F.lead("_k", half).over(w) - F.coalesce(F.lag("_k", half + 1).over(w), F.lit(0))
-        total = ahead - back + span * F.col("_o")
+    inner = period - 1 + period % 2
+    frame = with_moments(parts, {value: single(v)}, {"inner": inner}, inner)
+    m = F.lead(moments("inner", value), inner // 2).over(w)
+    mean = m["m"] * (inner / period)
     if period % 2 == 0:
-        total = total - (F.lag(v, half).over(w) + F.lead(v, half).over(w)) / 2
-    return frame, F.when(count == span, total / period)
+        mean = mean + (F.lag(v, half).over(w) + F.lead(v, half).over(w)) / (2 * period)
+    return frame, F.when(m["n"] == inner, mean)
 
 
 def seasonal_decompose(
@@ -54,7 +48,7 @@ def seasonal_decompose(
     parts = chunked(rows, long, before=half + 1, after=half + 1, rows_per_chunk=rows_per_chunk, profile=profile)
     parts = parts.having(parts.frame.withColumn("idx", parts.position))
     frame, trend = centred_mean(parts, "value", period)
-    base = parts.trim(frame.withColumn("trend", trend)).drop("_o", "_r", "_k")
+    base = drop_moments(parts.trim(frame.withColumn("trend", trend)))
     base = base.withColumn("_phase", F.pmod(F.col("idx"), F.lit(period).cast("bigint")))
     first, last = F.lit(half), F.col("n_obs") - 1 - half
     # Positions are counted from the near end of the series, which keeps the sums small.
@@ -112,7 +106,7 @@ def seasonal_amplitude(df: DataFrame, spec: SeriesSpec, periods, rows_per_chunk:
     parts = parts.having(parts.frame.withColumn("idx", parts.position))
     for p in periods:
         frame, trend = centred_mean(parts, "value", p)
-        parts = parts.having(frame.withColumn(f"_t{p}", trend).drop("_o", "_r", "_k"))
+        parts = parts.having(drop_moments(frame.withColumn(f"_t{p}", trend)))
     cells = F.explode(F.array(*[
         F.struct(
             F.lit(p).cast("bigint").alias("period"),
