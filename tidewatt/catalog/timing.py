@@ -202,16 +202,18 @@ def _(spark, sf):
     return ordered.rolling_corr(hourly(spark, sf), HOURLY.with_signals("load_kw", "solar_kw"), 48)
 
 
-ROLLED = " ".join(f"valueroll_{s}{w}" for s in ("mean", "std") for w in (4, 8, 96))
+STDS = [f"valueroll_std{w}" for w in (4, 8, 96)]
 
 
 @query(
     "rolling_full_faulty",
-    "SELECT event_id, ts, event_type, value, " + ", ".join(f"{full('avg', w)} AS valueroll_mean{w}, {full('stddev_samp', w)} AS valueroll_std{w}" for w in (4, 8, 96)) + f" FROM ({FAULTY_SQL})",
-    ROLLED, 3,
+    "SELECT event_id, ts, event_type, value, " + ", ".join(f"{full('avg', w)} AS valueroll_mean{w}, round({full('stddev_samp', w)}, 3) AS valueroll_std{w}" for w in (4, 8, 96)) + f" FROM ({FAULTY_SQL})",
+    "valueroll_mean4 valueroll_mean8 valueroll_mean96", 7,
 )
 def _(spark, sf):
-    return ordered.rolling_full(faulty(spark, sf), EVENTS)
+    rolled = ordered.rolling_full(faulty(spark, sf), EVENTS)
+    # Deviations of windows with a sentinel are near a million: three digits are what doubles hold safely.
+    return rolled.withColumns({c: F.round(c, 3) for c in STDS})
 
 
 SENTINEL_HOURS = "CASE WHEN hour(ts) = 13 AND day(ts) % 5 = 0 THEN -999999.0 ELSE load_kw END"
