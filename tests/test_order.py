@@ -78,3 +78,48 @@ def test_ranked_quantiles_equal_builtin(skewed, keys):
     assert sort(got) == sort(want)
     ties = df.withColumn("v", F.when(F.col("tie") % 3 > 0, F.lit(1.5)).otherwise(F.col("v")))
     assert sort(ranked_quantiles(ties, keys, "v", probs, None, 60)) == sort(quantile_long(ties, keys, "v", probs))
+
+
+TIES = {
+    "long_text": "concat(repeat('x', 199), char(33 + id % 90), repeat('y', 20), format_string('%05d', id))",
+    "last_byte": "concat(repeat('x', 199), char(33 + id % 90))",
+    "binary": "concat(unhex(repeat('ff', 60)), unhex(lpad(hex(id), 8, '0')))",
+    "decimal": "cast(id as decimal(38,0)) + cast('12345678901234567890123456789012345' as decimal(38,0))",
+    "above_2_53": "id + 1152921504606846976",
+    "negative": "-cast(id as double) / 7",
+    "struct": "named_struct('a', id % 5, 'b', id)",
+    "nulls": "if(id % 3 > 0, id, null)",
+}
+
+
+@pytest.mark.parametrize("kind", TIES)
+def test_any_tie_counts_in_full(spark, kind):
+    n = 90 if kind == "last_byte" else 900
+    df = spark.range(n).select("id", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.expr(TIES[kind]).alias("tie")).repartition(5)
+    spec = SeriesSpec("ts", (), ("id",), ("tie",))
+    size = 20 if kind == "last_byte" else 60
+    whole, cut = (
+        chunked(df, spec, before=2, rows_per_chunk=limit) for limit in (None, size)
+    )
+    assert not whole.split and cut.split
+    got = []
+    for parts in (whole, cut):
+        rows = parts.trim(parts.frame.withColumn("at", parts.position).withColumn("two", F.lag("id", 2).over(parts.window)))
+        got.append({r["id"]: (r["at"], r["two"]) for r in rows.collect()})
+    # Rows without a tie-break come last, in no order of their own.
+    assert len(got[1]) == n and all(got[0][i] == got[1][i] for i in range(n) if kind != "nulls" or i % 3)
+    assert sorted(a for a, _ in got[1].values()) == list(range(n))
+
+
+@pytest.mark.parametrize("fan_out", [2, 5, 1024])
+def test_many_equal_rows_and_small_fan_out(spark, monkeypatch, fan_out):
+    from tidewatt.plans import order
+
+    monkeypatch.setattr(order, "FAN_OUT", fan_out)
+    df = spark.range(1200).select(F.lit("k").alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, least(id, 600) % 40)").alias("ts"))
+    cells = count_cells(df, ["k"], ["ts"], 50)
+    leaves = cells.leaves.collect()
+    assert sum(r["_n"] for r in leaves) == 1200
+    assert all(r["_n"] <= 50 or r["_lo0"] == r["_hi0"] for r in leaves)
+    by = sorted(leaves, key=lambda r: r["_cell"])
+    assert all(a["_hi0"] <= b["_lo0"] for a, b in zip(by, by[1:]))

@@ -159,6 +159,20 @@ def _(spark, sf):
     return ordered.lag_features(gappy(spark, sf), EVENTS, rows_per_chunk=SMALL_CHUNK)
 
 
+LONG_NAME = "concat(repeat('x', 60), lpad(CAST(event_id AS VARCHAR(12)), 12, '0'))"
+
+
+@query(
+    "lag_features_text_tie",
+    'SELECT event_id, ts, event_type, value, lag(value, 1) OVER w AS "value_t-1", lag(value, 96) OVER w AS "value_t-96" '
+    f"FROM (SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS ts, event_type, value, {LONG_NAME} AS name FROM ({GAPPY_SQL})) WINDOW w AS (PARTITION BY event_type ORDER BY ts, name)",
+)
+def _(spark, sf):
+    rows = gappy(spark, sf).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz")).withColumn("name", F.expr(LONG_NAME))
+    spec = SeriesSpec("ts", ("event_type",), ("value",), ("name",))
+    return ordered.lag_features(rows, spec, (1, 96), rows_per_chunk=SMALL_CHUNK).drop("name")
+
+
 def full(fn: str, w: int) -> str:
     frame = FRAME.format(w - 1)
     return f"CASE WHEN count(value) {frame} = {w} THEN {fn}(value) {frame} END"

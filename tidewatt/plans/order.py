@@ -1,7 +1,7 @@
 """Exact time order inside a series without putting the series into one partition.
 
-A series that fits one task is windowed by its key. A larger one is cut into cells by
-time (and, for crowded instants, by the tie-break), the cells are counted, and running
+A series that fits one task is windowed by its key. A larger one is cut into cells between sampled
+rows, compared by the whole order (time, tie-break, row), the cells are counted, and running
 counts over that small table give every cell its position. Consecutive cells form chunks of
 bounded size; cells next to a chunk border are copied into the neighbour when an operator
 looks back or ahead. Rows then need a single shuffle on (series, chunk).
@@ -19,30 +19,32 @@ from tidewatt.plans.sizing import ROWS_PER_CHUNK, KeyProfile, broadcast_if_small
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
-CHUNK, OWN, BASE, END, SPLIT, CELL = "_chunk", "_own", "_base", "_end", "_split", "_cell"
+CHUNK, OWN, BASE, END, SPLIT, CELL, TIE = "_chunk", "_own", "_base", "_end", "_split", "_cell", "_tie"
 CELLS_PER_CHUNK = 16
-MAX_LEVELS = 8
-# Sub-cell of rows whose refined axis is null; they come last.
+# Splitters of one cell at most, and sampled rows per splitter.
+FAN_OUT, OVERSAMPLE = 1024, 8
+# End of the last chunk of a series that is not cut.
 LAST = 2**62
 
 
-# Leading bytes of a text that can tell its cell, and how many of them one exact double holds.
-TEXT_BYTES, BYTES_PER_AXIS = 48, 6
+def order_key(df: DataFrame, order) -> Column:
+    """The row's place in the order as one comparable value: nulls last, ties told apart by a hash of the row.
+
+    Spark compares the fields themselves, so any type that can be sorted counts in full.
+    """
+    kinds = dict(df.dtypes)
+    fields = []
+    for i, name in enumerate(order):
+        fields += [F.col(name).isNull().alias(f"n{i}"), F.col(name).alias(f"c{i}")]
+    rest = [F.col(f"`{c}`") for c in df.columns if not kinds[c].startswith(("map", "variant"))]
+    return F.struct(*fields, F.xxhash64(*rest).alias("hash"))
 
 
-def axis_values(df: DataFrame, name: str) -> list[Column]:
-    """Doubles that never decrease along the column's order, each one where those before are equal."""
-    kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp") or kind == "date":
-        return [F.unix_micros(F.col(name).cast("timestamp")).cast("double")]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return [F.col(name).cast("double")]
-    if kind == "string":
-        digits = F.hex(F.col(name).cast("binary"))
-        wide = 2 * BYTES_PER_AXIS
-        pieces = [F.rpad(F.substring(digits, i * wide + 1, wide), wide, "0") for i in range(TEXT_BYTES // BYTES_PER_AXIS)]
-        return [F.conv(p, 16, 10).cast("double") for p in pieces]
-    return []
+def _place(splits: Column, key: Column) -> Column:
+    """Twice the number of splitters below the key, plus one if the key equals a splitter (binary search)."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(FAN_OUT.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(splits, at + step - 1) < key, at + step).otherwise(at))
+    return F.transform(F.array(below), lambda at: 2 * at + F.coalesce((F.get(splits, at) == key).cast("int"), F.lit(0)))[0].cast("bigint")
 
 
 @dataclass(frozen=True)
@@ -50,92 +52,83 @@ class Cells:
     """Row order of the large groups as counted cells, and how rows find their cell."""
 
     keys: tuple[str, ...]
-    axes: tuple[Column, ...]
+    key: Column
     rules: tuple[DataFrame, ...]
     leaves: DataFrame
     rows_per_chunk: int
 
     def locate(self, df: DataFrame, how: str = "left") -> DataFrame:
-        """Add the cell path (empty for rows of groups that fit one task)."""
-        out = df.withColumn(CELL, F.array().cast("array<bigint>"))
+        """Add the cell path (empty for rows of groups that fit one task) and the hash that tells ties apart."""
+        out = df.select("*", self.key.alias("_key")).withColumn(CELL, F.array().cast("array<bigint>"))
         for level, rule in enumerate(self.rules):
             join_on = list(self.keys) + ([CELL] if level else [])
             rule = rule if level else rule.drop(CELL)
             out = same_keys(out, broadcast_if_small(rule), join_on, how if level == 0 else "left")
-            axis = F.lit(None).cast("double")
-            for i, value in enumerate(self.axes):
-                axis = F.when(F.col("_dim") == i, value).otherwise(axis)
-            sub = F.floor((axis - F.col("_lo")) / F.col("_step")).cast("bigint")
-            sub = F.coalesce(sub, F.lit(LAST))
-            out = out.withColumn(
-                CELL,
-                F.when(F.col("_dim").isNull(), F.col(CELL)).otherwise(F.concat(F.col(CELL), F.array(sub))),
-            ).drop("_dim", "_lo", "_step")
-        return out
+            deeper = F.concat(F.col(CELL), F.array(_place(F.col("_splits"), F.col("_key"))))
+            out = out.withColumn(CELL, F.when(F.col("_splits").isNull(), F.col(CELL)).otherwise(deeper)).drop("_splits")
+        return out.withColumn(TIE, F.col("_key")["hash"]).drop("_key")
 
 
-def _split_rule(sizes: DataFrame, n_axes: int, limit: int, keys) -> DataFrame:
-    """For groups over the limit: the first axis with spread, cut into equal steps."""
-    dim, lo, hi = (F.lit(None).cast(t) for t in ("int", "double", "double"))
-    for i in reversed(range(n_axes)):
-        spread = F.col(f"_hi{i}") > F.col(f"_lo{i}")
-        dim = F.when(spread, F.lit(i)).otherwise(dim)
-        lo = F.when(spread, F.col(f"_lo{i}")).otherwise(lo)
-        hi = F.when(spread, F.col(f"_hi{i}")).otherwise(hi)
-    parts = F.ceil(F.col("_n") * F.lit(CELLS_PER_CHUNK) / F.lit(limit))
-    return (
-        sizes.filter(F.col("_n") > limit)
-        .select(*keys, CELL, dim.alias("_dim"), lo.alias("_lo"), ((hi - lo) / parts).alias("_step"))
-        .filter("_dim IS NOT NULL AND _step > 0")
+def _splitters(rows: DataFrame, over: DataFrame, key: Column, keys, limit: int) -> DataFrame:
+    """For each over-full cell, sampled keys that cut it into cells of about ``limit / CELLS_PER_CHUNK`` rows.
+
+    The sample is random, but the splitters are written once and every choice of them gives the same order.
+    """
+    parts = F.least(F.lit(FAN_OUT).cast("bigint"), F.ceil(F.col("_n") * F.lit(CELLS_PER_CHUNK) / F.lit(limit)))
+    wanted = over.select(*keys, CELL, parts.alias("_parts"), (parts * OVERSAMPLE / F.col("_n")).alias("_chance"))
+    drawn = same_keys(rows.select("*", key.alias("_key")), broadcast_if_small(wanted), [*keys, CELL], "inner").withColumn("_u", F.rand(17))
+    some = drawn.groupBy(*keys, CELL).agg(
+        F.first("_parts").alias("_parts"), F.collect_list(F.when(F.col("_u") < F.col("_chance"), F.col("_key"))).alias("_some"), F.min_by("_key", "_u").alias("_one")
     )
+    some = some.withColumn("_some", F.array_sort(F.array_distinct(F.concat("_some", F.array("_one")))))
+    size = F.size("_some").cast("bigint")
+    count = F.least("_parts", size)
+    picks = F.transform(F.sequence(F.lit(1).cast("bigint"), count), lambda i: F.get("_some", F.floor(i * size / (count + 1)).cast("int")))
+    return freeze(some.select(*keys, CELL, F.array_distinct(picks).alias("_splits")))
 
 
 def count_cells(df: DataFrame, keys, order, rows_per_chunk: int | None = None) -> Cells | None:
     """Cut groups larger than a chunk into counted cells; None when every group fits.
 
-    The loop refines only cells that are still too large, so there are about
-    ``CELLS_PER_CHUNK * rows / rows_per_chunk`` cells. Rows equal in the whole order have no
-    order among themselves, so they are told apart by a hash of the row. A group of equal
-    rows cannot be cut and stays whole.
+    An over-full cell is cut by splitters sampled from its rows; rows equal to a splitter form a cell of their own,
+    so every cut makes progress, and the loop refines only cells that are still too large. There are about ``CELLS_PER_CHUNK * rows /
+    rows_per_chunk`` cells. Rows equal in the whole order have no order among themselves, so they are told apart by a
+    hash of the row. A group of equal rows cannot be cut and stays whole. The lowest and highest value of the first
+    order column of each cell are kept as ``_lo0`` and ``_hi0``.
     """
     keys = tuple(keys)
-    axes = tuple(a for name in order for a in axis_values(df, name))
-    axes = (*axes, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not dict(df.dtypes)[c].startswith("map")]).cast("double"))
-    spans = [f(a).alias(f"_{tag}{i}") for i, a in enumerate(axes) for f, tag in ((F.min, "lo"), (F.max, "hi"))]
+    key = order_key(df, order)
+    limit = rows_per_chunk or ROWS_PER_CHUNK
+    first = F.col(order[0])
 
     def measure(frame):
-        return frame.groupBy(*keys, CELL).agg(F.count("*").alias("_n"), *spans)
+        return frame.groupBy(*keys, CELL).agg(F.count("*").alias("_n"), F.min(first).alias("_lo0"), F.max(first).alias("_hi0"))
 
-    whole = measure(df.withColumn(CELL, F.array().cast("array<bigint>"))).persist()
+    start = df.withColumn(CELL, F.array().cast("array<bigint>"))
+    whole = start.groupBy(*keys, CELL).agg(F.count("*").alias("_n")).persist()
     try:
         largest = whole.agg(F.max("_n")).first()[0] or 0
-        limit = rows_per_chunk or ROWS_PER_CHUNK
         if largest <= limit:
             return None
-        rule = freeze(_split_rule(whole, len(axes), limit, keys))
+        over = freeze(whole.filter(F.col("_n") > limit))
     finally:
         whole.unpersist()
 
-    rules, leaves = [], None
+    rules, leaves, located = [], None, start
     while True:
-        cells = Cells(keys, axes, (*rules, rule), None, limit)
-        on = [*keys, CELL]
-        located = cells.locate(df, "inner").filter(F.size(CELL) == len(rules) + 1)
-        sizes = freeze(measure(located))
-        rules.append(rule)
-        nxt = freeze(_split_rule(sizes, len(axes), limit, keys)) if len(rules) < MAX_LEVELS else None
-        if nxt is None or nxt.isEmpty():
-            leaves = sizes if leaves is None else leaves.unionByName(sizes)
-            break
-        done = same_keys(
-            sizes, broadcast_if_small(nxt.select(*on).withColumn("_hot", F.lit(True))), on
-        ).filter("_hot IS NULL").drop("_hot")
+        rules.append(_splitters(located, over, key, keys, limit))
+        located = Cells(keys, key, tuple(rules), None, limit).locate(df, "inner")
+        sizes = freeze(measure(located.filter(F.size(CELL) == len(rules))))
+        open_ = (F.col("_n") > limit) & (F.element_at(CELL, -1) % 2 == 0)
+        done = sizes.filter(~open_)
         leaves = done if leaves is None else leaves.unionByName(done)
-        rule = nxt
+        over = sizes.filter(open_)
+        if over.isEmpty():
+            break
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     running = by_key.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     leaves = leaves.withColumn("_start", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    return Cells(keys, axes, tuple(rules), freeze(leaves), limit)
+    return Cells(keys, key, tuple(rules), freeze(leaves), limit)
 
 
 @dataclass(frozen=True)
@@ -151,13 +144,18 @@ class Chunked:
         extra = [CHUNK] if self.split else []
         return [*self.spec.keys, *extra] or [F.lit(0)]
 
+    @property
+    def sorting(self) -> list[str]:
+        """Rows equal in the whole order are cut by a hash; chunks must then sort by it as well."""
+        return [*self.spec.order, *([TIE] if self.split else [])]
+
     @property
     def window(self):
-        return Window.partitionBy(*self.groups).orderBy(*[F.col(c).asc_nulls_last() for c in self.spec.order])
+        return Window.partitionBy(*self.groups).orderBy(*[F.col(c).asc_nulls_last() for c in self.sorting])
 
     @property
     def reverse(self):
-        return Window.partitionBy(*self.groups).orderBy(*[F.col(c).desc_nulls_first() for c in self.spec.order])
+        return Window.partitionBy(*self.groups).orderBy(*[F.col(c).desc_nulls_first() for c in self.sorting])
 
     @property
     def position(self) -> Column:
@@ -168,7 +166,7 @@ class Chunked:
     def trim(self, df: DataFrame) -> DataFrame:
         if not self.split:
             return df
-        return df.filter(F.col(OWN)).drop(CHUNK, OWN, BASE, END, SPLIT)
+        return df.filter(F.col(OWN)).drop(CHUNK, OWN, BASE, END, SPLIT, TIE)
 
     def having(self, frame: DataFrame) -> "Chunked":
         return Chunked(frame, self.spec, self.split)
@@ -239,7 +237,7 @@ def per_chunk(parts: Chunked, values: dict[str, Column], compute, outputs: str)
     keys = list(parts.spec.keys)
     groups = [c for c in parts.groups if isinstance(c, str)]
     kinds = dict(parts.frame.dtypes)
-    order = [F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c) for c in parts.spec.order]
+    order = [F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c) for c in parts.sorting]
     marks = [f"_o{i}" for i in range(len(order))]
     own = F.col(OWN) if parts.split else F.lit(True)
     slim = parts.frame.select(
