@@ -63,9 +63,10 @@ class Notice:
         return found
 
     def _verify(self, line: bytes, start: int, found: dict) -> None:
-        low = line.rfind(b" ", 0, max(1, start - self.edits + 1)) + 1
+        """Match around a seed, in a window of whole words with the blanks beside them: without a blank the matcher inserts nothing at the ends."""
+        low = max(0, line.rfind(b" ", 0, max(1, start - self.edits + 1)))
         high = line.find(b" ", min(len(line) - 1, start + len(self.phrase) + self.edits - 1))
-        window = line[low : high if high >= 0 else len(line)]
+        window = line[low : high + 1 if high >= 0 else len(line)]
         hit = self.bounded.search(window.decode("utf-8"))
         if hit and hit.group().strip():
             text = hit.group()

@@ -35,6 +35,8 @@ RUN_ITEMS = 200_000
 PART_ITEMS = 100_000
 #: Last byte of the key of a lone window; segments have the length of their backward part there.
 LONE = 255
+#: Longest strings that ``remove_repeats`` looks for.
+LONGEST = GRAM + LONE - 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -504,12 +506,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document
     with a smaller id, or earlier in the same one. Null or short text loses nothing. Rows with a null
     id take no part. Rows that share an id are versions of one document: ranges found in one are
-    cut from each, and equal ones do not remove each other. Empty tables give empty results.
+    cut from each, and equal ones do not remove each other. Empty tables give empty results. Texts of any
+    length are read whole. ``length`` lies between ``GRAM`` (shorter strings hold no K-gram) and ``LONGEST`` (a key tells how
+    far its anchor lies from the first window in one byte); other lengths raise ValueError.
 
     A K-gram with over ``hot_share`` segments (default: a quarter of a part's fair share, so there
     are at most four such K-grams a part) is not sent to one reducer: its windows are sent one by
     one, spread by their own bytes.
     """
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {LONGEST}, not {length}")
     spark = docs.sparkSession
     source = slim(docs, doc_id=id_col, text=text_col)
     buckets = spread(source)
