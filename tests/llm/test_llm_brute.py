@@ -235,7 +235,7 @@ def test_words_of_mixed_text(docs, spark):
     a = next(r["text"] for r in docs.where("lang = 'en' and length(text) > 900").limit(1).collect())
     b = next(r["text"] for r in docs.where("lang = 'de' and length(text) > 900").limit(1).collect())
     first, second = crf_lang.words_of(a)[:60], crf_lang.words_of(b)[:60]
-    _, _, runs = crf_lang.Labeller(field).label([" ".join(first + second)])[0]
+    _, _, runs, _ = crf_lang.Labeller(field).label([" ".join(first + second)])[0]
     labels = [r["lang"] for r in runs for _ in range(r["n_words"])]
     assert np.mean([x == "en" for x in labels[:60]]) > 0.9 and np.mean([x == "de" for x in labels[60:]]) > 0.9
 

@@ -256,9 +256,9 @@ class Labeller:
         out = alpha[row, col]
         return out / out.sum(axis=1, keepdims=True)
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
-        """Per text: language (und without letters), mean posterior of it, and runs of languages."""
-        out: list = [("und", 0.0, [])] * len(texts)
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[dict], float]]:
+        """Per text: language (und without letters), mean posterior of it, runs of languages, and how sure the words are of theirs."""
+        out: list = [("und", 0.0, [], 0.0)] * len(texts)
         waiting: list[tuple[int, list[str]]] = []
         total = 0
         for i, t in enumerate(texts):
@@ -281,13 +281,14 @@ class Labeller:
         starts = np.cumsum(sizes) - sizes
         mean = np.add.reduceat(post, starts, axis=0) / sizes[:, None]
         best = post.argmax(axis=1)
-        for (i, _), a, n, m in zip(waiting, starts.tolist(), sizes.tolist(), mean):
+        sure = np.add.reduceat(post.max(axis=1), starts) / sizes
+        for (i, _), a, n, m, s in zip(waiting, starts.tolist(), sizes.tolist(), mean, sure.tolist()):
             mine = best[a : a + n]
             cuts = np.flatnonzero(np.diff(mine)) + 1
             edges = [0, *cuts.tolist(), n]
             runs = [{"lang": names[mine[x]], "first_word": x, "n_words": y - x} for x, y in zip(edges, edges[1:])]
             top = int(m.argmax())
-            out[i] = (names[top], min(1.0, float(m[top])), runs)
+            out[i] = (names[top], min(1.0, float(m[top])), runs, min(1.0, s))
 
 
 def label_texts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,18 +312,22 @@ def label_texts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
 
 def verdict(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang"):
-    """A column (lang_pred, score) for ``docs``, learned from its own labelled rows that are not held out."""
+    """A column (lang_pred, score, sure) for ``docs``, learned from its own labelled rows that are not held out; None without any.
+
+    ``sure`` is the mean over the words of the posterior of each word's best language: high for a text that
+    changes languages, too.
+    """
     source = slim(docs, doc_id=id_col, text=text_col, lang=lang_col)
     passages = training_passages(source.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
     if not passages:
-        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return None
     sent = docs.sparkSession.sparkContext.broadcast(vars(fit(passages)))
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, sure double")
     def of(texts: pd.Series) -> pd.DataFrame:
         got = kept_in_worker("field", key, lambda: Labeller(Field(**sent.value))).label(list(texts))
-        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "sure": [g[3] for g in got]})
 
     return of(F.col(text_col))
 

@@ -54,9 +54,11 @@ class _Known(dict):
 class WordTokenizer:
     """Ids of a text as little-endian 32-bit bytes, word by word through the tokenizer's model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.cache_words = cache_words
+
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
@@ -76,7 +78,7 @@ class WordTokenizer:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _by_words(self, text: str) -> bytes:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.cache_words:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, text.split()))
 
@@ -143,7 +145,7 @@ def balanced(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += max(1, windows // 200)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenise and pack: one row per piece with its ids and its place.
 
     doc_id, start, ids (little-endian 32-bit), length, doc_tokens, sequence_id, offset. Every id lies in one piece, and pieces lie
@@ -156,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int |
     schema = "doc_id {}, start long, ids binary, length long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches):
-        tokens = kept_in_worker("tokenizer", tokenizer, lambda: WordTokenizer(tokenizer))
+        tokens = kept_in_worker("tokenizer", (tokenizer, cache_words), lambda: WordTokenizer(tokenizer, cache_words))
         number = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []
 
