@@ -139,3 +139,41 @@ def test_rolling_against_pandas(series, size):
         assert np.allclose(full[f"xroll_std{w}"].astype(float), pdf["x"].rolling(w).std(), equal_nan=True)
     corr = ordered.rolling_corr(df, SPEC.with_signals("x", "y"), 60, rows_per_chunk=size).orderBy("ts").toPandas()
     assert np.allclose(corr["rolling_corr"].astype(float), pdf["x"].rolling(60, min_periods=30).corr(pdf["y"]), atol=1e-9, equal_nan=True)
+
+
+def test_adf_orders_and_p_values(spark):
+    rng = np.random.default_rng(8)
+    n, noise = 1500, rng.normal(size=1500)
+    ar = np.zeros(n)
+    for i in range(3, n):
+        ar[i] = 0.5 * ar[i - 1] - 0.4 * ar[i - 2] + 0.3 * ar[i - 3] + noise[i]
+    pdf = pd.DataFrame({"i": np.arange(n), "ar": ar, "walk": np.cumsum(noise)})
+    df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_seconds("i").cast("timestamp_ntz"))
+    spec = SeriesSpec("ts", (), ("ar", "walk"))
+    for size in (None, 300):
+        got = {r["signal"]: r for r in stationarity.adf_test(df, spec, "auto", size).collect()}
+        most = stationarity.longest_order(n)
+        for name in ("ar", "walk"):
+            v, c = pdf[name].to_numpy(), np.diff(pdf[name].to_numpy())
+            at, best = np.arange(most + 1, n), []
+            for p in range(most + 1):
+                x = np.column_stack([np.ones(len(at)), v[at - 1], *[c[at - 1 - j] for j in range(1, p + 1)]])
+                y = c[at - 1]
+                coef = np.linalg.lstsq(x, y, rcond=None)[0]
+                rss = ((y - x @ coef) ** 2).sum()
+                spread = np.sqrt(rss / (len(at) - p - 2) * np.linalg.inv(x.T @ x)[1, 1])
+                best.append((len(at) * np.log(rss / len(at)) + 2 * (p + 2), p, coef[1] / spread))
+            _, order, stat = min(best)
+            assert got[name]["used_lag"] == order and abs(got[name]["adf_stat"] - stat) < 1e-6
+        assert got["ar"]["p_value"] < 0.01 < 0.05 < got["walk"]["p_value"] and got["ar"]["used_lag"] >= 2
+    # The surface passes through its own 1, 5 and 10 % limits for long series, and is smooth at the border.
+    for limit, p in ((-3.43035, 0.01), (-2.86154, 0.05), (-2.56677, 0.10)):
+        assert abs(stationarity.adf_p_value(limit) - p) < 0.002
+    assert abs(stationarity.adf_p_value(-1.61) - stationarity.adf_p_value(-1.6099)) < 0.001
+    assert (stationarity.adf_p_value(-30.0), stationarity.adf_p_value(3.0)) == (0.0, 1.0)
+
+
+def test_adf_of_degenerate_series(spark):
+    df = spark.range(40).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit(2.0).alias("flat"), F.col("id").cast("double").alias("line"), F.lit(None).cast("double").alias("none"))
+    got = {r["signal"]: (r["adf_stat"], r["stationary"]) for r in stationarity.adf_test(df, SeriesSpec("ts", (), ("flat", "line", "none")), "auto").collect()}
+    assert got["flat"] == (None, False) and "none" not in got and got["line"][1] is False

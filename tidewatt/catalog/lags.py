@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tidewatt.catalog.common import EVENTS, GAPPY_SQL, HOURLY, HOURLY_SQL, MEASURES, events, gappy, hourly, query, table
+from tidewatt.catalog.common import EVENTS, GAPPY_SQL, HOURLY, HOURLY_SQL, MEASURES, events, gappy, hourly, order_by, query, table
 from tidewatt.operators import lagstats, learn, seasonal, stationarity
 from tidewatt.spec import SeriesSpec
 from tidewatt import workflows
@@ -189,12 +189,49 @@ def _(spark, sf):
     return seasonal.dominant_periods(hourly(spark, sf), HOURLY.with_signals("load_kw"), 3600)
 
 
-@query("adf_test", None, "adf_stat critical_5pct")
+def adf_sql(max_d: int, lags: int) -> str:
+    """Statistic of each lag difference: the regressors are made orthogonal one by one, so the last step is a plain slope."""
+    keys = "event_type, d"
+    parts = [
+        f"SELECT event_type, CAST({d} AS BIGINT) AS d, i, v - lag(v, {d}) OVER w AS x FROM (SELECT event_type, ts, event_id, value AS v, row_number() OVER ({order_by()}) AS i "
+        f"FROM ({GAPPY_SQL}) WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY event_type ORDER BY i)" if d else
+        f"SELECT event_type, CAST(0 AS BIGINT) AS d, row_number() OVER ({order_by()}) AS i, value AS x FROM ({GAPPY_SQL}) WHERE value IS NOT NULL"
+        for d in range(max_d + 1)
+    ]
+    names = [f"z{j}" for j in range(1, lags + 1)] + ["x", "y"]
+    changes = ", ".join(f"lag(c, {j}) OVER w AS z{j}" for j in range(1, lags + 1))
+    steps = [
+        f"a AS ({' UNION ALL '.join(parts)})",
+        f"b AS (SELECT {keys}, i, x, x - lag(x) OVER (PARTITION BY {keys} ORDER BY i) AS c FROM a WHERE x IS NOT NULL)",
+        f"r AS (SELECT {keys}, lag(x) OVER w AS x, c AS y, {changes} FROM b WINDOW w AS (PARTITION BY {keys} ORDER BY i))",
+        f"q AS (SELECT {keys}, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY {keys}) AS {v}' for v in names)} FROM r WHERE z{lags} IS NOT NULL)",
+    ]
+    last = "q"
+    for k in range(lags):
+        u, rest = names[k], names[k + 1 :]
+        slopes = ", ".join(f"sum({v} * {u}) OVER (PARTITION BY {keys}) / sum({u} * {u}) OVER (PARTITION BY {keys}) AS s_{v}" for v in rest)
+        steps.append(f"q{k} AS (SELECT {keys}, {', '.join(f'{v} - s_{v} * {u} AS {v}' for v in rest)} FROM (SELECT *, {slopes} FROM {last}))")
+        last = f"q{k}"
+    c0, c1, c2, c3 = stationarity.ADF_5PCT
+    stat = f"(sum(x * y) / sum(x * x)) / sqrt((sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x)) / (count(*) - {lags + 2}) / sum(x * x))"
+    limit = f"{c0}::DOUBLE + {c1}::DOUBLE / n_obs + {c2}::DOUBLE / (n_obs * n_obs) + {c3}::DOUBLE / (n_obs * n_obs * n_obs)"
+    return (
+        f"WITH {', '.join(steps)} SELECT event_type, 'value' AS signal, d, n_obs, adf_stat, CAST({lags} AS BIGINT) AS used_lag, {limit} AS critical_5pct, adf_stat < {limit} AS stationary "
+        f"FROM (SELECT {keys}, count(*) AS n_obs, {stat} AS adf_stat FROM {last} GROUP BY {keys})"
+    )
+
+
+@query("adf_test", f"SELECT * EXCLUDE (d) FROM ({adf_sql(0, 4)})", "adf_stat critical_5pct")
+def _(spark, sf):
+    return stationarity.adf_test(gappy(spark, sf), EVENTS).drop("p_value")
+
+
+@query("adf_test_auto", None, "adf_stat critical_5pct p_value")
 def _(spark, sf):
-    return stationarity.adf_test(gappy(spark, sf), EVENTS)
+    return stationarity.adf_test(gappy(spark, sf), EVENTS, stationarity.AUTO)
 
 
-@query("suggest_difference")
+@query("suggest_difference", f"SELECT event_type, signal, min(CASE WHEN stationary THEN d END) AS suggested_d FROM ({adf_sql(3, 4)}) GROUP BY 1, 2")
 def _(spark, sf):
     return stationarity.suggest_difference(gappy(spark, sf), EVENTS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,50 +17,105 @@ from tidewatt.spec import SeriesSpec
 
 # MacKinnon's (2010) response surface for the 5 % critical value with a constant.
 ADF_5PCT = (-2.86154, -2.8903, -4.234, -40.04)
+# MacKinnon's (1994) response surface for p-values with a constant: the normal quantile is a
+# polynomial of the statistic, one up to the border and one beyond it; outside the ends the p-value is 0 or 1.
+ADF_P_LOW, ADF_P_HIGH = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_P_ENDS, ADF_P_BORDER = (-18.83, 2.74), -1.61
+AUTO = "auto"
 
 
-def _adf_from_moments(sums: pd.Series) -> pd.Series:
-    """t statistic of the lagged level from the flattened moment matrix of each series."""
-    out = []
-    for flat in sums:
-        flat = np.asarray(flat, dtype=float)
-        size = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
-        full = np.zeros((size, size))
-        full[np.triu_indices(size)] = flat
-        full = full + np.triu(full, 1).T
-        xx, xy, yy, n = full[:-1, :-1], full[:-1, -1], full[-1, -1], full[0, 0]
-        free = n - (size - 1)
-        if not np.isfinite(full).all() or free <= 0 or np.linalg.matrix_rank(xx) < size - 1:
-            out.append(None)
+def adf_p_value(stat: float) -> float:
+    """Probability of a statistic this low or lower under a unit root."""
+    if stat <= ADF_P_ENDS[0] or stat >= ADF_P_ENDS[1]:
+        return 0.0 if stat <= ADF_P_ENDS[0] else 1.0
+    powers = ADF_P_LOW if stat <= ADF_P_BORDER else ADF_P_HIGH
+    quantile = sum(c * stat**i for i, c in enumerate(powers))
+    return 0.5 * math.erfc(-quantile / math.sqrt(2))
+
+
+def _unpacked(flat) -> np.ndarray:
+    """The symmetric matrix whose upper triangle is given row by row."""
+    flat = np.asarray(flat, dtype=float)
+    size = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
+    full = np.zeros((size, size))
+    full[np.triu_indices(size)] = flat
+    return full + np.triu(full, 1).T
+
+
+def nested_orders(full: np.ndarray) -> list[tuple[int, float, float]]:
+    """(order, t statistic of the level, information criterion) of every order the moments allow.
+
+    Rows and columns of the moments: constant, level, lagged changes 1 to p, change. The Cholesky factor of the
+    regressors holds that of every smaller order as its leading block, and each further lag takes one square off the
+    residual sum.
+    """
+    xx, xy, yy, n = full[:-1, :-1], full[:-1, -1], full[-1, -1], full[0, 0]
+    scale = np.sqrt(np.clip(np.diag(xx), 0, None))
+    if not np.isfinite(full).all() or n < 3 or (scale[:2] == 0).any():
+        return []
+    scale = np.where(scale > 0, scale, 1.0)
+    factor = np.zeros_like(xx)
+    scaled = xx / np.outer(scale, scale)
+    out, left, part = [], yy, np.zeros(len(xx))
+    for k in range(len(xx)):
+        row = np.linalg.solve(factor[:k, :k], scaled[:k, k]) if k else np.zeros(0)
+        pivot = scaled[k, k] - row @ row
+        if pivot <= 1e-12:
+            break
+        factor[k, :k], factor[k, k] = row, np.sqrt(pivot)
+        part[k] = (xy[k] / scale[k] - row @ part[:k]) / factor[k, k]
+        left -= part[k] ** 2
+        free = n - (k + 1)
+        if k < 1 or free <= 0:
             continue
-        inverse = np.linalg.inv(xx)
-        coef = inverse @ xy
-        error = max(yy - coef @ xy, 0.0) / free
-        spread = np.sqrt(error * inverse[1, 1])
-        out.append(float(coef[1] / spread) if spread > 0 else None)
-    return pd.Series(out, dtype="float64")
+        lower = factor[: k + 1, : k + 1]
+        unit = np.linalg.solve(lower, np.eye(k + 1)[:, 1])
+        coef, variance = unit @ part[: k + 1], unit @ unit
+        error = max(left, 0.0) / free
+        if error > 0:
+            out.append((k - 1, float(coef / np.sqrt(error * variance)), float(n * np.log(max(left, 1e-300) / n) + 2 * (k + 1))))
+    return out
+
+
+def _adf_solved(sums: pd.Series, fixed: pd.Series) -> pd.DataFrame:
+    """Statistic, order and p-value of each series; ``fixed`` is the wanted order, or null for the best criterion."""
+    out = []
+    for flat, order in zip(sums, fixed):
+        found = nested_orders(_unpacked(flat))
+        if pd.notna(order):
+            found = [f for f in found if f[0] == int(order)]
+        best = min(found, key=lambda f: (f[2], f[0]), default=None)
+        out.append((None, None, None) if best is None else (best[1], best[0], adf_p_value(best[1])))
+    return pd.DataFrame(out, columns=["adf_stat", "used_lag", "p_value"]).astype({"adf_stat": float, "used_lag": "Int64", "p_value": float})
+
+
+def longest_order(rows: int) -> int:
+    """Schwert's rule for the largest order worth trying."""
+    return max(0, min(int(math.ceil(12 * (rows / 100) ** 0.25)), rows // 2 - 3))
 
 
 def adf_by_difference(
-    df: DataFrame, spec: SeriesSpec, max_d: int = 3, lags: int = 4, mode: str = "lag", rows_per_chunk: int | None = None
+    df: DataFrame, spec: SeriesSpec, max_d: int = 3, lags: int | str = 4, mode: str = "lag", rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Augmented Dickey-Fuller statistic of each signal for differences 0 to ``max_d``.
 
-    The regression (constant, lagged level, ``lags`` lagged changes) needs only sums of
-    products. Every chunk adds up its own; the small summed systems are solved in batches.
+    The regression (constant, lagged level, lagged changes) needs only sums of products. Every chunk adds up its own, once,
+    for the largest order; the summed systems are solved in batches. With ``lags='auto'`` each series gets
+    the order up to Schwert's bound for the longest series that has the smallest Akaike criterion, all orders being
+    compared on the same rows. ``used_lag`` is the order, ``p_value`` comes from a response surface, and
     ``stationary`` compares with the 5 % value.
     """
-    import math
-
     rows, long = long_form(df, spec)
     rows = rows.filter("value IS NOT NULL")
     keys = list(long.keys)
     stats, profile = measured(rows, keys, _m=F.avg("value"), _s=F.stddev_pop("value"))
     stats = stats.withColumnRenamed("n_obs", "_rows")
     scaled = attach(rows, stats.select(*keys, "_m", "_s"), keys, profile)
-    reach = lags + 1 + max_d
+    auto = lags == AUTO
+    order = longest_order(profile.largest) if auto else int(lags)
+    reach = order + 1 + max_d
     parts = chunked(scaled, long, before=reach, rows_per_chunk=rows_per_chunk, profile=profile)
-    size = lags + 3
+    size = order + 3
 
     def products(first: int, columns) -> dict:
         z, out = columns["z"], {}
@@ -67,13 +124,13 @@ def adf_by_difference(
                 level = z[d:] - z[: len(z) - d] if d else z
             else:
                 level = sum((-1) ** k * math.comb(d, k) * z[d - k : len(z) - k] for k in range(d + 1))
-            change, skip = np.diff(level), max(first - d, lags + 1)
+            change, skip = np.diff(level), max(first - d, order + 1)
             if not np.isfinite(z).all() or len(level) <= skip:
                 out[f"_d{d}"] = [0.0] * (size * (size + 1) // 2)
                 continue
             at = np.arange(skip, len(level))
             design = np.column_stack(
-                [np.ones(len(at)), level[at - 1], *[change[at - 1 - j] for j in range(1, lags + 1)], change[at - 1]]
+                [np.ones(len(at)), level[at - 1], *[change[at - 1 - j] for j in range(1, order + 1)], change[at - 1]]
             )
             out[f"_d{d}"] = (design.T @ design)[np.triu_indices(size)].tolist()
         return out
@@ -86,20 +143,21 @@ def adf_by_difference(
     summed = flat.groupBy(*keys, "d", "_i").agg(F.sum("_v").alias("_v")).groupBy(*keys, "d").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_s")
     )
-    solve = F.pandas_udf(_adf_from_moments, "double")
+    solve = F.pandas_udf(_adf_solved, "adf_stat double, used_lag bigint, p_value double")
     tests = same_keys(summed, stats.select(*keys, "_rows"), keys, "inner").filter(F.col("_rows") - F.col("d") >= 10)
-    tests = tests.select(*keys, "d", F.col("_s")[0].cast("bigint").alias("n_obs"), solve("_s").alias("adf_stat"))
+    wanted = F.lit(None if auto else order).cast("bigint")
+    tests = tests.select(*keys, "d", F.col("_s")[0].cast("bigint").alias("n_obs"), solve("_s", wanted).alias("_t")).select(*keys, "d", "n_obs", "_t.*")
     n = F.when(F.col("n_obs") > 0, F.col("n_obs").cast("double"))
     c0, c1, c2, c3 = ADF_5PCT
     limit = c0 + c1 / n + c2 / (n * n) + c3 / (n * n * n)
     return tests.select("*", limit.alias("critical_5pct"), F.coalesce(F.col("adf_stat") < limit, F.lit(False)).alias("stationary"))
 
 
-def adf_test(df: DataFrame, spec: SeriesSpec, lags: int = 4, rows_per_chunk: int | None = None) -> DataFrame:
+def adf_test(df: DataFrame, spec: SeriesSpec, lags: int | str = 4, rows_per_chunk: int | None = None) -> DataFrame:
     return adf_by_difference(df, spec, 0, lags, rows_per_chunk=rows_per_chunk).drop("d")
 
 
-def suggest_difference(df: DataFrame, spec: SeriesSpec, max_d: int = 3, lags: int = 4, mode: str = "lag", rows_per_chunk: int | None = None) -> DataFrame:
+def suggest_difference(df: DataFrame, spec: SeriesSpec, max_d: int = 3, lags: int | str = 4, mode: str = "lag", rows_per_chunk: int | None = None) -> DataFrame:
     """The smallest difference that passes the test, or null."""
     tests = adf_by_difference(df, spec, max_d, lags, mode, rows_per_chunk)
     return tests.groupBy(*spec.keys, "signal").agg(F.min(F.when(F.col("stationary"), F.col("d"))).alias("suggested_d"))
