@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatt.functions import values
-from tidewatt.functions.timestamps import parse_timestamp
+from tidewatt.functions.timestamps import infer_layouts, parse_inferred, parse_timestamp
 from tidewatt.operators import buckets, clean, distributions, features, lagstats, ordered, quality
 from tidewatt.spec import SeriesSpec
 from tidewatt import sources
@@ -126,3 +126,17 @@ def test_sinks_write_what_they_say(spark, tmp_path):
     sources.sink_text_preview(df, spec, f"{tmp_path}/t")
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/t").collect()]
     assert lines[:3] == ["Column: v", "---------", " 1: 0.0"] and len(lines) == 28
+
+
+@pytest.mark.parametrize("texts,want,first", [
+    (["03/04/2024 10:00:00", "25/12/2024 10:00:00"], ["dd/MM/yyyy HH:mm:ss"], "2024-04-03 10:00:00"),
+    (["03/04/2024 10:00:00", "12/25/2024 10:00:00", "bad", None], ["MM/dd/yyyy HH:mm:ss"], "2024-03-04 10:00:00"),
+    (["03/04/2024 10:00:00", "05/06/2024 10:00:00"], ["MM/dd/yyyy HH:mm:ss"], "2024-03-04 10:00:00"),
+    (["2024-01-02T03:04:05", "2024-01-02T03:04:05", "02.01.2024"], ["yyyy-MM-dd'T'HH:mm:ss", "dd.MM.yyyy"], "2024-01-02 03:04:05"),
+    (["no", "time"], [], None), ([], [], None),
+])
+def test_layouts_are_voted_for(spark, texts, want, first):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert infer_layouts(df, "t")["t"] == want
+    got = [r["t"] for r in parse_inferred(df, "t").orderBy("i").collect()]
+    assert len(got) == len(texts) and (not texts or (None if got[0] is None else str(got[0])) == first)

@@ -6,7 +6,7 @@ from tidewatt.catalog.common import (
     EVENTS, FAULTY_SQL, GAPPY_SQL, PARSED_SQL, RAW_TS_SQL, events, faulty, gappy, query, raw_times, table,
 )
 from tidewatt.functions import values
-from tidewatt.functions.timestamps import parse_timestamp
+from tidewatt.functions.timestamps import parse_inferred, parse_timestamp
 from tidewatt.operators import quality
 from tidewatt.session import scratch_path
 from tidewatt import sources
@@ -112,6 +112,23 @@ def _(spark, sf):
     return raw_times(spark, sf).select("event_id", "raw_ts", parse_timestamp("raw_ts").alias("ts"))
 
 
+# Three layouts in one column; days up to 12 could be months, later days tell.
+ODD_LAYOUTS = {0: ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), 1: ("dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S"), 2: ("yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M")}
+
+
+def odd_texts(fn: str, side: int) -> str:
+    return "CASE " + " ".join(f"WHEN event_id % 53 = 0 THEN 'not a time' WHEN event_id % 3 = {k} THEN {fn}(ts, {chr(34 if side == 0 else 39)}{v[side]}{chr(34 if side == 0 else 39)})" for k, v in ODD_LAYOUTS.items()) + " END"
+
+
+@query(
+    "parse_timestamp_inferred",
+    "SELECT event_id, raw_ts, coalesce(" + ", ".join(f"try_strptime(raw_ts, '{v[1]}')" for v in ODD_LAYOUTS.values()) + f") AS ts FROM (SELECT event_id, {odd_texts('strftime', 1)} AS raw_ts FROM events)",
+)
+def _(spark, sf):
+    rows = events(spark, sf).select("event_id", F.expr(odd_texts("date_format", 0)).alias("raw_ts"))
+    return parse_inferred(rows, "raw_ts", "ts").select("event_id", "raw_ts", "ts")
+
+
 @query("drop_invalid_timestamps", f"SELECT event_id, {PARSED_SQL} AS raw_ts, value FROM ({RAW_TS_SQL}) WHERE {PARSED_SQL} IS NOT NULL")
 def _(spark, sf):
     return quality.drop_invalid_timestamps(raw_times(spark, sf).select("event_id", "raw_ts", "value"), "raw_ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The two layouts telemetry files use.
 SLASH = "yyyy/MM/dd HH:mm:ss"
@@ -16,6 +16,52 @@ def parse_timestamp(column, formats=(SLASH, DASH)) -> Column:
     return F.coalesce(*tried)
 
 
+# Layouts that are tried on texts of unknown layout; of equally good ones the first counts.
+LAYOUTS = (
+    DASH, SLASH, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss",
+    "MM/dd/yyyy HH:mm", "dd/MM/yyyy HH:mm", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy",
+)
+
+
+def _swapped(layout: str) -> str:
+    """The layout with day and month changed over."""
+    return layout.replace("dd", "#").replace("MM", "dd").replace("#", "MM")
+
+
+def infer_layouts(df: DataFrame, columns, layouts=LAYOUTS) -> dict[str, list[str]]:
+    """Which layouts the texts of each column are written in, best first: a vote over the whole table.
+
+    One aggregate counts the texts by the set of layouts that read them. The layout that reads the most is taken, then
+    the one that reads the most of the rest, until no layout reads any more. Whether day or month comes first is settled
+    once for a column: the layout with the two changed over is out when one is taken. Texts that no layout reads
+    count for nothing; a column without readable texts has no layouts.
+    """
+    found = {}
+    for name in [columns] if isinstance(columns, str) else columns:
+        text = F.col(f"`{name}`")
+        reads = F.array(*[F.try_to_timestamp(text, F.lit(form)).isNotNull() for form in layouts])
+        counts = df.where(text.isNotNull()).groupBy(reads.alias("reads")).count().collect()
+        left = [({form for form, hit in zip(layouts, r["reads"]) if hit}, r["count"]) for r in counts]
+        open_, taken = list(layouts), []
+        while open_:
+            votes = {form: sum(n for reading, n in left if form in reading) for form in open_}
+            best = max(open_, key=votes.__getitem__)
+            if votes[best] == 0:
+                break
+            taken.append(best)
+            left = [(reading, n) for reading, n in left if best not in reading]
+            open_ = [form for form in open_ if form not in (best, _swapped(best))]
+        found[name] = taken
+    return found
+
+
+def parse_inferred(df: DataFrame, column: str, name: str | None = None, layouts=LAYOUTS) -> DataFrame:
+    """Add ``name`` (or replace the column): the texts read in the layouts that the column is written in."""
+    taken = infer_layouts(df, column, layouts)[column]
+    parsed = parse_timestamp(f"`{column}`", tuple(taken)) if taken else F.lit(None).cast("timestamp_ntz")
+    return df.withColumn(name or column, parsed)
+
+
 def micros(ts) -> Column:
     """Microseconds since 1970 of a timestamp or date column."""
     ts = F.col(ts) if isinstance(ts, str) else ts
