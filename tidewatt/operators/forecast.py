@@ -9,6 +9,7 @@ from tidewatt.functions.values import quoted
 from tidewatt.operators.ordered import fill_backward_forward, holdout_last, long_form, with_length
 from tidewatt.operators.seasonal import seasonal_decompose
 from tidewatt.plans.sizing import same_keys
+from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
 
@@ -20,7 +21,8 @@ def forecast(df: DataFrame, spec: SeriesSpec, horizon: int = 96, period: int = 9
     regularly spaced table; series shorter than two periods give no rows.
     """
     keys = [*spec.keys, "signal"]
-    parts = seasonal_decompose(df, spec, period, extrapolate=False)
+    # Lengths, line and season are all read from the decomposition, so it is written once.
+    parts = freeze(seasonal_decompose(df, spec, period, extrapolate=False).select(*keys, "idx", "trend", "seasonal"))
     half = period // 2
     sizes = parts.groupBy(*keys).agg((F.max("idx") + 1).alias("n_rows"))
     placed = same_keys(parts, sizes, keys)

@@ -21,8 +21,8 @@ from tidewatt.spec import SeriesSpec
 
 CHUNK, OWN, BASE, END, SPLIT, CELL, TIE = "_chunk", "_own", "_base", "_end", "_split", "_cell", "_tie"
 CELLS_PER_CHUNK = 16
-# Splitters of one cell at most, and sampled rows per splitter.
-FAN_OUT, OVERSAMPLE = 1024, 8
+# Splitters of one cell at most (a located row carries them for a moment, so they are few), and sampled rows per splitter.
+FAN_OUT, OVERSAMPLE = 48, 8
 # End of the last chunk of a series that is not cut.
 LAST = 2**62
 
@@ -63,7 +63,7 @@ class Cells:
         for level, rule in enumerate(self.rules):
             join_on = list(self.keys) + ([CELL] if level else [])
             rule = rule if level else rule.drop(CELL)
-            out = same_keys(out, broadcast_if_small(rule), join_on, how if level == 0 else "left")
+            out = same_keys(out, rule, join_on, how if level == 0 else "left")
             deeper = F.concat(F.col(CELL), F.array(_place(F.col("_splits"), F.col("_key"))))
             out = out.withColumn(CELL, F.when(F.col("_splits").isNull(), F.col(CELL)).otherwise(deeper)).drop("_splits")
         return out.withColumn(TIE, F.col("_key")["hash"]).drop("_key")
@@ -116,7 +116,7 @@ def count_cells(df: DataFrame, keys, order, rows_per_chunk: int | None = None) -
 
     rules, leaves, located = [], None, start
     while True:
-        rules.append(_splitters(located, over, key, keys, limit))
+        rules.append(broadcast_if_small(_splitters(located, over, key, keys, limit)))
         located = Cells(keys, key, tuple(rules), None, limit).locate(df, "inner")
         sizes = freeze(measure(located.filter(F.size(CELL) == len(rules))))
         open_ = (F.col("_n") > limit) & (F.element_at(CELL, -1) % 2 == 0)

@@ -70,7 +70,7 @@ def forecast_metadata(df: DataFrame, spec: SeriesSpec, step_seconds: float | Non
     order = stationarity.suggest_difference(df, spec)
     periods = freeze(seasonal.dominant_periods(df, spec, step_seconds))
     strength = seasonal.seasonal_amplitude_of(df, spec, periods.withColumnRenamed("period_steps", "period"))
-    acf = lagstats.acf(df, spec, max_lag, half_less_one=True)
+    acf = freeze(lagstats.acf(df, spec, max_lag, half_less_one=True))
     pacf = lagstats.pacf(acf, keys, adjusted=True)
 
     def listed(rows, name, *columns):
