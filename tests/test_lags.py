@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatt.operators import lagstats, ordered, seasonal, stationarity
+from tidewatt.operators import lagstats, ordered, seasonal, spectra, stationarity
 from tidewatt.spec import SeriesSpec
 
 SPEC = SeriesSpec("ts", ("k",), ("x",), ())
@@ -88,28 +88,12 @@ def test_spectrum_equals_fft(series):
     pdf, df = series
     t = np.arange(len(pdf))
     y = pdf["x"].to_numpy() - np.polyval(np.polyfit(t, pdf["x"], 1), t)
-    got = seasonal.spectrum(df, SPEC).orderBy("bin").toPandas()
+    got = spectra.spectrum(df, SPEC).orderBy("bin").toPandas()
     assert np.allclose(got["power"], np.abs(np.fft.rfft(y))[1:] ** 2, rtol=1e-6, atol=1e-6)
-    top = seasonal.dominant_periods(df, SPEC, 3600).orderBy("rank").first()
+    top = spectra.dominant_periods(df, SPEC, 3600).orderBy("rank").first()
     assert (top["period_steps"], top["period_seconds"]) == (20, 72000)
 
 
-def test_spectrum_does_not_depend_on_segments(series, monkeypatch):
-    pdf, df = series
-    monkeypatch.setattr(seasonal, "BAND_BINS", 50, raising=False)
-    t = np.arange(len(pdf))
-    y = pdf["x"].to_numpy() - np.polyval(np.polyfit(t, pdf["x"], 1), t)
-    got = seasonal.spectrum(df, SPEC, segment_rows=64).orderBy("bin").toPandas()
-    assert np.allclose(got["power"], np.abs(np.fft.rfft(y))[1:] ** 2, rtol=1e-6, atol=1e-6)
-
-
-@pytest.mark.parametrize("n", [65_537, 70_000])
-def test_partial_sums_add_up_to_the_transform(n):
-    y = np.random.default_rng(1).normal(size=n)
-    total = sum(seasonal.partial_sums(y[a : a + 65_536], a, n, 1, n // 2 + 1) for a in range(0, n, 65_536))
-    assert np.allclose(total, np.fft.rfft(y)[1:], atol=1e-7)
-
-
 @pytest.mark.parametrize("size", SIZES)
 def test_adf_equals_least_squares(series, size):
     pdf, df = series

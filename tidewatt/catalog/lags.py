@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidewatt.catalog.common import EVENTS, GAPPY_SQL, HOURLY, HOURLY_SQL, MEASURES, events, gappy, hourly, order_by, query, table
-from tidewatt.operators import lagstats, learn, seasonal, stationarity
+from tidewatt.operators import lagstats, learn, seasonal, spectra, stationarity
 from tidewatt.spec import SeriesSpec
 from tidewatt import workflows
 
@@ -186,7 +186,7 @@ DFT = (
 
 @query("dominant_periods", DFT, "period_hours power", 4)
 def _(spark, sf):
-    return seasonal.dominant_periods(hourly(spark, sf), HOURLY.with_signals("load_kw"), 3600)
+    return spectra.dominant_periods(hourly(spark, sf), HOURLY.with_signals("load_kw"), 3600)
 
 
 def adf_sql(max_d: int, lags: int) -> str:

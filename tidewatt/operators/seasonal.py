@@ -1,9 +1,7 @@
-"""Additive decomposition, seasonal strength and dominant periods."""
+"""Additive decomposition and seasonal strength."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.operators.ordered import long_form
@@ -13,10 +11,6 @@ from tidewatt.plans.sizing import attach, broadcast_if_small, fits_broadcast, me
 from tidewatt.session import freeze
 from tidewatt.spec import SeriesSpec
 
-# Rows of a series, and frequencies, of one partial sum of its spectrum; results do not depend on them.
-SEGMENT_ROWS = 65_536
-BAND_BINS = 1 << 20
-
 
 def centred_mean(parts: Chunked, value: str, period: int) -> tuple[DataFrame, Column]:
     """Centred moving average over one period, ends weighted half when the period is even."""
@@ -152,92 +146,3 @@ def seasonal_amplitude_of(df: DataFrame, spec: SeriesSpec, wanted: DataFrame, ro
     trend = (F.col("_upto") - F.col("_from") + F.col("_first") - even) / F.col("period")
     phases = at.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(F.avg(F.col("_v") - trend).alias("_m"))
     return phases.groupBy(*keys, "period").agg((F.max("_m") - F.min("_m")).alias("seasonal_amplitude"))
-
-
-def partial_sums(y: np.ndarray, start: int, n: int, first: int, last: int) -> np.ndarray:
-    """Sums of y[j] exp(-2 pi i k (start + j) / n) for k from ``first`` to ``last - 1``, as one chirp convolution.
-
-    Phases are taken from whole numbers modulo their period, so they stay exact for long series.
-    """
-    j, m = np.arange(len(y)), np.arange(last - first)
-
-    def turn(steps: np.ndarray, period: int) -> np.ndarray:
-        return np.exp(2j * np.pi * (steps % period) / period)
-
-    size = 1 << (len(j) + len(m) - 1).bit_length()
-    left, right = np.zeros(size, complex), np.zeros(size, complex)
-    left[: len(j)] = y * turn(-first * j, n) * turn(-j * j, 2 * n)
-    right[: len(m)] = turn(m * m, 2 * n)
-    right[size - len(j) + 1 :] = turn(j[:0:-1] ** 2, 2 * n)
-    return np.fft.ifft(np.fft.fft(left) * np.fft.fft(right))[: len(m)] * turn(-m * m, 2 * n) * turn(-(first + m) * start, n)
-
-
-def spectrum(df: DataFrame, spec: SeriesSpec, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None) -> DataFrame:
-    """Power of the linearly detrended series per frequency: the full periodogram, whatever its length.
-
-    Tasks sum the cosine and sine products of ``segment_rows`` rows with a band of frequencies; Spark
-    adds these partial sums per frequency.
-    """
-    rows, long = long_form(df, spec)
-    rows = rows.filter("value IS NOT NULL")
-    keys = list(long.keys)
-    parts = chunked(rows, long, rows_per_chunk=rows_per_chunk)
-    placed = parts.trim(parts.frame.withColumn("idx", parts.position)).select(*keys, "idx", "value")
-    x = F.col("idx").cast("double")
-    fit = placed.groupBy(*keys).agg(
-        F.count("*").alias("n_obs"), F.regr_slope("value", x).alias("_k"), F.regr_intercept("value", x).alias("_b")
-    ).filter(F.col("n_obs") >= 10)
-    flat = attach(placed, fit, keys).filter("n_obs IS NOT NULL").select(
-        *keys, "idx", "n_obs", (F.col("value") - F.col("_k") * F.col("idx") - F.col("_b")).alias("y")
-    )
-    flat = flat.withColumn("_segment", F.floor(F.col("idx") / segment_rows))
-    band_bins = BAND_BINS
-    bands = F.sequence(F.lit(0).cast("bigint"), F.floor((F.floor(F.col("n_obs") / 2) - 1) / band_bins))
-    flat = flat.withColumn("_band", F.explode(bands))
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        n, band = int(pdf["n_obs"].iloc[0]), int(pdf["_band"].iloc[0])
-        first, last = 1 + band * band_bins, min((band + 1) * band_bins, n // 2) + 1
-        sums = partial_sums(pdf["y"].to_numpy(), int(pdf["idx"].iloc[0]), n, first, last)
-        out = pd.DataFrame({"bin": np.arange(first, last), "_cos": sums.real, "_sin": sums.imag})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        out["steps"] = n
-        return out
-
-    kinds = dict(flat.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "bin bigint", "_cos double", "_sin double", "steps bigint"])
-    pieces = flat.groupBy(*keys, "_segment", "_band").applyInPandas(transform, schema)
-    power = F.pow(F.sum("_cos"), 2) + F.pow(F.sum("_sin"), 2)
-    return pieces.groupBy(*keys, "bin", "steps").agg(power.alias("power"))
-
-
-def dominant_periods(
-    df: DataFrame, spec: SeriesSpec, step_seconds: float | DataFrame, top: int = 5, segment_rows: int = SEGMENT_ROWS, rows_per_chunk: int | None = None
-) -> DataFrame:
-    """The ``top`` periods at local peaks of the spectrum (or of all of it, if it has no peak).
-
-    ``step_seconds`` is one number for all series, or a table of keys and ``step_seconds``; a series
-    without a step there has null periods.
-    """
-    power = spectrum(df, spec, segment_rows, rows_per_chunk)
-    keys = [*spec.keys, "signal"]
-    w = Window.partitionBy(*keys).orderBy("bin")
-    at_peak = (F.col("power") > F.lag("power").over(w)) & (F.col("power") > F.lead("power").over(w))
-    marked = power.withColumn("_peak", F.coalesce(at_peak, F.lit(False)))
-    marked = marked.withColumn("_any", F.max("_peak").over(Window.partitionBy(*keys)))
-    ranked = marked.filter(F.col("_peak") | ~F.col("_any")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("power"), "bin")).cast("bigint")
-    ).filter(F.col("rank") <= top)
-    if isinstance(step_seconds, DataFrame):
-        steps = freeze(step_seconds.select(*spec.keys, F.col("step_seconds").cast("double").alias("_step")))
-        ranked = same_keys(ranked, broadcast_if_small(steps), list(spec.keys))
-    else:
-        ranked = ranked.withColumn("_step", F.lit(float(step_seconds)))
-    step = F.when(F.col("_step") > 0, F.col("_step"))
-    seconds = F.rint(F.col("steps") * step / F.col("bin")).cast("bigint")
-    return ranked.select(
-        *keys, "rank", seconds.alias("period_seconds"), (seconds / 3600).alias("period_hours"),
-        F.rint(seconds / step).cast("bigint").alias("period_steps"), "power",
-    )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatt.functions import values
 from tidewatt.functions.metrics import mae, rmse
 from tidewatt.functions.timestamps import parse_timestamp
-from tidewatt.operators import buckets, clean, energy, features, lagstats, learn, ordered, quality, seasonal, stationarity
+from tidewatt.operators import buckets, clean, energy, features, lagstats, learn, ordered, quality, seasonal, spectra, stationarity
 from tidewatt.plans.sizing import attach, same_keys
 from tidewatt.session import freeze
 from tidewatt.sources import merge_files, sink_json, sink_parquet
@@ -68,7 +68,7 @@ def forecast_metadata(df: DataFrame, spec: SeriesSpec, step_seconds: float | Non
     if step_seconds is None:
         step_seconds = buckets.infer_step_median(df, spec)
     order = stationarity.suggest_difference(df, spec)
-    periods = freeze(seasonal.dominant_periods(df, spec, step_seconds))
+    periods = freeze(spectra.dominant_periods(df, spec, step_seconds))
     strength = seasonal.seasonal_amplitude_of(df, spec, periods.withColumnRenamed("period_steps", "period"))
     acf = freeze(lagstats.acf(df, spec, max_lag, half_less_one=True))
     pacf = lagstats.pacf(acf, keys, adjusted=True)
