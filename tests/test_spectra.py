@@ -50,11 +50,13 @@ def test_many_series_of_odd_lengths(spark, cells):
 
 def test_a_million_rows(spark):
     n = 1_000_003
-    x = F.sin(2 * np.pi * F.col("id") / 1440) + F.sin(2 * np.pi * F.col("id") / 300_000) + F.col("id") / n + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
-    df = spark.range(n).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit("a").alias("k"), x.alias("x"), "id")
-    want = powers(df.orderBy("id").toPandas()["x"].to_numpy())
-    got = spectra.spectrum(df.drop("id"), SPEC).orderBy("bin").toPandas()
-    assert len(got) == n // 2 and np.allclose(got["power"], want, rtol=1e-6, atol=1e-4)
+    t = np.arange(n)
+    want = powers(np.sin(2 * np.pi * t / 1440) + np.sin(2 * np.pi * t / 300_000) + t / n + t * 7919 % 1000 / 1000)
+    i = F.col("id")
+    x = F.sin(2 * np.pi * i / 1440) + F.sin(2 * np.pi * i / 300_000) + i / n + i * 7919 % 1000 / 1000
+    df = spark.range(n).select(F.timestamp_seconds(i * 60).alias("ts"), F.lit("a").alias("k"), x.alias("x"))
+    got = spectra.spectrum(df, SPEC).select("bin", "power").toArrow().to_pandas().sort_values("bin")
+    assert got["bin"].tolist() == list(range(1, n // 2 + 1)) and np.allclose(got["power"], want, rtol=1e-6, atol=1e-4)
 
 
 @pytest.mark.parametrize("range_bins", [1, 2, 3, 7, 1000])
