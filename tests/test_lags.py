@@ -1,5 +1,7 @@
 """Lag, seasonal and stationarity operators against numpy, for whole and chunked series."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -157,6 +159,18 @@ def test_adf_orders_and_p_values(spark):
     assert (stationarity.adf_p_value(-30.0), stationarity.adf_p_value(3.0)) == (0.0, 1.0)
 
 
+def test_adf_moments_need_no_whole_regression():
+    level, order, skip = np.cumsum(np.random.default_rng(4).normal(size=60_000)), 150, 200
+    tracemalloc.start()
+    got = stationarity.moments(level, skip, order)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6 < 8 * len(level) * (order + 3)
+    change, at = np.diff(level), np.arange(skip, len(level))
+    design = np.column_stack([np.ones(len(at)), level[at - 1], *[change[at - 1 - j] for j in range(1, order + 1)], change[at - 1]])
+    assert np.allclose(got, (design.T @ design)[np.triu_indices(order + 3)], rtol=1e-9, atol=1e-6)
+
+
 def test_adf_of_degenerate_series(spark):
     df = spark.range(40).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit(2.0).alias("flat"), F.col("id").cast("double").alias("line"), F.lit(None).cast("double").alias("none"))
     got = {r["signal"]: (r["adf_stat"], r["stationary"]) for r in stationarity.adf_test(df, SeriesSpec("ts", (), ("flat", "line", "none")), "auto").collect()}

@@ -22,6 +22,8 @@ ADF_5PCT = (-2.86154, -2.8903, -4.234, -40.04)
 ADF_P_LOW, ADF_P_HIGH = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
 ADF_P_ENDS, ADF_P_BORDER = (-18.83, 2.74), -1.61
 AUTO = "auto"
+# Values (rows times columns) of the regression that a task holds at once: 8 MB, whatever the order.
+BLOCK_VALUES = 1_000_000
 
 
 def adf_p_value(stat: float) -> float:
@@ -89,6 +91,25 @@ def _adf_solved(sums: pd.Series, fixed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["adf_stat", "used_lag", "p_value"]).astype({"adf_stat": float, "used_lag": "Int64", "p_value": float})
 
 
+def moments(level: np.ndarray, skip: int, order: int) -> np.ndarray:
+    """Sums of products of constant, lagged level, ``order`` lagged changes and change, for the rows from ``skip`` on.
+
+    The upper triangle, row by row. The regression is built and multiplied in blocks of rows, so that memory does not
+    grow with the order.
+    """
+    change, size = np.diff(level), order + 3
+    total = np.zeros((size, size))
+    step = max(1, BLOCK_VALUES // size)
+    for start in range(skip, len(level), step):
+        at = np.arange(start, min(start + step, len(level)))
+        design = np.empty((len(at), size))
+        design[:, 0], design[:, 1], design[:, -1] = 1.0, level[at - 1], change[at - 1]
+        for j in range(1, order + 1):
+            design[:, j + 1] = change[at - 1 - j]
+        total += design.T @ design
+    return total[np.triu_indices(size)]
+
+
 def longest_order(rows: int) -> int:
     """Schwert's rule for the largest order worth trying."""
     return max(0, min(int(math.ceil(12 * (rows / 100) ** 0.25)), rows // 2 - 3))
@@ -124,15 +145,11 @@ def adf_by_difference(
                 level = z[d:] - z[: len(z) - d] if d else z
             else:
                 level = sum((-1) ** k * math.comb(d, k) * z[d - k : len(z) - k] for k in range(d + 1))
-            change, skip = np.diff(level), max(first - d, order + 1)
+            skip = max(first - d, order + 1)
             if not np.isfinite(z).all() or len(level) <= skip:
                 out[f"_d{d}"] = [0.0] * (size * (size + 1) // 2)
                 continue
-            at = np.arange(skip, len(level))
-            design = np.column_stack(
-                [np.ones(len(at)), level[at - 1], *[change[at - 1 - j] for j in range(1, order + 1)], change[at - 1]]
-            )
-            out[f"_d{d}"] = (design.T @ design)[np.triu_indices(size)].tolist()
+            out[f"_d{d}"] = moments(level, skip, order).tolist()
         return out
 
     z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
