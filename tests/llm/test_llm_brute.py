@@ -462,6 +462,16 @@ def test_trie_join_finds_all_links(spark, near_blocks, budget, tile):
     assert (simhash_trie.smallest_linked(len(values), u, v) == want).all()
 
 
+def test_plan_of_links_does_not_grow_with_the_blocks(spark):
+    """The driver compiles it: one expression for each of 70 entries took it over its memory."""
+    reps = spark.createDataFrame([(1, 2), (3, 4)], "node long, fp long")
+
+    def size(budget: int, near_blocks: int | None) -> int:
+        return len(simhash_trie.link_edges(reps, budget, near_blocks)._jdf.queryExecution().optimizedPlan().toJSON())
+
+    assert size(9, 5) < 1.5 * size(4, None)
+
+
 def test_near_groups_are_verified(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]

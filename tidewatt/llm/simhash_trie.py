@@ -182,15 +182,16 @@ def link_edges(reps: DataFrame, budget: int, near_blocks: int | None = None, til
     is a cell of its own.
     """
     bounds = block_bounds(budget if near_blocks is None else near_blocks - 1)
-    entries = []
-    for k, (a, w) in enumerate(bounds):
-        turned = F.col("fp") if a == 0 else F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", BITS - a))
-        top = F.shiftrightunsigned(turned, BITS - w)
-        for kind in range(-1, w if near_blocks else 0):
-            bit = F.lit(0) if kind < 0 else F.shiftright(top, kind) % 2
-            value = top if kind < 0 else top - F.shiftleft(bit, kind)
-            entries.append(F.struct(F.lit(k).alias("block"), F.lit(kind).alias("kind"), turned.alias("turned"), value.cast("long").alias("top"), bit.cast("int").alias("bit")))
-    rows = reps.select("node", "fp", F.explode(F.array(*entries)).alias("r")).select("node", "fp", "r.*")
+    # A block is a row's data, not an expression of its own: the plan, which the driver compiles, stays small.
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.lit(a).alias("first"), F.lit(w).alias("width")) for k, (a, w) in enumerate(bounds)])
+    rows = reps.select("node", "fp", F.explode(blocks).alias("r")).select("node", "fp", "r.*")
+    # Shifts count modulo 64, so the first block's turn by nothing holds as well.
+    rows = rows.withColumn("turned", F.expr(f"shiftleft(fp, first) | shiftrightunsigned(fp, {BITS} - first)"))
+    rows = rows.withColumn("whole", F.expr(f"shiftrightunsigned(turned, {BITS} - width)"))
+    kinds = F.sequence(F.lit(-1), F.col("width") - 1 if near_blocks else F.lit(-1))
+    rows = rows.select("node", "fp", "block", "turned", "whole", F.explode(kinds).alias("kind"))
+    rows = rows.withColumn("bit", F.expr("if(kind < 0, 0L, shiftright(whole, kind) % 2)"))
+    rows = rows.select("node", "fp", "block", "kind", "turned", F.expr("if(kind < 0, whole, whole - shiftleft(bit, kind))").alias("top"), F.col("bit").cast("int").alias("bit"))
     large = rows.groupBy("block", "kind", "top").agg(F.count(F.lit(1)).alias("n"))
     large = large.where(F.col("n") > tile).select("block", "kind", "top", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     rows = rows.join(large, ["block", "kind", "top"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
