@@ -6,6 +6,8 @@ import math
 import sys
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ ROWS_PER_CELL = 50_000
 #: Bits of one block of a bitmap (Spark's size), and the largest bitmap that is broadcast.
 BLOCK_BITS = 32_768
 BITMAP_BYTES = 64_000_000
+#: Links that one task joins at once.
+LINKS_PER_TASK = 100_000
+#: Removes the shuffle files of an action when it ends.
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +34,14 @@ def slim(df: DataFrame, **columns) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write a table once to the folder all executors share and read it from there."""
+    """Write a table once to the folder all executors share and read it from there.
+
+    The shuffles behind it are not needed again, and their files go at once: a plan begun under the
+    setting removes its own.
+    """
     shared_dir(df.sparkSession)
-    return freeze(df)
+    with settings(df.sparkSession, SHUFFLES_GO):
+        return freeze(df.select("*"))
 
 
 @contextmanager
@@ -112,10 +123,55 @@ def only_members(rows: DataFrame, key: str, members: DataFrame, member: str, n:
     return marked.where(F.expr("shiftright(__octet, __shift) % 2 = 1")).select(*rows.columns)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For rows 0..n-1 the smallest row reachable over the links (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        label = label[label]
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+    while True:
+        nearer = label[label]
+        if (nearer == label).all():
+            return label
+        label = nearer
+
+
+def stars(edges: DataFrame, n: int, at_once: int) -> DataFrame:
+    """Links that join the same nodes as the ``n`` ``edges`` (u, v): each lot of ``at_once`` as stars round its smallest nodes.
+
+    The tasks are as many as the links need, however many files they were written to.
+    """
+
+    def star(lot: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(lot)
+        codes, names = pd.factorize(pd.concat([pdf["u"], pdf["v"]]), sort=True)
+        low = smallest_linked(len(names), codes[: len(pdf)], codes[len(pdf) :])
+        inner = np.flatnonzero(low < np.arange(len(names)))
+        return pd.DataFrame({"u": names[inner], "v": names[low[inner]]})
+
+    def run(batches):
+        lot, size = [], 0
+        for pdf in batches:
+            if size and size + len(pdf) > at_once:
+                yield star(lot)
+                lot, size = [], 0
+            lot.append(pdf)
+            size += len(pdf)
+        if size:
+            yield star(lot)
+
+    return edges.coalesce(max(1, math.ceil(n / at_once))).mapInPandas(run, edges.schema)
+
+
+def components(edges: DataFrame, rounds: int = 60, at_once: int = LINKS_PER_TASK) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (node, component = its smallest node).
 
-    Alternating large-star and small-star steps; minima are partial aggregates joined back, so a
+    Lots of ``at_once`` links are joined inside a task. Links that are one lot are done then; more take
+    alternating large-star and small-star steps, whose minima are partial aggregates joined back, so a
     node with very many links is never gathered. Each round is written to the shared folder.
     Nodes without a link to another node do not appear.
     """
@@ -129,12 +185,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def named(e: DataFrame) -> DataFrame:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
     current = durable(edges.where("u is not null and v is not null and u <> v").distinct())
     seen = state(current)
     for _ in range(rounds):
         if seen[0] == 0:
-            break
-        near = both(current)
+            return named(current)
+        joined = durable(stars(current, seen[0], at_once))
+        if seen[0] <= at_once:
+            return named(joined)
+        near = both(joined)
         large = near.join(lowest(near), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         mins = lowest(down)
@@ -142,8 +204,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         current = durable(small.where("u <> v").distinct())
         now = state(current)
         if now == seen:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return named(current)
         seen = now
-    if seen[0] == 0:
-        return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError(f"links did not settle in {rounds} rounds")

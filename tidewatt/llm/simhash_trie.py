@@ -15,7 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, only_members, slim, spread
+from tidewatt.plans.sizing import broadcast_if_small
+
+from .common import components, durable, only_members, slim, smallest_linked, spread
 
 BITS = 64
 SEED = 42
@@ -100,23 +102,6 @@ def visit(owner: np.ndarray, value: np.ndarray, roots: np.ndarray, depth: int, b
     return starts[left[other]], starts[right[other]], errors[other]
 
 
-def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For rows 0..n-1 the smallest row reachable over the links (i, j)."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        label = label[label]
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
-    while True:
-        nearer = label[label]
-        if (nearer == label).all():
-            return label
-        label = nearer
-
-
 def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the same rows 0..n-1 as (i, j) do at every distance, fewest bits first."""
     label = np.arange(n)
@@ -194,6 +179,7 @@ def link_edges(reps: DataFrame, budget: int, near_blocks: int | None = None, til
     rows = rows.select("node", "fp", "block", "kind", "turned", F.expr("if(kind < 0, whole, whole - shiftleft(bit, kind))").alias("top"), F.col("bit").cast("int").alias("bit"))
     large = rows.groupBy("block", "kind", "top").agg(F.count(F.lit(1)).alias("n"))
     large = large.where(F.col("n") > tile).select("block", "kind", "top", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    large = broadcast_if_small(durable(large))
     rows = rows.join(large, ["block", "kind", "top"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
