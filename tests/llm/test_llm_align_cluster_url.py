@@ -151,6 +151,50 @@ def test_ranks_give_the_tokenizers_ids(text):
     assert PAIR.encode_a([text])[0] == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_come_again_are_tokenised_once(monkeypatch):
+    pair, handed = token_align.TokenizerPair(A, B), []
+    encode = pair.encode_a
+    monkeypatch.setattr(pair, "encode_a", lambda texts: handed.extend(texts) or encode(texts))
+    texts = [f"It's said that the {w}, and only the {w}, came again.\nThe {w}!" for w in ("cat", "dog") * 200]
+    token_align._aligned(pair, texts[:200], 0)
+    token_align._aligned(pair, texts[200:], 200)
+    assert sum(map(len, handed)) < 2 * len(texts[0])
+
+
+def aligned(pair, texts):
+    out = token_align._aligned(pair, texts, 7)[0]
+    return out["owner"], [out[f].to_pylist() for f in token_align.FIELDS if f != "doc_id"]
+
+
+WORDY = st.lists(st.one_of(st.sampled_from(
+    ["the", "don't", "It's", " ", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", ".", "...", ",", "'", "'s", "nº", "x²", "▁", "a▁", "日本", "\u0301", "é", "ß", "12", "½", "😀", "\u200b", "aaaaaaaa"]
+), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=14).map("".join)
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(WORDY, min_size=1, max_size=5), st.sampled_from([(10**6, 64, 256), (0, 64, 256), (10**6, 5, 256), (3000, 64, 2)]))
+def test_words_give_what_whole_texts_give(texts, limits):
+    pair = token_align.TokenizerPair.__new__(token_align.TokenizerPair)
+    pair.__dict__ |= PAIR.__dict__ | {"words": {}, "older": {}}
+    assert pair.by_word
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in zip(("KEPT_BYTES", "WORD_LENGTH", "WORD_LINKS"), limits):
+            patch.setattr(token_align, name, value)
+        first, again, _ = (aligned(pair, t) for t in (texts, texts[::-1], texts))
+    pair.by_word = False
+    assert first == aligned(pair, texts) and again == aligned(pair, texts[::-1])
+
+
+@pytest.mark.parametrize("kind, across, clean", [("unigram", True, False), ("bpe", False, False), ("bpe", True, True), ("bpe", True, False)])
+def test_only_tokenizers_that_cut_between_words_go_by_word(tmp_path, kind, across, clean):
+    lines = ["of the cat and of the dog", "of the dog and of the cat", "the end of the cat"] * 5
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/b", model_type=kind, vocab_size=320, hard_vocab_limit=False, byte_fallback=True,
+        split_by_whitespace=across, normalization_rule_name="identity", remove_extra_whitespaces=clean, minloglevel=2,
+    )
+    assert token_align.TokenizerPair(A, f"{tmp_path}/b.model").by_word == (kind == "bpe" and across and not clean)
+
+
 # -- op12
 
 

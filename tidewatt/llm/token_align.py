@@ -4,12 +4,18 @@ Tokens of both cover the same bytes. A dictionary per tokenizer leads from the b
 to how many tokens end up to there; the ends that both dictionaries hold, sorted, slice both id lists into
 groups, and each slice is expanded into links: all pairs of its occurrences. How many documents hold a
 pair of ids linked is counted over the corpus, and each document is told how its links stand in those counts.
+
+Both tokenizers cut between words, so groups never cross them: a word is aligned once, and the Python worker keeps
+what it found for the words that come again. Texts for which such a cut is not certain are aligned in one piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,13 @@ COMMON_PAIRS = 400_000
 _CUT = re.compile("[A-Za-z](?= [A-Za-z])")
 #: Texts with other characters than these, or with longer words or gaps, take A's own way: for them the split may differ.
 _OTHER, _GAP, LONGEST_WORD = re.compile("[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\u017f]"), re.compile(r"\s{500}"), 500
+#: Letters only; after a run of them A cuts unless another letter follows.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: Words of a space and a text: blanks with letters; what follows these without a blank; blanks with anything.
+_WORD = re.compile(rf"[ \n]+[{_LETTERS}]+|[ \n]+[^ \n]*|[^ \n]+")
+_BLANK, _AFTER_LETTER = re.compile(r"[^\S \n]"), re.compile(f"[{_LETTERS}](?=[^{_LETTERS}])")
+#: Bytes of the words a worker keeps in each of two lots (140,000 common ones); texts with a longer word, or one of more links, are aligned in one piece.
+KEPT_BYTES, WORD_LENGTH, WORD_LINKS = 50_000_000, 64, 256
 #: Fixed value: A's split of a text into words, as public byte-level tokenizers have it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,13 +77,109 @@ class TokenizerPair:
         self.ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
         probe = "".join(c for c in map(chr, range(32, 384)) if not _OTHER.match(c)) + " it's They'll  x'd 12 3½ <<>> a\tb\n\n c <|endoftext|> ñandú ÀÉ straße "
         self.quick = self.ranks.encode_ordinary(probe) == self.a.encode(probe, add_special_tokens=False).ids
+        self.words: dict[str, tuple[int, int, int, str, bytes] | None] = {}
+        self.older, self.kept_bytes = self.words, 0
+        self.by_word = self._cuts_words()
+
+    def _cuts_words(self) -> bool:
+        """Whether both tokenizers cut at the ends of all words that :meth:`_fits` lets pass; seen from their settings and pieces.
+
+        A must split by its pattern, which no token crosses. B must merge pairs (no sums over the whole text) of unchanged
+        characters, and no piece may hold a line feed or go on after a blank or, unless ``joined`` has the character, after a letter.
+        """
+        from sentencepiece import sentencepiece_model_pb2
+
+        split = self.a.pre_tokenizer and json.loads(self.a.pre_tokenizer.__getstate__())
+        plain = all(t.special for t in self.a.get_added_tokens_decoder().values())
+        if self.a.normalizer or not plain or split != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            return False
+        model = sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
+        how, clean = model.trainer_spec, model.normalizer_spec
+        if how.model_type != how.BPE or how.treat_whitespace_as_suffix or clean.precompiled_charsmap or clean.remove_extra_whitespaces:
+            return False
+        if not clean.add_dummy_prefix or not clean.escape_whitespaces or any(p.type == p.USER_DEFINED for p in model.pieces):
+            return False
+        pieces = [p.piece for p in model.pieces if p.type not in (p.BYTE, p.CONTROL, p.UNKNOWN)]
+        self.joined = {p[m.end()] for p in pieces for m in _AFTER_LETTER.finditer(p)}
+        feed = self.b.encode("\n")
+        return len(feed) == 2 and self.b.is_byte(feed[1]) and not any("\n" in p or re.search("[^▁]▁", p) for p in pieces)
+
+    def _fits(self, word: str) -> bool:
+        """Whether a word is kept. It must have no other white space, and begin with a blank or with what both cut from a letter."""
+        if len(word) > WORD_LENGTH or _BLANK.search(word):
+            return False
+        return word[0] in " \n" or (unicodedata.category(word[0])[0] in "MNPS" and word[0] not in self.joined)
+
+    def _keep(self, word: str, found: tuple[int, int, int, str, bytes] | None) -> None:
+        self.words[word] = found
+        self.kept_bytes += 300 + 4 * len(word) + (len(found[3]) + len(found[4]) if found else 0)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep for each word: ids of A and B, groups, these as text, and the links (A << 32 | B, 8 bytes each); None if it does not fit.
+
+        The words stand in one row, so that two dictionaries serve all of them.
+        """
+        ids_a, ids_b = self.encode_a(words), [b[2:] for b in self.b.encode(["\n" + w for w in words], num_threads=1)]
+        sizes = [len(w.encode("utf-8")) for w in words]
+        list_a, list_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        a, b = np.array(list_a, np.int64), np.array(list_b, np.int64)
+        n_a, n_b = list(map(len, ids_a)), list(map(len, ids_b))
+        ends = [np.concatenate([[0], np.cumsum(length)])[np.cumsum(n)] for length, n in ((self.length_a[a], n_a), (self.length_b[b], n_b))]
+        if not (all(np.array_equal(e, np.cumsum(sizes)) for e in ends) and self.covers("".join(words), list_a, list_b)):
+            covered = [w for w, x, y in zip(words, ids_a, ids_b) if self.covers(w, x, y)]
+            for word in set(words).difference(covered):
+                self._keep(word, None)
+            return self._learn(covered) if covered else None
+        cuts_a, cuts_b = shared_ends(self.length_a[a].tolist(), self.length_b[b].tolist())
+        groups = shown(list_a, list_b, cuts_a, cuts_b, self.decimal).split(";")
+        starts_a, starts_b = np.array(cuts_a), np.array(cuts_b)
+        sizes_a, sizes_b = np.diff(starts_a), np.diff(starts_b)
+        first = np.searchsorted(starts_a, np.cumsum([0, *n_a]))
+        n_links = np.diff(np.concatenate([[0], np.cumsum(sizes_a * sizes_b)])[first])
+        light = n_links <= WORD_LINKS
+        of_a = np.repeat(np.arange(len(groups)), sizes_a)
+        weight = sizes_b[of_a] * np.repeat(light, n_a)
+        left = np.repeat(np.arange(len(a)), weight)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(weight) - weight, weight) + np.repeat(starts_b[of_a], weight)
+        linked = (a[left] << 32 | b[right]).tobytes()
+        at = 0
+        for word, fits, x, y, i, j, n in zip(words, light.tolist(), n_a, n_b, first.tolist(), first[1:].tolist(), n_links.tolist()):
+            self._keep(word, (x, y, j - i, ";".join(groups[i:j]), linked[at : at + 8 * n]) if fits else None)
+            at += 8 * n * fits
+
+    def from_words(self, texts: list[str]) -> list[tuple[tuple[int, int, int, int], str, np.ndarray] | None]:
+        """Of each text, from its words: tokens of A and B, groups and links, the groups as text, the links; None if it is to be aligned in one piece.
+
+        Words are kept in two lots: when the newer is full, the older goes, but for its words that came again.
+        """
+        if not self.by_word:
+            return [None] * len(texts)
+        cut = [_WORD.findall(" " + t) if len(t) <= AT_ONCE else [] for t in texts]
+        words = set(chain.from_iterable(cut))
+        if self.kept_bytes > KEPT_BYTES:
+            self.words, self.older, self.kept_bytes = {}, self.words, 0
+        new = words.difference(self.words)
+        for word in [w for w in new if w in self.older]:
+            self._keep(word, self.older[word])
+        if new := [w for w in new.difference(self.older) if self._fits(w)]:
+            self._learn(new)
+        return [self._joined(list(map(self.words.get, row))) for row in cut]
+
+    def _joined(self, words: list[tuple[int, int, int, str, bytes] | None]):
+        if not words or not all(words):
+            return None
+        n_a, n_b, n_groups, groups, linked = zip(*words)
+        n_links = sum(map(len, linked)) // 8
+        if n_links > LINKS:
+            return None
+        return (sum(n_a), sum(n_b), sum(n_groups), n_links), ";".join(groups), np.frombuffer(b"".join(linked), np.int64)
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts; long ones are handed over in parts that end where the tokenizer cuts anyway."""
         parts, owner = [], []
         ids: list[list[int]] = [[] for _ in texts]
         for i, text in enumerate(texts):
-            if self.quick and not _OTHER.search(text) and not _GAP.search(text) and max(map(len, text.split()), default=0) <= LONGEST_WORD:
+            if self.quick and not _OTHER.search(text) and (len(text) < LONGEST_WORD or not _GAP.search(text) and max(map(len, text.split()), default=0) <= LONGEST_WORD):
                 ids[i] = self.ranks.encode_ordinary(text)
                 continue
             at = 0
@@ -93,10 +202,10 @@ class TokenizerPair:
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
 
 
-def shared_ends(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[list[int], list[int]]:
+def shared_ends(lengths_a: list[int], lengths_b: list[int]) -> tuple[list[int], list[int]]:
     """Where both id lists are sliced: positions in A and in B after each byte at which tokens of both end."""
-    ends_a = dict(zip(np.cumsum(lengths_a).tolist(), range(1, len(lengths_a) + 1)))
-    ends_b = dict(zip(np.cumsum(lengths_b).tolist(), range(1, len(lengths_b) + 1)))
+    ends_a = dict(zip(accumulate(lengths_a), count(1)))
+    ends_b = dict(zip(accumulate(lengths_b), count(1)))
     common = sorted(ends_a.keys() & ends_b.keys())
     return [0, *map(ends_a.__getitem__, common)], [0, *map(ends_b.__getitem__, common)]
 
@@ -189,16 +298,21 @@ FIELDS = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs
 
 def _aligned(pair: TokenizerPair, texts: list[str | None], number: int):
     asked = [i for i, t in enumerate(texts) if t]
+    joined = {i: j for i, j in zip(asked, pair.from_words([texts[i] for i in asked])) if j}
+    asked = [i for i in asked if i not in joined]
     ids_a = dict(zip(asked, pair.encode_a([" " + texts[i] for i in asked])))
     ids_b = dict(zip(asked, pair.b.encode([texts[i] for i in asked], num_threads=1)))
     owner, rows, figures, groups, pairs, times = [], [], [], [], [], []
     for i, text in enumerate(texts):
         blocks = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         stats, told = (0, 0, 0, 0), ""
-        if text and pair.covers(" " + text, ids_a[i], ids_b[i]):
+        if i in joined:
+            stats, told, linked = joined.pop(i)
+            blocks = [np.unique(linked, return_counts=True)]
+        elif text and pair.covers(" " + text, ids_a[i], ids_b[i]):
             list_a, list_b = ids_a.pop(i), ids_b.pop(i)
             a, b = np.array(list_a, np.int64), np.array(list_b, np.int64)
-            cuts_a, cuts_b = shared_ends(pair.length_a[a], pair.length_b[b])
+            cuts_a, cuts_b = shared_ends(pair.length_a[a].tolist(), pair.length_b[b].tolist())
             told = shown(list_a, list_b, cuts_a, cuts_b, pair.decimal)
             sizes_a, sizes_b = np.diff(np.array(cuts_a)), np.diff(np.array(cuts_b))
             stats = (len(a), len(b), len(sizes_a), int(sizes_a @ sizes_b))
