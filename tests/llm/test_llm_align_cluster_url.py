@@ -161,6 +161,15 @@ def test_words_that_come_again_are_tokenised_once(monkeypatch):
     assert sum(map(len, handed)) < 2 * len(texts[0])
 
 
+def test_words_that_never_come_again_are_seldom_taken(monkeypatch):
+    pair, handed = token_align.TokenizerPair(A, B), []
+    learn = pair._learn
+    monkeypatch.setattr(pair, "_learn", lambda words: handed.extend(words) or learn(words))
+    for lot in range(32):
+        token_align._aligned(pair, [" ".join(str(10**9 + 200 * lot + i) for i in range(200))], 0)
+    assert len(handed) == 4 * 200
+
+
 def aligned(pair, texts):
     out = token_align._aligned(pair, texts, 7)[0]
     return out["owner"], [out[f].to_pylist() for f in token_align.FIELDS if f != "doc_id"]

@@ -42,6 +42,8 @@ _WORD = re.compile(rf"[ \n]+[{_LETTERS}]+|[ \n]+[^ \n]*|[^ \n]+")
 _BLANK, _AFTER_LETTER = re.compile(r"[^\S \n]"), re.compile(f"[{_LETTERS}](?=[^{_LETTERS}])")
 #: Bytes of the words a worker keeps in each of two lots (140,000 common ones); texts with a longer word, or one of more links, are aligned in one piece.
 KEPT_BYTES, WORD_LENGTH, WORD_LINKS = 50_000_000, 64, 256
+#: After texts with fewer words for each one not met before, so many calls take no new words: words that hardly come again cost more than they save.
+PAYING, PAUSE = 3, 7
 #: Fixed value: A's split of a text into words, as public byte-level tokenizers have it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -78,7 +80,7 @@ class TokenizerPair:
         probe = "".join(c for c in map(chr, range(32, 384)) if not _OTHER.match(c)) + " it's They'll  x'd 12 3½ <<>> a\tb\n\n c <|endoftext|> ñandú ÀÉ straße "
         self.quick = self.ranks.encode_ordinary(probe) == self.a.encode(probe, add_special_tokens=False).ids
         self.words: dict[str, tuple[int, int, int, str, bytes] | None] = {}
-        self.older, self.kept_bytes = self.words, 0
+        self.older, self.kept_bytes, self.pause = self.words, 0, 0
         self.by_word = self._cuts_words()
 
     def _cuts_words(self) -> bool:
@@ -150,7 +152,8 @@ class TokenizerPair:
     def from_words(self, texts: list[str]) -> list[tuple[tuple[int, int, int, int], str, np.ndarray] | None]:
         """Of each text, from its words: tokens of A and B, groups and links, the groups as text, the links; None if it is to be aligned in one piece.
 
-        Words are kept in two lots: when the newer is full, the older goes, but for its words that came again.
+        Words are kept in two lots: when the newer is full, the older goes, but for its words that came again. A text with a word
+        that is not kept, as new words are not taken just then, is aligned in one piece too.
         """
         if not self.by_word:
             return [None] * len(texts)
@@ -161,8 +164,12 @@ class TokenizerPair:
         new = words.difference(self.words)
         for word in [w for w in new if w in self.older]:
             self._keep(word, self.older[word])
-        if new := [w for w in new.difference(self.older) if self._fits(w)]:
+        new = [w for w in new.difference(self.older) if self._fits(w)]
+        if new and not self.pause:
             self._learn(new)
+            self.pause = PAUSE if sum(map(len, cut)) < PAYING * len(new) else 0
+        elif self.pause:
+            self.pause -= 1
         return [self._joined(list(map(self.words.get, row))) for row in cut]
 
     def _joined(self, words: list[tuple[int, int, int, str, bytes] | None]):
