@@ -121,13 +121,15 @@ class TokenizerPair:
 
         The words stand in one row, so that two dictionaries serve all of them.
         """
-        ids_a, ids_b = self.encode_a(words), [b[2:] for b in self.b.encode(["\n" + w for w in words], num_threads=1)]
-        sizes = [len(w.encode("utf-8")) for w in words]
+        row = "".join(words)
+        ids_a = list(map(self.ranks.encode_ordinary, words)) if self.quick and not _OTHER.search(row) else self.encode_a(words)
+        ids_b = [b[2:] for b in self.b.encode(["\n" + w for w in words], num_threads=1)]
+        sizes = list(map(len, words)) if row.isascii() else [len(w.encode("utf-8")) for w in words]
         list_a, list_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
         a, b = np.array(list_a, np.int64), np.array(list_b, np.int64)
         n_a, n_b = list(map(len, ids_a)), list(map(len, ids_b))
         ends = [np.concatenate([[0], np.cumsum(length)])[np.cumsum(n)] for length, n in ((self.length_a[a], n_a), (self.length_b[b], n_b))]
-        if not (all(np.array_equal(e, np.cumsum(sizes)) for e in ends) and self.covers("".join(words), list_a, list_b)):
+        if not (all(np.array_equal(e, np.cumsum(sizes)) for e in ends) and self.covers(row, list_a, list_b)):
             covered = [w for w, x, y in zip(words, ids_a, ids_b) if self.covers(w, x, y)]
             for word in set(words).difference(covered):
                 self._keep(word, None)
@@ -144,10 +146,12 @@ class TokenizerPair:
         left = np.repeat(np.arange(len(a)), weight)
         right = np.arange(len(left)) - np.repeat(np.cumsum(weight) - weight, weight) + np.repeat(starts_b[of_a], weight)
         linked = (a[left] << 32 | b[right]).tobytes()
-        at = 0
-        for word, fits, x, y, i, j, n in zip(words, light.tolist(), n_a, n_b, first.tolist(), first[1:].tolist(), n_links.tolist()):
-            self._keep(word, (x, y, j - i, ";".join(groups[i:j]), linked[at : at + 8 * n]) if fits else None)
-            at += 8 * n * fits
+        told = [";".join(groups[i:j]) if j - i > 1 else groups[i] for i, j in zip(first.tolist(), first[1:].tolist())]
+        ends = np.cumsum([0, *(8 * n_links * light)]).tolist()
+        linked = [linked[i:j] for i, j in zip(ends, ends[1:])]
+        self.words.update(zip(words, zip(n_a, n_b, np.diff(first).tolist(), told, linked)))
+        self.words.update(dict.fromkeys(w for w, fits in zip(words, light.tolist()) if not fits))
+        self.kept_bytes += 300 * len(words) + 4 * len(row) + sum(map(len, told)) + ends[-1]
 
     def from_words(self, texts: list[str]) -> list[tuple[tuple[int, int, int, int], str, np.ndarray] | None]:
         """Of each text, from its words: tokens of A and B, groups and links, the groups as text, the links; None if it is to be aligned in one piece.
